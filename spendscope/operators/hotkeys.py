@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 HOT_SHARE = 500  # a key is hot above 1/500 of all rows, so there are fewer than 500 of them
 FANOUT = 64
+BROADCAST_ROWS = 500_000
 
 
 def attach_by_key(
@@ -45,3 +46,15 @@ def attach_by_key(
         .drop("_hot")
     )
     return salted_rows.drop("_hot").join(salted_facts, [key, "_salt"], "left").drop("_salt")
+
+
+def attach_sized(
+    rows: DataFrame, facts: DataFrame, key: str, spread_on: str, max_rows: int = BROADCAST_ROWS
+) -> DataFrame:
+    """Broadcast ``facts`` when counting finds at most ``max_rows`` rows, else salt.
+
+    For reference tables: the count reads no more than ``max_rows + 1`` rows.
+    """
+    if facts.limit(max_rows + 1).count() <= max_rows:
+        return rows.join(F.broadcast(facts), key, "left")
+    return attach_by_key(rows, facts, key, spread_on)

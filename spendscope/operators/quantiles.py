@@ -38,11 +38,12 @@ def order_statistics(
     cell: Callable[[Column], Column] = log_cell,
     few_groups: bool = False,
 ) -> DataFrame:
-    """Values at 0-based ``ranks`` (built from the row count of the group).
+    """Values at 0-based ``ranks``, which are built from the row count of the group.
 
-    Returns one row per group and rank: ``by..., slot, group_rows, found``.
-    ``few_groups`` promises a fixed number of groups, so the wanted cells can be
-    broadcast; without groups there are as many cells as ranks at most.
+    Returns one row per group: ``by..., group_rows, found_0, found_1, ...``; without
+    groups always exactly one row. ``few_groups`` promises a fixed number of groups,
+    so the wanted cells can be broadcast; without groups there are as many cells as
+    ranks at most.
     """
     by = list(by)
     v = F.col("_v")
@@ -59,35 +60,36 @@ def order_statistics(
         .withColumn("_below", F.sum("_n").over(in_order) - F.col("_n"))
         .withColumn("group_rows", F.sum("_n").over(Window.partitionBy(*by)))
     )
-    wanted = F.array(
-        *[
-            F.struct(F.lit(slot).alias("slot"), rank.cast("bigint").alias("rank"))
-            for slot, rank in enumerate(ranks(F.col("group_rows")))
-        ]
-    )
-    inside = F.filter(
-        wanted, lambda w: (w["rank"] >= F.col("_below")) & (w["rank"] < F.col("_below") + F.col("_n"))
-    )
-    hits = counted.select(*by, "_cell", "_below", "group_rows", F.inline(inside))
-
-    cells = hits.select(*by, "_cell").distinct()
+    local = [rank.cast("bigint") - F.col("_below") for rank in ranks(F.col("group_rows"))]
+    held = [F.when((r >= 0) & (r < F.col("_n")), r) for r in local]
+    slots = range(len(held))
+    # Each wanted cell with the ranks it holds, counted from its first row.
+    cells = counted.select(
+        *by, "_cell", "group_rows", *[h.alias(f"_r{i}") for i, h in enumerate(held)]
+    ).where(F.coalesce(*[F.col(f"_r{i}") for i in slots]).isNotNull())
     if few_groups or not by:
         cells = F.broadcast(cells)
-        hits = F.broadcast(hits)
+
     running = (
         Window.partitionBy(*by, "_cell").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
     )
     ranked = (
-        base.join(cells, [*by, "_cell"], "left_semi")
+        base.join(cells, [*by, "_cell"])
         .groupBy(*by, "_cell", "_v")
-        .agg(F.count(F.lit(1)).alias("_m"))
+        .agg(
+            F.count(F.lit(1)).alias("_m"),
+            F.max("group_rows").alias("group_rows"),
+            *[F.max(f"_r{i}").alias(f"_r{i}") for i in slots],
+        )
         .withColumn("_upto", F.sum("_m").over(running))
     )
-    local = F.col("rank") - F.col("_below")
-    return (
-        ranked.join(hits, [*by, "_cell"])
-        .where((local < F.col("_upto")) & (local >= F.col("_upto") - F.col("_m")))
-        .select(*by, "slot", "group_rows", F.col("_v").alias("found"))
+
+    def at(i: int) -> Column:
+        r = F.col(f"_r{i}")
+        return F.when((r < F.col("_upto")) & (r >= F.col("_upto") - F.col("_m")), v)
+
+    return ranked.groupBy(*by).agg(
+        F.max("group_rows").alias("group_rows"), *[F.max(at(i)).alias(f"found_{i}") for i in slots]
     )
 
 
@@ -110,19 +112,14 @@ def quantiles(
         return [edge(s) for s in spots for edge in (F.floor, F.ceil)]
 
     found = order_statistics(rows, value, ranks, by, cell, few_groups)
-    slots = [
-        F.max(F.when(F.col("slot") == s, F.col("found"))).alias(f"_s{s}")
-        for s in range(2 * len(probabilities))
-    ]
-    wide = found.groupBy(*by).agg(F.max("group_rows").alias("_n"), *slots)
 
     def interpolate(i: int, p: float) -> Column:
-        low, high = F.col(f"_s{2 * i}"), F.col(f"_s{2 * i + 1}")
-        spot = F.lit(p) * (F.col("_n") - 1)
+        low, high = F.col(f"found_{2 * i}"), F.col(f"found_{2 * i + 1}")
+        spot = F.lit(p) * (F.col("group_rows") - 1)
         weight = spot - F.floor(spot)
         return F.when(low == high, low).otherwise(low * (1 - weight) + high * weight)
 
-    return wide.select(
+    return found.select(
         *by, *[interpolate(i, p).alias(name) for i, (name, p) in enumerate(named.items())]
     )
 
@@ -143,8 +140,8 @@ def smallest(rows: DataFrame, value: str, n: int, *ties: str, cell: Callable[[Co
     belong to the answer instead of its own ``n`` best.
     """
     at_n = order_statistics(rows, value, lambda total: [F.least(F.lit(n), total) - 1], cell=cell)
-    limit = at_n.agg(F.max("found").alias("limit"))
-    return rows.where(F.col(value) <= limit.scalar()).orderBy(value, *ties).limit(n)
+    limit = at_n.select("found_0").scalar()
+    return rows.where(F.col(value) <= limit).orderBy(value, *ties).limit(n)
 
 
 def one_row(stats: DataFrame) -> Column:
