@@ -11,7 +11,7 @@ from spendscope.functions.text import HASH_SPAN, stable_hash
 from spendscope.operators.dedup import repeat_counts
 from spendscope.operators.quantiles import (
     iqr_fences,
-    linear_cell,
+    linear_cells,
     one_row,
     quantiles,
     smallest,
@@ -140,7 +140,7 @@ def iqr_outlier_share(rows: DataFrame, column: str) -> DataFrame:
 def sample_rows(rows: DataFrame, n: int, key: str = "transaction_id") -> DataFrame:
     """Exactly ``n`` rows (all when there are fewer), chosen by a hash of the key."""
     hashed = rows.withColumn("_hash", stable_hash(F.col(key)))
-    return smallest(hashed, "_hash", n, key, cell=linear_cell(0.0, HASH_SPAN)).drop("_hash")
+    return smallest(hashed, "_hash", n, key, cells=linear_cells(0.0, HASH_SPAN)).drop("_hash")
 
 
 def sample_entities(rows: DataFrame, n: int, key: str = "user_id") -> DataFrame:

@@ -9,36 +9,35 @@ and ranks them. No row is shuffled that cannot be the answer.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 CELLS_PER_E_FOLD = 16384
 LINEAR_CELLS = 1 << 17
 
+# Cells of equal relative width (0.006 %), growing with the value and symmetric around 0.
+LOG_CELLS = f"cast(signum(_v) * floor(least(log1p(abs(_v)), 720D) * {CELLS_PER_E_FOLD}) as bigint)"
 
-def log_cell(value: Column) -> Column:
-    """Cells of equal relative width (0.006 %), growing with the value and symmetric around 0."""
-    depth = F.least(F.log1p(F.abs(value)), F.lit(720.0))
-    return (F.signum(value) * F.floor(depth * CELLS_PER_E_FOLD)).cast("bigint")
 
-
-def linear_cell(low: float, high: float) -> Callable[[Column], Column]:
+def linear_cells(low: float, high: float) -> str:
     """Cells of equal width, for values known to lie evenly between two bounds."""
-    step = (high - low) / LINEAR_CELLS
-    return lambda value: F.floor((value - low) / step).cast("bigint")
+    return f"floor((_v - {low!r}D) / {(high - low) / LINEAR_CELLS!r}D)"
 
 
 def order_statistics(
     rows: DataFrame,
     value: str,
-    ranks: Callable[[Column], Sequence[Column]],
+    ranks: Sequence[str],
     by: Sequence[str] = (),
-    cell: Callable[[Column], Column] = log_cell,
+    cells: str = LOG_CELLS,
     few_groups: bool = False,
+    weight: str | None = None,
 ) -> DataFrame:
-    """Values at 0-based ``ranks``, which are built from the row count of the group.
+    """Values at 0-based ``ranks``, given as SQL over ``group_rows``, the rows of the group.
+
+    A ``weight`` column makes each row stand for that many equal ones.
 
     Returns one row per group: ``by..., group_rows, found_0, found_1, ...``; without
     groups always exactly one row. ``few_groups`` promises a fixed number of groups,
@@ -46,50 +45,60 @@ def order_statistics(
     ranks at most.
     """
     by = list(by)
-    v = F.col("_v")
+    slots = range(len(ranks))
+    group = ", ".join(f"`{b}`" for b in by)
+    in_group = f"partition by {group} " if by else ""
     base = (
-        rows.select(*by, F.col(value).cast("double").alias("_v"))
-        .where(v.isNotNull() & ~F.isnan(v))
-        .withColumn("_cell", cell(v))
+        rows.select(
+            *by,
+            F.col(value).cast("double").alias("_v"),
+            F.col(weight).alias("_w") if weight else F.lit(1).alias("_w"),
+        )
+        .where("_v is not null and not isnan(_v)")
+        .selectExpr("*", f"{cells} as _cell")
     )
-
-    in_order = Window.partitionBy(*by).orderBy("_cell").rowsBetween(Window.unboundedPreceding, 0)
     counted = (
         base.groupBy(*by, "_cell")
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .withColumn("_below", F.sum("_n").over(in_order) - F.col("_n"))
-        .withColumn("group_rows", F.sum("_n").over(Window.partitionBy(*by)))
+        .agg(F.expr("sum(_w) as _n"))
+        .selectExpr(
+            "*",
+            f"sum(_n) over ({in_group}order by _cell rows unbounded preceding) - _n as _below",
+            f"sum(_n) over ({in_group.strip()}) as group_rows",
+        )
     )
-    local = [rank.cast("bigint") - F.col("_below") for rank in ranks(F.col("group_rows"))]
-    held = [F.when((r >= 0) & (r < F.col("_n")), r) for r in local]
-    slots = range(len(held))
     # Each wanted cell with the ranks it holds, counted from its first row.
-    cells = counted.select(
-        *by, "_cell", "group_rows", *[h.alias(f"_r{i}") for i, h in enumerate(held)]
-    ).where(F.coalesce(*[F.col(f"_r{i}") for i in slots]).isNotNull())
+    wanted = (
+        counted.selectExpr(
+            "*", *[f"cast({rank} as bigint) - _below as _l{i}" for i, rank in enumerate(ranks)]
+        )
+        .selectExpr(
+            *by,
+            "_cell",
+            "group_rows",
+            *[f"if(_l{i} >= 0 and _l{i} < _n, _l{i}, null) as _r{i}" for i in slots],
+        )
+        .where(f"coalesce({', '.join(f'_r{i}' for i in slots)}) is not null")
+    )
     if few_groups or not by:
-        cells = F.broadcast(cells)
+        wanted = F.broadcast(wanted)
 
-    running = (
-        Window.partitionBy(*by, "_cell").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    )
+    in_cell = f"partition by {', '.join([group] * bool(by) + ['_cell'])}"
     ranked = (
-        base.join(cells, [*by, "_cell"])
+        base.join(wanted, [*by, "_cell"])
         .groupBy(*by, "_cell", "_v")
         .agg(
-            F.count(F.lit(1)).alias("_m"),
-            F.max("group_rows").alias("group_rows"),
-            *[F.max(f"_r{i}").alias(f"_r{i}") for i in slots],
+            F.expr("sum(_w) as _m"),
+            F.expr("max(group_rows) as group_rows"),
+            *[F.expr(f"max(_r{i}) as _r{i}") for i in slots],
         )
-        .withColumn("_upto", F.sum("_m").over(running))
+        .selectExpr("*", f"sum(_m) over ({in_cell} order by _v rows unbounded preceding) as _upto")
     )
-
-    def at(i: int) -> Column:
-        r = F.col(f"_r{i}")
-        return F.when((r < F.col("_upto")) & (r >= F.col("_upto") - F.col("_m")), v)
-
     return ranked.groupBy(*by).agg(
-        F.max("group_rows").alias("group_rows"), *[F.max(at(i)).alias(f"found_{i}") for i in slots]
+        F.expr("max(group_rows) as group_rows"),
+        *[
+            F.expr(f"max(if(_r{i} < _upto and _r{i} >= _upto - _m, _v, null)) as found_{i}")
+            for i in slots
+        ],
     )
 
 
@@ -98,52 +107,48 @@ def quantiles(
     value: str,
     named: dict[str, float],
     by: Sequence[str] = (),
-    cell: Callable[[Column], Column] = log_cell,
+    cells: str = LOG_CELLS,
     few_groups: bool = False,
+    weight: str | None = None,
 ) -> DataFrame:
     """Linearly interpolated quantiles, one column per name; one row per group.
 
     Without ``by`` the result always has exactly one row (nulls for no input).
     """
-    probabilities = list(named.values())
+    spots = {name: f"{p!r}D * (group_rows - 1)" for name, p in named.items()}
+    ranks = [f"{edge}({spot})" for spot in spots.values() for edge in ("floor", "ceil")]
+    found = order_statistics(rows, value, ranks, by, cells, few_groups, weight)
 
-    def ranks(n: Column) -> list[Column]:
-        spots = [F.lit(p) * (n - 1) for p in probabilities]
-        return [edge(s) for s in spots for edge in (F.floor, F.ceil)]
+    def interpolate(i: int, spot: str) -> str:
+        low, high, weight = f"found_{2 * i}", f"found_{2 * i + 1}", f"({spot} - floor({spot}))"
+        return f"if({low} = {high}, {low}, {low} * (1 - {weight}) + {high} * {weight})"
 
-    found = order_statistics(rows, value, ranks, by, cell, few_groups)
-
-    def interpolate(i: int, p: float) -> Column:
-        low, high = F.col(f"found_{2 * i}"), F.col(f"found_{2 * i + 1}")
-        spot = F.lit(p) * (F.col("group_rows") - 1)
-        weight = spot - F.floor(spot)
-        return F.when(low == high, low).otherwise(low * (1 - weight) + high * weight)
-
-    return found.select(
-        *by, *[interpolate(i, p).alias(name) for i, (name, p) in enumerate(named.items())]
+    return found.selectExpr(
+        *by, *[f"{interpolate(i, spot)} as {name}" for i, (name, spot) in enumerate(spots.items())]
     )
 
 
-def iqr_fences(rows: DataFrame, value: str, by: Sequence[str] = (), few_groups: bool = False) -> DataFrame:
+def iqr_fences(
+    rows: DataFrame, value: str, by: Sequence[str] = (), few_groups: bool = False
+) -> DataFrame:
     """Quartiles and the 1.5 interquartile-range bounds around them."""
-    q = quantiles(rows, value, {"q1": 0.25, "q3": 0.75}, by, few_groups=few_groups)
-    spread = F.lit(1.5) * (F.col("q3") - F.col("q1"))
-    return q.select(
-        *by, "q1", "q3", (F.col("q1") - spread).alias("low"), (F.col("q3") + spread).alias("high")
+    quartiles = quantiles(rows, value, {"q1": 0.25, "q3": 0.75}, by, few_groups=few_groups)
+    return quartiles.selectExpr(
+        *by, "q1", "q3", "q1 - 1.5D * (q3 - q1) as low", "q3 + 1.5D * (q3 - q1) as high"
     )
 
 
-def smallest(rows: DataFrame, value: str, n: int, *ties: str, cell: Callable[[Column], Column] = log_cell) -> DataFrame:
+def smallest(rows: DataFrame, value: str, n: int, *ties: str, cells: str = LOG_CELLS) -> DataFrame:
     """The ``n`` rows with the smallest value, ties settled by the named columns.
 
     The exact n-th value is found first, so each task passes on only rows that
     belong to the answer instead of its own ``n`` best.
     """
-    at_n = order_statistics(rows, value, lambda total: [F.least(F.lit(n), total) - 1], cell=cell)
+    at_n = order_statistics(rows, value, [f"least({n}, group_rows) - 1"], cells=cells)
     limit = at_n.select("found_0").scalar()
     return rows.where(F.col(value) <= limit).orderBy(value, *ties).limit(n)
 
 
 def one_row(stats: DataFrame) -> Column:
     """A one-row frame as a struct value: a scalar subquery, not a join."""
-    return stats.select(F.struct(*stats.columns)).scalar()
+    return stats.select(F.struct("*")).scalar()

@@ -63,24 +63,21 @@ def tertile_edges(users: DataFrame, measures: list[str]) -> DataFrame:
     )
 
 
-def third_of(value: Column, edges: Column, names: tuple[str, str, str]) -> Column:
+def third_of(value: str, edges: str, names: tuple[str, str, str]) -> Column:
     """Name of the third, bins closed on the right.
 
     The bins are the tertiles, or three of equal width when any two edges coincide
     (the range then widens by 0.1 % when all values are equal).
     """
-    e0, e1, e2, e3 = (edges[f"e{i}"] for i in range(4))
-    tied = (e0 == e1) | (e1 == e2) | (e2 == e3)
-    width = (e3 - e0) / 3
-    upper_low = F.when(tied, e0 + width).otherwise(e1)
-    upper_mid = F.when(tied, e0 + width * 2).otherwise(e2)
-    low, mid, high = map(F.lit, names)
-    return (
-        F.when(value.isNull(), None)
-        .when(e0 == e3, mid)
-        .when(value <= upper_low, low)
-        .when(value <= upper_mid, mid)
-        .otherwise(high)
+    low, mid, high = names
+    tied = " or ".join(f"{edges}.e{i} = {edges}.e{i + 1}" for i in range(3))
+    width = f"({edges}.e3 - {edges}.e0) / 3"
+    return F.expr(
+        f"""case when {value} is null then null
+                 when {edges}.e0 = {edges}.e3 then '{mid}'
+                 when {value} <= if({tied}, {edges}.e0 + {width}, {edges}.e1) then '{low}'
+                 when {value} <= if({tied}, {edges}.e0 + {width} * 2, {edges}.e2) then '{mid}'
+                 else '{high}' end"""
     )
 
 
@@ -98,7 +95,7 @@ def label_users(users: DataFrame) -> DataFrame:
     cut = users.withColumn("_edges", edges)
     return cut.withColumns(
         {
-            name: third_of(F.col(measure).cast("double"), F.col("_edges")[measure], names)
+            name: third_of(measure, f"_edges.{measure}", names)
             for name, measure, names in CUTS
         }
     ).drop("_edges")

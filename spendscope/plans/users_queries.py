@@ -36,7 +36,7 @@ def user_activity(spark, folder):
     return shaped(users.activity(card_month(spark, folder)))
 
 
-def _features_sql(view: str) -> str:
+def _features_sql(view: str, mean_digits: int = 6, sum_digits: int = 2) -> str:
     return with_views(
         view,
         f"""with act as (select user_id, avg(n) as daily, count(*) as days
@@ -45,10 +45,10 @@ def _features_sql(view: str) -> str:
           partition by user_id order by count(*) desc, device_type) as nth
           from {view} where device_type is not null group by 1, 2) where nth = 1),
         main as (select user_id, cast(count(transaction_id) as bigint) as transaction_count,
-          round(avg(amount), 6) as avg_transaction_amount,
+          round(avg(amount), {mean_digits}) as avg_transaction_amount,
           round(coalesce(stddev_samp(amount), 0), 6) as std_transaction_amount,
           round(min(amount), 6) as min_transaction_amount, round(max(amount), 6) as max_transaction_amount,
-          round(sum(amount), 2) as total_spend, round(avg(cast(is_online as int)), 6) as online_transaction_ratio,
+          round(sum(amount), {sum_digits}) as total_spend, round(avg(cast(is_online as int)), 6) as online_transaction_ratio,
           round(avg(case when isodow(timestamp) >= 6 then 1 else 0 end), 6) as weekend_transaction_ratio,
           cast(count(distinct merchant_id) as bigint) as unique_merchants,
           cast(count(distinct merchant_category) as bigint) as unique_categories,
@@ -69,10 +69,10 @@ def user_features(spark, folder):
     return shaped(users.user_features(rows), total_spend=2)
 
 
-@named("user_features_lines", _features_sql("t3"))
+@named("user_features_lines", _features_sql("t3", 8, 4))
 def user_features_lines(spark, folder):
     rows = users.model_rows(merchant_lines(spark, folder))
-    return shaped(users.user_features(rows), total_spend=2)
+    return shaped(users.user_features(rows), total_spend=4, avg_transaction_amount=8)
 
 
 _STATS_SQL = """with s as (select user_id, count(transaction_id) as n, avg(amount) as a from {view}
