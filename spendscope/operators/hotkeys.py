@@ -17,6 +17,7 @@ def attach_by_key(
     spread_on: str,
     hot_share: int = HOT_SHARE,
     fanout: int = FANOUT,
+    counted: DataFrame | None = None,
 ) -> DataFrame:
     """``rows LEFT JOIN facts`` on ``key`` with hot keys spread over ``fanout`` tasks.
 
@@ -24,8 +25,11 @@ def attach_by_key(
     and the facts of that key are repeated once per salt; all other keys have the
     salt 0. The hot list is bounded by ``hot_share``, whatever the data, so its
     broadcast is too. Rows without a key match nothing and are spread as well.
+    ``counted`` names the table to count keys in when ``rows`` is an expensive
+    selection from it.
     """
-    counts = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_rows"))
+    source = rows if counted is None else counted
+    counts = source.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_rows"))
     everything = counts.agg(F.sum("_rows").alias("_all"))
     hot = (
         counts.where(F.col("_rows") * hot_share > everything.scalar())

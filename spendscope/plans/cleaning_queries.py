@@ -9,7 +9,7 @@ from spendscope.plans.registry import named
 from spendscope.sources.fixtures import dirty_month, merchant_lines, with_views
 from spendscope.sources.schemas import TEXT_COLUMNS
 
-_TIDY = ", ".join(
+TIDY_SQL = ", ".join(
     f"coalesce(lower(regexp_replace({c}, '^\\s+|\\s+$', '', 'g')), 'unknown') as {c}" for c in TEXT_COLUMNS
 )
 FILLED = """
@@ -20,11 +20,13 @@ filled as (select * exclude (amount, is_online, timestamp), amount is null as mi
 """
 # round(.., 9) undoes the last-bit error the oracle makes when it interpolates
 # between two equal values; amounts have two decimals.
-_FENCES = """
+def fences_sql(source: str) -> str:
+    return f"""
 fence as (select q1 - 1.5 * (q3 - q1) as low, q3 + 1.5 * (q3 - q1) as high
           from (select round(quantile_cont(amount, 0.25), 9) as q1,
-                       round(quantile_cont(amount, 0.75), 9) as q3 from {source}))
-"""
+                       round(quantile_cont(amount, 0.75), 9) as q3 from {source}))"""
+
+
 _FIRST = """
 first_rows as (select * exclude (nth) from (
   select *, row_number() over (partition by transaction_id order by file_seq) as nth from filled)
@@ -34,7 +36,7 @@ first_rows as (select * exclude (nth) from (
 
 @named(
     "clean_strings",
-    with_views("t1raw", f"select transaction_id, file_seq, merchant_id, {_TIDY} from t1raw"),
+    with_views("t1raw", f"select transaction_id, file_seq, merchant_id, {TIDY_SQL} from t1raw"),
 )
 def clean_strings(spark, folder):
     rows = cleaning.tidy_text(dirty_month(spark, folder))
@@ -75,7 +77,7 @@ def clean_timestamp_coerce(spark, folder):
     "outlier_upper_iqr",
     with_views(
         "t1raw",
-        f"with {FILLED} {_FENCES.format(source='filled')} "
+        f"with {FILLED} {fences_sql('filled')} "
         "select transaction_id, file_seq, round(amount, 2) as amount, amount > high as is_amount_outlier "
         "from filled, fence",
     ),
@@ -87,7 +89,7 @@ def outlier_upper_iqr(spark, folder):
     )
 
 
-_TWO_SIDED = f"with {FILLED} {_FIRST} {_FENCES.format(source='first_rows')}"
+_TWO_SIDED = f"with {FILLED} {_FIRST} {fences_sql('first_rows')}"
 
 
 def _analysis_rows(spark, folder):

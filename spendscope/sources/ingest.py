@@ -1,10 +1,17 @@
-"""What is left to ingest."""
+"""The ingest job and what is left to ingest."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from spendscope.operators.cleaning import fill_gaps, read_timestamps, tidy_text
+from spendscope.operators.dedup import keep_first
+from spendscope.operators.features import ingest_features
+from spendscope.operators.quantiles import iqr_fences, one_row
+from spendscope.sources.files import FILE_NAME, FILE_ORDER, read_raw
+from spendscope.sources.sinks import write_processed
+
 
 def pending_dates(wanted: DataFrame, completed: DataFrame, validated: DataFrame) -> DataFrame:
     """Wanted days not completed (``ingest``), and completed but not validated (``validate``)."""
@@ -15,3 +22,48 @@ def pending_dates(wanted: DataFrame, completed: DataFrame, validated: DataFrame)
         .withColumn("step", F.lit("validate"))
     )
     return to_ingest.unionByName(to_validate)
+
+
+def ingest_files(
+    spark: SparkSession, root: str, out: str, pattern: str = FILE_NAME, as_of: Column | None = None
+) -> DataFrame:
+    """Read, clean, deduplicate and enrich all files below ``root`` into Parquet at ``out``.
+
+    Returns one row of run statistics, observed while the table is written: no
+    second pass over the data.
+    """
+    raw = read_raw(spark, root, pattern)
+    read, written = Observation("rows read"), Observation("rows written")
+    watched = raw.observe(
+        read, F.count(F.lit(1)).alias("rows_read"), F.count_if(F.col("amount").isNull()).alias("missing_amounts")
+    )
+    # The bound of the outlier flag comes from the unwatched rows, so that each row is counted once.
+    cleaned = keep_first(
+        _flagged(watched, raw), "transaction_id", [F.col(c) for c in FILE_ORDER]
+    )
+    processed = (
+        ingest_features(cleaned, as_of)
+        .withColumn("date", F.to_date("timestamp"))
+        .observe(
+            written,
+            F.count(F.lit(1)).alias("rows_written"),
+            F.count_if(F.col("timestamp").isNull()).alias("bad_timestamps"),
+        )
+    )
+    write_processed(processed.drop(*FILE_ORDER), out)
+    counts = {**read.get, **written.get}
+    figures = [
+        (counts["rows_read"], counts["rows_written"], counts["rows_read"] - counts["rows_written"],
+         counts["missing_amounts"], counts["bad_timestamps"])
+    ]
+    return spark.createDataFrame(
+        figures,
+        "rows_read bigint, rows_written bigint, duplicates_removed bigint, missing_amounts bigint,"
+        " bad_timestamps bigint",
+    )
+
+
+def _flagged(rows: DataFrame, for_bounds: DataFrame) -> DataFrame:
+    bound = one_row(iqr_fences(fill_gaps(for_bounds.select("amount")), "amount"))["high"]
+    filled = fill_gaps(tidy_text(read_timestamps(rows)))
+    return filled.withColumn("is_amount_outlier", F.col("amount") > bound)
