@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spendscope.functions import calendar as cal
-from spendscope.functions.text import HASH_SPAN, stable_hash
+from spendscope.functions.text import HASH_SPAN, fast_hash
 from spendscope.operators.quantiles import linear_cells, quantiles, smallest
 from spendscope.session import settle
 
@@ -61,8 +61,10 @@ def _grow(values: np.ndarray, rng: np.random.Generator) -> list[tuple]:
     return nodes
 
 
-def _samples(rows: DataFrame, key: str, features: Sequence[str], trees: int, size: int, seed: int) -> DataFrame:
-    """``size`` rows for each of ``trees`` trees, chosen by hash.
+def _samples(
+    rows: DataFrame, key: str, features: Sequence[str], trees: int, size: int, seed: int
+) -> tuple[DataFrame, int]:
+    """``size`` rows for each of ``trees`` trees, chosen by hash; and the rows per tree.
 
     The rows with the smallest hashes form a pool just large enough for all trees
     and are dealt out in turn. A table smaller than the pool is used whole, and
@@ -70,17 +72,21 @@ def _samples(rows: DataFrame, key: str, features: Sequence[str], trees: int, siz
     """
     pool_size = trees * size
     numbered = rows.select(key, *[F.col(f).cast("double").alias(f) for f in features]).dropna()
-    hashed = numbered.withColumn("_hash", stable_hash(F.concat_ws(":", F.col(key), F.lit(seed))))
-    pool = settle(
-        smallest(hashed, "_hash", pool_size, key, *features, cells=linear_cells(0.0, HASH_SPAN)), "pool"
-    )
-    if pool.count() == pool_size:
+    hashed = numbered.withColumn("_hash", fast_hash(F.col(key), F.lit(seed)))
+    best = smallest(hashed, "_hash", pool_size, key, *features, cells=linear_cells(0.0, HASH_SPAN))
+    pool = settle(best, "pool")
+    found = pool.count()
+    if found == pool_size:
         turn = F.row_number().over(Window.partitionBy().orderBy("_hash", key, *features))
-        return pool.withColumn("tree", turn % trees)
+        return pool.withColumn("tree", turn % trees), size
     each = pool.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
-    own = stable_hash(F.concat_ws(":", F.col(key), F.col("tree"), F.lit(seed)))
-    nth = F.row_number().over(Window.partitionBy("tree").orderBy(own, key, *features))
-    return each.withColumn("_nth", nth).where(F.col("_nth") <= size)
+    own = Window.partitionBy("tree").orderBy("_own", key)
+    picked = (
+        each.withColumn("_own", fast_hash(F.col(key), F.col("tree"), F.lit(seed)))
+        .withColumn("_nth", F.row_number().over(own))
+        .where(F.col("_nth") <= size)
+    )
+    return picked, min(size, found)
 
 
 @dataclass(frozen=True)
@@ -130,7 +136,7 @@ def fit_forest(
         grown.insert(0, "tree", tree)
         return grown
 
-    samples = _samples(rows, key, names, trees, sample, seed)
+    samples, per_tree = _samples(rows, key, names, trees, sample, seed)
     # At most 2 * sample - 1 nodes per tree, so the driver holds a few megabytes.
     nodes = samples.groupBy("tree").applyInPandas(grow, _NODES).toPandas()
     if nodes.empty:
@@ -138,7 +144,6 @@ def fit_forest(
     nodes = nodes.sort_values(["tree", "node"], ignore_index=True)
     first = nodes.groupby("tree", sort=True)["node"].size().cumsum().shift(fill_value=0)
     offset = nodes["tree"].map(first).to_numpy()
-    per_tree = min(sample, samples.where(F.col("tree") == int(nodes["tree"].iloc[0])).count())
     arrays = (
         first.to_numpy(),
         nodes["feature"].to_numpy(),

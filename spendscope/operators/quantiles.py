@@ -115,13 +115,16 @@ def quantiles(
 
     Without ``by`` the result always has exactly one row (nulls for no input).
     """
-    spots = {name: f"{p!r}D * (group_rows - 1)" for name, p in named.items()}
+    # By way of percent, as the usual array libraries do: a third then lies just below 1/3.
+    spots = {name: f"{p * 100 / 100!r}D * (group_rows - 1)" for name, p in named.items()}
     ranks = [f"{edge}({spot})" for spot in spots.values() for edge in ("floor", "ceil")]
     found = order_statistics(rows, value, ranks, by, cells, few_groups, weight)
 
     def interpolate(i: int, spot: str) -> str:
         low, high, weight = f"found_{2 * i}", f"found_{2 * i + 1}", f"({spot} - floor({spot}))"
-        return f"if({low} = {high}, {low}, {low} * (1 - {weight}) + {high} * {weight})"
+        from_low = f"{low} + ({high} - {low}) * {weight}"
+        from_high = f"{high} - ({high} - {low}) * (1 - {weight})"
+        return f"if({weight} < 0.5D, {from_low}, {from_high})"
 
     return found.selectExpr(
         *by, *[f"{interpolate(i, spot)} as {name}" for i, (name, spot) in enumerate(spots.items())]

@@ -56,11 +56,16 @@ def _columns(features: DataFrame) -> tuple[list[str], list[str]]:
 
 @dataclass(frozen=True)
 class Encoder:
-    """Scaled numbers and one-hot categories as fitted on the training rows."""
+    """Scaled numbers and one-hot categories as fitted on the training rows.
+
+    Columns that are constant in the training rows are left out of the vector: their
+    coefficient is 0, and they would make the normal equations singular.
+    """
 
     scaled: tuple[str, ...]
     stages: PipelineModel
     names: tuple[str, ...]
+    constant: tuple[str, ...]
     label_scale: float
     training_rows: int
 
@@ -90,30 +95,44 @@ def _training_moments(training: DataFrame, numbers: Sequence[str]) -> dict[str,
 def fit_encoder(training: DataFrame) -> Encoder:
     categories, numbers = _columns(training)
     m = _training_moments(training, numbers)
+    varied = [c for c in numbers if m[f"{c}_std"]]
     scaled = tuple(
-        f"(coalesce({c}, {m[f'{c}_fill']!r}D) - {m[f'{c}_mean']!r}D) / {m[f'{c}_std'] or 1.0!r}D as {c}_scaled"
-        for c in numbers
+        f"(coalesce({c}, {m[f'{c}_fill']!r}D) - {m[f'{c}_mean']!r}D) / {m[f'{c}_std']!r}D as {c}_scaled"
+        for c in varied
     )
     indexer = StringIndexer(
         inputCols=categories,
         outputCols=[f"{c}_index" for c in categories],
         handleInvalid="keep",
         stringOrderType="alphabetAsc",
-    )
+    ).fit(training)
+    labels = dict(zip(categories, indexer.labelsArray))
+    several = [c for c in categories if len(labels[c]) > 1]
     # An unseen value gets the extra last index, which is the one dropped: all zeros.
     encoder = OneHotEncoder(
-        inputCols=[f"{c}_index" for c in categories],
-        outputCols=[f"{c}_hot" for c in categories],
+        inputCols=[f"{c}_index" for c in several],
+        outputCols=[f"{c}_hot" for c in several],
         dropLast=True,
     )
     assembler = VectorAssembler(
-        inputCols=[f"{c}_scaled" for c in numbers] + [f"{c}_hot" for c in categories],
+        inputCols=[f"{c}_scaled" for c in varied] + [f"{c}_hot" for c in several],
         outputCol="features",
     )
     stages = Pipeline(stages=[indexer, encoder, assembler]).fit(training.selectExpr("*", *scaled))
-    labels = stages.stages[0].labelsArray
-    names = [*numbers, *[f"{c}_{value}" for c, values in zip(categories, labels) for value in values]]
-    return Encoder(scaled, stages, tuple(names), float(m["target_std"] or 0.0), int(m["n"]))
+
+    def hot_names(columns: Sequence[str]) -> list[str]:
+        return [f"{c}_{value}" for c in columns for value in labels[c]]
+
+    single = [c for c in categories if c not in several]
+    constant = [*[c for c in numbers if c not in varied], *hot_names(single)]
+    return Encoder(
+        scaled,
+        stages,
+        (*varied, *hot_names(several)),
+        tuple(constant),
+        float(m["target_std"] or 0.0),
+        int(m["n"]),
+    )
 
 
 @dataclass(frozen=True)
@@ -130,6 +149,7 @@ class Ridge:
         """Features by absolute coefficient; one row per feature, so a small frame."""
         coefficients = self.model.coefficients.toArray()
         rows = [(n, float(abs(c)), float(c)) for n, c in zip(self.encoder.names, coefficients)]
+        rows += [(n, 0.0, 0.0) for n in self.encoder.constant]
         frame = spark.createDataFrame(rows, "feature string, importance double, coefficient double")
         return frame.orderBy(F.desc("importance"), "feature").limit(k)
 

@@ -6,7 +6,7 @@ windows without partitions in this module see a few thousand rows at most.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from spendscope.functions import calendar as cal
@@ -83,8 +83,12 @@ def weekly(series: DataFrame) -> DataFrame:
     )
 
 
-_IN_ORDER = Window.partitionBy().orderBy("week_end")
-_ALL_WEEKS = Window.partitionBy()
+def _in_order() -> WindowSpec:
+    return Window.partitionBy().orderBy("week_end")
+
+
+def _all_weeks() -> WindowSpec:
+    return Window.partitionBy()
 
 
 def centred_mean(value: str, width: Column, widest: int) -> Column:
@@ -98,7 +102,7 @@ def centred_mean(value: str, width: Column, widest: int) -> Column:
     for step in range(-(widest // 2), (widest - 1) // 2 + 1):
         near = F.lag(value, -step) if step < 0 else F.lead(value, step)
         inside = (F.lit(step) >= -behind) & (F.lit(step) <= ahead)
-        parts.append(F.when(inside, near.over(_IN_ORDER).cast("double")).otherwise(F.lit(0.0)))
+        parts.append(F.when(inside, near.over(_in_order()).cast("double")).otherwise(F.lit(0.0)))
     total = parts[0]
     for part in parts[1:]:
         total = total + part
@@ -108,7 +112,7 @@ def centred_mean(value: str, width: Column, widest: int) -> Column:
 def weekly_trend(weeks: DataFrame, widest: int = 12) -> DataFrame:
     """Smoothed count and value; the window is a quarter of the weeks, ``widest`` at most."""
     width = F.least(F.lit(widest), F.floor(F.col("weeks") / 4).cast("int"))
-    sized = weeks.withColumn("weeks", F.count(F.lit(1)).over(_ALL_WEEKS)).withColumn("width", width)
+    sized = weeks.withColumn("weeks", F.count(F.lit(1)).over(_all_weeks())).withColumn("width", width)
     return sized.withColumns(
         {
             "trend_count": centred_mean("transaction_count", F.col("width"), widest),
@@ -128,23 +132,23 @@ def decompose(weeks: DataFrame, value: str = "transaction_count", period: int =
         raise ValueError("the period must be even")
     half = period // 2
     x = F.col("observed")
-    around = _IN_ORDER.rowsBetween(-half, half)
+    around = _in_order().rowsBetween(-half, half)
     phase = Window.partitionBy("phase")
 
     indexed = weeks.select(
         "week_end",
         F.col(value).cast("double").alias("observed"),
-        (F.row_number().over(_IN_ORDER) - 1).alias("week_index"),
-        F.count(F.lit(1)).over(_ALL_WEEKS).alias("weeks"),
+        (F.row_number().over(_in_order()) - 1).alias("week_index"),
+        F.count(F.lit(1)).over(_all_weeks()).alias("weeks"),
     ).where(F.col("weeks") >= 2 * period)
-    first, last = F.lag(x, half).over(_IN_ORDER), F.lead(x, half).over(_IN_ORDER)
+    first, last = F.lag(x, half).over(_in_order()), F.lead(x, half).over(_in_order())
     trended = indexed.withColumn("phase", F.col("week_index") % period).withColumn(
         "trend", (F.sum(x).over(around) - (first + last) / 2) / period
     )
     phased = trended.withColumn("phase_mean", F.avg(x - F.col("trend")).over(phase)).withColumn(
         "phase_rows", F.count(F.lit(1)).over(phase)
     )
-    grand = F.sum(F.col("phase_mean") / F.col("phase_rows")).over(_ALL_WEEKS) / period
+    grand = F.sum(F.col("phase_mean") / F.col("phase_rows")).over(_all_weeks()) / period
     return (
         phased.withColumn("seasonal", F.col("phase_mean") - grand)
         .withColumn("residual", x - F.col("trend") - F.col("seasonal"))

@@ -19,11 +19,19 @@ users as (select *, cast(floor(epoch((select max(timestamp) from {view}) - l) /
 
 
 def _edges_sql(name: str, measure: str) -> str:
-    q = ", ".join(
-        f"round(quantile_cont(cast({measure} as double), {p}), 9) as e{i}"
-        for i, p in enumerate(("0.0", "cast(1 as double) / 3", "cast(2 as double) / 3", "1.0"))
-    )
-    return f"{name} as (select {q} from users)"
+    """Tertile edges by position, interpolated from the nearer neighbour."""
+    parts = []
+    for i, p in enumerate((0.0, 1 / 3, 2 / 3, 1.0)):
+        spot = f"((n - 1) * {p * 100 / 100!r}e0)"
+        low, high = (f"max(case when i = {f}({spot}) then x end)" for f in ("floor", "ceil"))
+        t = f"max({spot} - floor({spot}))"
+        parts.append(
+            f"case when {t} < 0.5 then {low} + ({high} - {low}) * {t}"
+            f" else {high} - ({high} - {low}) * (1 - {t}) end as e{i}"
+        )
+    return f"""{name} as (select {", ".join(parts)} from (
+      select cast({measure} as double) as x, row_number() over (order by {measure}) - 1 as i,
+             count(*) over () as n from users))"""
 
 
 def _third_sql(measure: str, edge: str, names: tuple[str, str, str]) -> str:
@@ -36,7 +44,7 @@ def _third_sql(measure: str, edge: str, names: tuple[str, str, str]) -> str:
       else '{high}' end"""
 
 
-_SPEND = ("round(v, 9)", "es", seg.SPEND_NAMES)
+_SPEND = ("v", "es", seg.SPEND_NAMES)
 _FREQUENCY = ("n", "ef", seg.FREQUENCY_NAMES)
 _RECENCY = ("recency_days", "er", seg.RECENCY_NAMES)
 

@@ -6,7 +6,7 @@ Every stream here takes what has arrived since its last run and stops
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
@@ -35,6 +35,16 @@ def _drain(writer: DataStreamWriter, checkpoint: str) -> None:
     writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
+def _with_event_time(rows: DataFrame) -> DataFrame:
+    """The timestamp read as UTC whatever the session time zone: watermarks need an instant."""
+    since_epoch = F.col("timestamp") - F.lit("1970-01-01").cast("timestamp_ntz")
+    return rows.withColumn("event_time", F.timestamp_seconds(F.lit(0)) + since_epoch)
+
+
+def _utc_date(instant: str) -> Column:
+    return F.date_add(F.lit("1970-01-01").cast("date"), F.floor(F.unix_seconds(instant) / 86400).cast("int"))
+
+
 def ingest(rows: DataFrame, out: str, checkpoint: str) -> None:
     """Append new rows to Parquet; each file is taken exactly once."""
     _drain(rows.writeStream.format("parquet").option("path", out).outputMode("append"), checkpoint)
@@ -72,7 +82,7 @@ def _others(rows: DataFrame) -> list[str]:
 
 def ingest_once_within(rows: DataFrame, out: str, checkpoint: str, lateness: str = "7 days") -> None:
     """Drop repeats that arrive within ``lateness``; the state forgets older ids."""
-    timed = rows.withColumn("event_time", F.col("timestamp").cast("timestamp"))
+    timed = _with_event_time(rows)
     once = timed.withWatermark("event_time", lateness).dropDuplicatesWithinWatermark(["transaction_id"])
     _drain(
         once.drop("event_time").writeStream.format("parquet").option("path", out).outputMode("append"),
@@ -85,12 +95,12 @@ def maintain_daily(rows: DataFrame, out: str, checkpoint: str, lateness: str = "
 
     Days older than ``lateness`` leave the state, so it holds a bounded number of days.
     """
-    timed = rows.withColumn("event_time", F.col("timestamp").cast("timestamp"))
+    timed = _with_event_time(rows)
     per_day = (
         timed.withWatermark("event_time", lateness)
         .groupBy(F.window("event_time", "1 day").alias("w"))
         .agg(*figures())
-        .select(F.to_date("w.start").alias("date"), *_FIGURES)
+        .select(_utc_date("w.start").alias("date"), *_FIGURES)
     )
 
     def put(batch: DataFrame, batch_id: int) -> None:
