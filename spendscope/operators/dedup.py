@@ -24,6 +24,7 @@ def keep_first(rows: DataFrame, key: str, order: Sequence[str | Column]) -> Data
 def unseen(rows: DataFrame, seen: DataFrame, key: str) -> DataFrame:
     """Rows whose key is not among the keys of ``seen``; rows without a key are kept.
 
+    Each key should be in ``rows`` once, as :func:`keep_first` leaves them.
     ``seen`` may be the whole history, so it is first cut down to the keys that
     occur in ``rows``: at most as many as the increment has.
     """

@@ -92,14 +92,14 @@ def home_countries(rows: DataFrame) -> DataFrame:
 
 def add_unusual_location(rows: DataFrame) -> DataFrame:
     """Country differs from the user's most frequent one (``unknown`` without a user)."""
-    usual = attach_by_key(rows, home_countries(rows), "user_id", "transaction_id")
+    usual = attach_by_key(rows, home_countries(rows), "user_id")
     same = F.col("location_country").eqNullSafe(F.coalesce("home_country", F.lit("unknown")))
     return usual.withColumn("unusual_location", ~same).drop("home_country")
 
 
 def add_cross_border(rows: DataFrame) -> DataFrame:
     """Home country of the user and whether the transaction is outside it."""
-    usual = attach_by_key(rows, home_countries(rows), "user_id", "transaction_id")
+    usual = attach_by_key(rows, home_countries(rows), "user_id")
     same = F.col("location_country").eqNullSafe(F.col("home_country"))
     return usual.withColumn("is_cross_border", ~same)
 

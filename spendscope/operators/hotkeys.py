@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 HOT_SHARE = 500  # a key is hot above 1/500 of all rows, so there are fewer than 500 of them
-FANOUT = 64
 BROADCAST_ROWS = 500_000
 
 
@@ -14,51 +13,41 @@ def attach_by_key(
     rows: DataFrame,
     facts: DataFrame,
     key: str,
-    spread_on: str,
     hot_share: int = HOT_SHARE,
-    fanout: int = FANOUT,
     counted: DataFrame | None = None,
 ) -> DataFrame:
-    """``rows LEFT JOIN facts`` on ``key`` with hot keys spread over ``fanout`` tasks.
-
-    ``facts`` has one row per key. Rows of a hot key get one of ``fanout`` salts
-    and the facts of that key are repeated once per salt; all other keys have the
-    salt 0. The hot list is bounded by ``hot_share``, whatever the data, so its
-    broadcast is too. Rows without a key match nothing and are spread as well.
-    ``counted`` names the table to count keys in when ``rows`` is an expensive
-    selection from it.
+    """``rows LEFT JOIN facts`` on ``key`` without shuffling the rows of hot keys.
+
+    ``facts`` has one row per key. Keys above ``1 / hot_share`` of all rows number
+    less than ``hot_share`` whatever the data, so their facts are broadcast and
+    their rows stay where they are, copies of one row included. Rows without a key
+    match nothing and stay as well. All other rows are joined by a shuffle in which
+    no key exceeds the share. ``counted`` names the table to count keys in when
+    ``rows`` is an expensive selection from it.
     """
     source = rows if counted is None else counted
     counts = source.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_rows"))
-    everything = counts.agg(F.sum("_rows").alias("_all"))
-    hot = (
-        counts.where(F.col("_rows") * hot_share > everything.scalar())
-        .select(F.col(key).alias("_hot"))
-    )
-    hot = F.broadcast(hot)
-
-    salt = F.pmod(F.xxhash64(spread_on), F.lit(fanout)).cast("int")
-    salted_rows = rows.join(hot, F.col(key) == F.col("_hot"), "left").withColumn(
-        "_salt", F.when(F.col("_hot").isNotNull() | F.col(key).isNull(), salt).otherwise(F.lit(0))
-    )
-    salts = F.when(
-        F.col("_hot").isNotNull(), F.sequence(F.lit(0), F.lit(fanout - 1))
-    ).otherwise(F.array(F.lit(0)))
-    salted_facts = (
-        facts.join(hot, F.col(key) == F.col("_hot"), "left")
-        .withColumn("_salt", F.explode(salts))
+    everything = counts.agg(F.sum("_rows")).scalar()
+    hot = F.broadcast(counts.where(F.col("_rows") * hot_share > everything).select(key))
+    hot_facts = F.broadcast(facts.join(hot, key, "left_semi"))
+    known = hot.withColumn("_hot", F.lit(True)).join(hot_facts, key, "left")
+
+    staying = (
+        rows.join(F.broadcast(known), key, "left")
+        .where(F.col("_hot") | F.col(key).isNull())
         .drop("_hot")
     )
-    return salted_rows.drop("_hot").join(salted_facts, [key, "_salt"], "left").drop("_salt")
+    moving = rows.where(F.col(key).isNotNull()).join(hot, key, "left_anti").join(facts, key, "left")
+    return staying.unionByName(moving)
 
 
 def attach_sized(
-    rows: DataFrame, facts: DataFrame, key: str, spread_on: str, max_rows: int = BROADCAST_ROWS
+    rows: DataFrame, facts: DataFrame, key: str, max_rows: int = BROADCAST_ROWS
 ) -> DataFrame:
-    """Broadcast ``facts`` when counting finds at most ``max_rows`` rows, else salt.
+    """Broadcast ``facts`` when counting finds at most ``max_rows`` rows, else :func:`attach_by_key`.
 
     For reference tables: the count reads no more than ``max_rows + 1`` rows.
     """
     if facts.limit(max_rows + 1).count() <= max_rows:
         return rows.join(F.broadcast(facts), key, "left")
-    return attach_by_key(rows, facts, key, spread_on)
+    return attach_by_key(rows, facts, key)

@@ -93,7 +93,7 @@ def _with_own_points(rows: DataFrame) -> DataFrame:
 def add_risk_score(rows: DataFrame, use_cross_border: bool = True) -> DataFrame:
     """Risk score 0 to 10 on every row. ``is_ml_anomaly`` counts when the table has it."""
     own = _with_own_points(rows)
-    scored = attach_by_key(own, _user_facts(rows), "user_id", "transaction_id", counted=rows)
+    scored = attach_by_key(own, _user_facts(rows), "user_id", counted=rows)
     score = (F.col("_points") + _user_points(use_cross_border)).cast("int")
     return scored.withColumn("risk_score", score).drop("_points", "is_unusual_user", "home_country")
 
@@ -161,7 +161,7 @@ def suspicious_report(rows: DataFrame, k: int = 1000, use_cross_border: bool = T
     """
     reachable = SUSPICIOUS - (2 if use_cross_border else 1)
     candidates = _with_own_points(rows).where(F.col("_points") >= reachable)
-    known = attach_by_key(candidates, _user_facts(rows), "user_id", "transaction_id", counted=rows)
+    known = attach_by_key(candidates, _user_facts(rows), "user_id", counted=rows)
     scored = known.withColumn(
         "risk_score", (F.col("_points") + _user_points(use_cross_border)).cast("int")
     )

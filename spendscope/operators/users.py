@@ -117,11 +117,11 @@ def enrich_with_user_stats(rows: DataFrame, training: DataFrame | None = None) -
             F.avg("amount").alias("user_avg_amount"),
         )
     )
-    return attach_by_key(rows, stats, "user_id", "transaction_id")
+    return attach_by_key(rows, stats, "user_id")
 
 
 def enrich_with_cluster(rows: DataFrame, clustered_users: DataFrame) -> DataFrame:
     """Cluster of the user on every transaction, -1 for users without one."""
     labels = clustered_users.select("user_id", "cluster")
-    labelled = attach_by_key(rows, labels, "user_id", "transaction_id")
+    labelled = attach_by_key(rows, labels, "user_id")
     return labelled.withColumn("cluster", F.coalesce("cluster", F.lit(-1)))

@@ -155,10 +155,12 @@ def dedup_keep_first(spark, folder):
 )
 def dedup_across_files(spark, folder):
     rows = dirty_month(spark, folder)
-    first, second = rows.where("file_seq = 1"), rows.where("file_seq = 2")
+    first, second = (
+        dedup.keep_first(rows.where(F.col("file_seq") == n), "transaction_id", ["timestamp", "amount"])
+        for n in (1, 2)
+    )
     kept = first.unionByName(dedup.unseen(second, first, "transaction_id"))
-    once = dedup.keep_first(kept, "transaction_id", ["file_seq"])
-    return once.select(
+    return kept.select(
         "transaction_id", "file_seq", "merchant_category", F.round("amount", 2).alias("amount")
     )
 

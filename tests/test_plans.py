@@ -51,4 +51,4 @@ def test_filters_reach_the_scan(spark, folder):
 def test_risk_totals_do_not_join_transactions(spark, folder):
     """Rows are counted per cell before user facts are joined."""
     plan = plan_of(risk.risk_cells(card_month(spark, folder)))
-    assert "_salt" not in plan
+    assert "LeftAnti" not in plan and "transaction_id" not in plan
