@@ -75,3 +75,126 @@ select doc_id, len(ws)::bigint as n_words, coalesce(words.n, 0)::bigint as n_hit
   sha256(coalesce(ids, '')) as items_sha256, words.n is not null as contaminated
 from d left join words using (r) left join items using (r)
 """
+
+# The targets by trying every set of capped sources that is closed under the ratio of size to weight; the
+# slots, their turns and the line of each source as window sums.
+OP2 = r"""
+with d as (
+  select row_number() over () as r, doc_id, source,
+    len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::bigint as size from documents
+), s as (
+  select source, sum(size)::bigint as source_size, row_number() over (order by source nulls last) as place,
+    (row_number() over (order by source nulls last) - 1) % 3 + 1 as weight from d group by source
+), o as (
+  select *, sum(3 * source_size) over w as capped, sum(weight) over w as heavy,
+    sum(source_size) over () as total, sum(weight) over () as weights
+  from s window w as (order by 3 * source_size / weight, place rows between unbounded preceding and current row)
+), k as (
+  select coalesce(max(capped) filter (over), 0) as capped, coalesce(max(heavy) filter (over), 0) as heavy
+  from (select *, 3 * source_size * (weights - heavy + weight) <= weight * (total - capped + 3 * source_size) as over from o)
+), t as (
+  select o.source, o.source_size, o.place,
+    case when o.weights = k.heavy or 3 * o.source_size * (o.weights - k.heavy) <= o.weight * (o.total - k.capped)
+      then (3 * o.source_size)::double
+      else (o.weight * (o.total - k.capped))::double / (o.weights - k.heavy)::double end as target
+  from o, k
+), e as (
+  select *, round(sum(target) over (order by place) / sum(target) over () * 2147483647)::bigint as hi from t
+), b as (
+  select *, coalesce(lag(hi) over (order by place), 0) as lo from e
+), n as (
+  select (sum(target) // 32)::bigint + 1 + 8 * count(*) as slots from t
+), slots as (
+  select i as slot, i % 2147483647 * 1327217885 % 2147483647 as point from n, unnest(range(slots)) as u(i)
+), turns as (
+  select place, source_size, floor(target)::bigint as goal, row_number() over (partition by place order by slot) - 1 as turn
+  from slots join b on point >= lo and point < hi
+), blocks as (
+  select *, (source_size + 31) // 32 as rounds from turns
+), lengths as (
+  select place, turn % rounds as block, goal - (turn // rounds * source_size + turn % rounds * 32) as remaining,
+    least(32, source_size - turn % rounds * 32) as length from blocks
+), takes as (
+  select place, block, count(*) filter (remaining >= length) as times,
+    coalesce(max(remaining) filter (remaining < length), 0) as cut
+  from lengths where remaining > 0 group by place, block
+), line as (
+  select d.*, b.place, b.source_size, b.target,
+    coalesce(sum(size) over (partition by d.source order by md5('mix' || coalesce(doc_id::varchar, 'null'))[1:8] , md5('mix' || coalesce(doc_id::varchar, 'null')), doc_id, size, r
+      rows between unbounded preceding and 1 preceding), 0)::bigint as start,
+    ('0x' || md5('mix' || coalesce(doc_id::varchar, 'null'))[1:8])::bigint % 1024 as part
+  from d join b on d.source is not distinct from b.source
+), placed as (
+  select r, doc_id, source, size, source_size, target, place,
+    coalesce(sum(size) over (partition by place order by part, md5('mix' || coalesce(doc_id::varchar, 'null')), doc_id, size, r
+      rows between unbounded preceding and 1 preceding), 0)::bigint as start
+  from line
+), pieces as (
+  select r, place, start, size, unnest(range(start // 32, (start + size - 1) // 32 + 1)) as block from placed where size > 0
+), words as (
+  select r, sum(times * (hi - lo) + greatest(0, least(hi, cut) - lo))::bigint as taken
+  from (select r, place, block, greatest(start, block * 32) - block * 32 as lo,
+          least(start + size, block * 32 + 32) - block * 32 as hi from pieces)
+  join takes using (place, block) group by r
+)
+select doc_id, source, size, source_size, target, coalesce(taken, 0)::bigint as taken from placed left join words using (r)
+"""
+
+OP6 = r"""
+with u as (
+  select page_id, regexp_extract(coalesce(url, ''), '(?s)^.*?://(.*)$', 1) as rest from pages
+), p as (
+  select page_id, translate(regexp_extract(rest, '(?s)^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz') as host, regexp_extract(rest, '(?s)^[^/?#]*([^?#]*)', 1) as path from u
+), rules(verdict, rhost, rpath) as (
+  values ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'),
+    ('allow', 'com', '/fr/'), ('block', 'com', '/de/')
+), fit as (
+  select page_id, host, path, max_by(rhost || rpath, length(rhost || rpath)) as rule, max_by(verdict, length(rhost || rpath)) as verdict
+  from p join rules on (host = rhost or ends_with(host, '.' || rhost)) and starts_with(path, rpath)
+  group by page_id, host, path
+), m as (
+  select page_id, host, path, host || path as c from p
+)
+select m.page_id, m.host, m.path, fit.rule, case when fit.rule is not null then fit.verdict
+  when c like '%ads-track%' or c like 'ads.%' or c like '%.ads.%' or c like 'ad_.%' or c like '%.doubleclick.%' or c like '%/ads/%'
+    or c like '%/adserver/%' or c like '%/track/%' or c like '%/pixel.gif' or c like '%casino%' or c like '%viagra%'
+    or c like '%/wp-login.php%' or c like '%/cgi-bin/%' or c like '%.exe' then 'block' else 'allow' end as verdict
+from m left join fit on m.page_id is not distinct from fit.page_id and m.host = fit.host and m.path = fit.path
+"""
+
+# The documents hold notices of one line only; the longer known texts are left to the tests.
+OP9 = r"""
+with d as (
+  select row_number() over () as r, doc_id, coalesce(text, '') as t from documents
+), known(license, k) as (
+  values ('Apache-2.0', 'licensed under the apache license version 2 0'), ('Apache-2.0', 'spdx license identifier apache 2 0'),
+    ('MIT', 'released under the mit license'), ('MIT', 'spdx license identifier mit'),
+    ('GPL-3.0', 'this work is licensed under the gnu general public license version 3'),
+    ('GPL-3.0', 'spdx license identifier gpl 3 0 only'), ('CC-BY-NC-4.0', 'licensed under cc by nc 4 0'),
+    ('all-rights-reserved', 'all rights reserved')
+), l as (
+  select r, unnest(string_split(t, chr(10))) as line, true as part from d union all select r, t, false from d
+), c as (
+  select r, part, trim(regexp_replace(replace(replace(regexp_replace(lower(line),
+    '(?m)^[ \t]*(?:copyright|\(c\)|\x{00A9})(?:[ \t]+(?:copyright|\(c\)|\x{00A9}|[0-9]).*)?$', ' ', 'g'), 'licence', 'license'),
+    'licenced', 'licensed'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+', ' ', 'g')) as k from l
+), f as (
+  select r, max(license) filter (not part) as whole_license, count(license) filter (part) as n_notices,
+    coalesce(string_agg(distinct license, ',' order by license) filter (part), '') as notices
+  from c left join known using (k) group by r
+)
+select doc_id, whole_license, notices, n_notices from d join f using (r)
+"""
+
+OP10 = r"""
+with c as (
+  select source, lang, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::bigint as words,
+    len(regexp_extract_all(coalesce(text, ''),
+      '[0-9]{1,3}|[A-Za-z\x{0080}-\x{10FFFF}]+|[^\x20\x09-\x0D0-9A-Za-z\x{0080}-\x{10FFFF}]'))::bigint as pieces,
+    length(coalesce(text, '')) - length(replace(coalesce(text, ''), '|', '')) as pipes from documents
+)
+select source, lang, 'words-1' as version, count(*) as n_docs, sum(words)::bigint as n_tokens from c where words >= 20 group by source, lang
+union all
+select source, lang, 'pieces-2', count(*), sum(pieces - pipes)::bigint from c group by source, lang
+"""

@@ -9,10 +9,15 @@ from pyspark.sql import functions as F
 
 from spendscope.llm import oracles
 from spendscope.llm.decontaminate import contamination
+from spendscope.llm.licenses import scan_licenses
+from spendscope.llm.line_crf import score_documents, train
 from spendscope.llm.mixing import mix
 from spendscope.llm.near_dup import near_duplicates
 from spendscope.llm.quality_rules import clean_lines
 from spendscope.llm.texts import table
+from spendscope.llm.token_rollup import TokenRollup, count_pieces, deleted, inserted, revised
+from spendscope.llm.url_filter import judge_urls
+from spendscope.session import fresh_path, settle
 
 Build = Callable[[SparkSession, str], DataFrame]
 
@@ -25,6 +30,15 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))
 
 
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return score_documents(docs, train(docs, table(spark, sf_dir, "labels")))
+
+
+def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_urls(table(spark, sf_dir, "pages"))
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select(
@@ -43,14 +57,51 @@ def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", "component_id", kept.alias("kept"))
 
 
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scan_licenses(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "whole_license", F.array_join("notices", ",").alias("notices"), "n_notices")
+
+
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents come in under both tokenizer versions; short ones (fewer than 20 words) are deleted
+    from the first, piped ones are recounted under the second without their pipes; one batch is replayed."""
+    text = F.col("text")
+    counted = settle(
+        table(spark, sf_dir, "documents").select(
+            "source",
+            "lang",
+            count_pieces(text, "words-1").alias("words"),
+            count_pieces(text, "pieces-2").alias("pieces"),
+            F.coalesce(F.regexp_count(text, F.lit("[|]")), F.lit(0)).cast("long").alias("pipes"),
+        ),
+        "counted",
+    )
+    words, pieces = (counted.withColumn("version", F.lit(v)) for v in ("words-1", "pieces-2"))
+    rollup = TokenRollup(spark, fresh_path(spark, "token-rollup"))
+    rollup.commit("00000-words", inserted(words, F.col("words")))
+    rollup.commit("00001-pieces", inserted(pieces, F.col("pieces")))
+    rollup.commit("00002-short", deleted(words.where("words < 20"), F.col("words")))
+    rollup.commit("00003-pipes", revised(pieces, F.col("pieces"), F.col("pieces") - F.col("pipes")))
+    rollup.commit("00003-pipes", revised(pieces, F.col("pieces"), F.col("pieces") - F.col("pipes")))
+    return rollup.totals()
+
+
 QUERIES: dict[str, Build] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_mixing": op2_mixing,
+    "op5_quality_classifier": op5_quality_classifier,
+    "op6_url_filters": op6_url_filters,
     "op7_decontamination": op7_decontamination,
     "op8_near_duplicates": op8_near_duplicates,
+    "op9_license_scan": op9_license_scan,
+    "op10_token_counts": op10_token_counts,
 }
 
 ORACLES: dict[str, str] = {
     "op1_quality_rules": oracles.OP1,
+    "op2_mixing": oracles.OP2,
+    "op6_url_filters": oracles.OP6,
     "op7_decontamination": oracles.OP7,
+    "op9_license_scan": oracles.OP9,
+    "op10_token_counts": oracles.OP10,
 }

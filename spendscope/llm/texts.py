@@ -13,8 +13,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 SLICE_BYTES = 1 << 21  # bytes of text that one vectorised step looks at
 
 _MASK = np.uint64(0xFFFFFFFFFFFFFFFF)
-_BLANK = np.zeros(256, dtype=bool)
-_BLANK[[0x20, *range(0x09, 0x0E)]] = True
+BLANK = np.zeros(256, dtype=bool)
+BLANK[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -92,7 +92,7 @@ def word_hashes(texts: list[bytes], lower: bool = False) -> tuple[np.ndarray, np
     data = np.frombuffer(b"\n".join(texts), dtype=np.uint8)
     if lower:
         data = _LOWER[data]
-    solid = ~_BLANK[data]
+    solid = ~BLANK[data]
     first = solid.copy()
     first[1:] &= ~solid[:-1]
     letters = data[solid]
