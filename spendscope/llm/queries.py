@@ -11,6 +11,7 @@ from spendscope.llm import oracles
 from spendscope.llm.decontaminate import contamination
 from spendscope.llm.licenses import scan_licenses
 from spendscope.llm.line_crf import score_documents, train
+from spendscope.llm.line_dedup import without_repeats
 from spendscope.llm.mixing import mix
 from spendscope.llm.near_dup import near_duplicates
 from spendscope.llm.quality_rules import clean_lines
@@ -30,6 +31,12 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given, result = without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    counts = [F.col(result)[c].alias(c) for c in ("n_lines", "n_removed_lines", "n_removed_words", "n_left_words")]
+    return given.select("doc_id", *counts, F.sha2(F.col(result)["text"], 256).alias("text_sha256"))
+
+
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return score_documents(docs, train(docs, table(spark, sf_dir, "labels")))
@@ -89,6 +96,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Build] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_mixing": op2_mixing,
+    "op4_line_dedup": op4_line_dedup,
     "op5_quality_classifier": op5_quality_classifier,
     "op6_url_filters": op6_url_filters,
     "op7_decontamination": op7_decontamination,
