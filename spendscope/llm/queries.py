@@ -14,6 +14,7 @@ from spendscope.llm.line_crf import score_documents, train
 from spendscope.llm.line_dedup import without_repeats
 from spendscope.llm.mixing import mix
 from spendscope.llm.near_dup import near_duplicates
+from spendscope.llm.pii import KINDS, find_personal_data, written
 from spendscope.llm.quality_rules import clean_lines
 from spendscope.llm.texts import table
 from spendscope.llm.token_rollup import TokenRollup, count_pieces, deleted, inserted, revised
@@ -31,6 +32,20 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))
 
 
+def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, _ = find_personal_data(table(spark, sf_dir, "documents"))
+
+    def count(kind: int):
+        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long")
+
+    return found.select(
+        "doc_id",
+        *[count(k).alias(f"n_{name}") for k, name in enumerate(KINDS)],
+        F.sha2(written(F.col("base")), 256).alias("base_sha256"),
+        written(F.col("spans")).alias("spans"),
+    )
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     given, result = without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
     counts = [F.col(result)[c].alias(c) for c in ("n_lines", "n_removed_lines", "n_removed_words", "n_left_words")]
@@ -96,6 +111,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Build] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_mixing": op2_mixing,
+    "op3_personal_data": op3_personal_data,
     "op4_line_dedup": op4_line_dedup,
     "op5_quality_classifier": op5_quality_classifier,
     "op6_url_filters": op6_url_filters,
