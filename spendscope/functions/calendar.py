@@ -24,7 +24,8 @@ def day_of_week(moment: Column) -> Column:
 
 
 def is_weekend(moment: Column) -> Column:
-    return F.weekday(moment) >= 5
+    """False where there is no moment."""
+    return F.coalesce(F.weekday(moment) >= 5, F.lit(False))
 
 
 def day_name(moment: Column) -> Column:
@@ -44,6 +45,7 @@ def week_ending_sunday(day: Column) -> Column:
     return F.date_add(day, 6 - F.weekday(day))
 
 
+# The labels of the two ways to part a day.
 def day_period(hour: Column) -> Column:
     """Bins closed on the left: 6 is morning, 12 afternoon, 18 evening."""
     return (

@@ -17,6 +17,7 @@ from spendscope.operators.quantiles import one_row, quantiles
 from spendscope.operators.users import enrich_with_user_stats, model_rows
 from spendscope.sources.schemas import present
 
+# The columns that the model takes.
 CATEGORIES = (
     "merchant_category", "currency", "location_country", "device_type", "time_of_day", "is_online",
 )
@@ -34,11 +35,12 @@ def prediction_features(rows: DataFrame, target: str = "amount", leak_free: bool
     """Features, target and split flag of every transaction with a target.
 
     The user's mean amount includes the amounts to be predicted unless
-    ``leak_free``, which takes it from the training rows only.
+    ``leak_free``, which takes it from the training rows only. Rows without a target
+    count for the user's statistics and are left out afterwards.
     """
-    known = with_target(model_rows(rows), target).withColumn("is_test", is_test())
+    known = model_rows(rows).withColumn("is_test", is_test())
     training = known.where(~F.col("is_test")) if leak_free else None
-    enriched = enrich_with_user_stats(known, training)
+    enriched = with_target(enrich_with_user_stats(known, training), target)
     categories = present(enriched, [*CATEGORIES, "cluster"])
     numbers = present(enriched, [*NUMBERS, *USER_NUMBERS])
     return enriched.select(

@@ -42,6 +42,23 @@ def feat_calendar(spark, folder):
     )
 
 
+@named(
+    "feat_calendar_dirty",
+    with_views(
+        "t1raw",
+        """select transaction_id, file_seq, coalesce(cast(hour(ts) as int), -1) as hour,
+                  coalesce(cast(isodow(ts) - 1 as int), -1) as day_of_week,
+                  coalesce(isodow(ts) >= 6, false) as is_weekend
+           from (select *, try_cast(timestamp as timestamp) as ts from t1raw)""",
+    ),
+)
+def feat_calendar_dirty(spark, folder):
+    """Rows without a valid timestamp have no hour and are on no weekend."""
+    rows = features.add_calendar(parsed(dirty_month(spark, folder)))
+    shown = rows.select("transaction_id", "file_seq", "hour", "day_of_week", "is_weekend")
+    return shown.fillna(-1, ["hour", "day_of_week"])
+
+
 @named(
     "feat_day_names",
     with_views(

@@ -46,19 +46,14 @@ def dirty_files(spark, folder) -> str:
     "scan_csv_typed",
     with_views(
         "t1raw",
-        """select transaction_id, user_id, merchant_name, round(amount, 4) as amount,
-                  cast(is_online as varchar) as is_online, location_country, try_cast(timestamp as timestamp) as timestamp from t1raw""",
+        f"""select {', '.join(c for c in TRANSACTION_COLUMNS if c not in ('amount', 'is_online', 'timestamp'))},
+                  round(amount, 4) as amount, cast(is_online as varchar) as is_online,
+                  try_cast(timestamp as timestamp) as timestamp from t1raw""",
     ),
 )
 def scan_csv_typed(spark, folder):
     rows = files.read_typed(spark, dirty_files(spark, folder), _CSV)
-    return shaped(
-        rows.select(
-            "transaction_id", "user_id", "merchant_name", "amount",
-            F.col("is_online").cast("string").alias("is_online"), "location_country", "timestamp",
-        ),
-        amount=4,
-    )
+    return shaped(rows.select(*TRANSACTION_COLUMNS).withColumn("is_online", F.col("is_online").cast("string")), amount=4)
 
 
 @named(
@@ -106,13 +101,15 @@ def file_manifest(spark, folder):
 
 @named(
     "scan_parquet",
-    with_views("t1", "select transaction_id, round(amount, 4) as amount, location_country, timestamp from t1"),
+    with_views(
+        "t1", f"select {', '.join(c for c in TRANSACTION_COLUMNS if c != 'amount')}, round(amount, 4) as amount from t1"
+    ),
 )
 def scan_parquet(spark, folder):
     out = fresh_path(spark, "table")
     card_month(spark, folder).write.parquet(out)
     rows = files.read_processed(spark, out)
-    return shaped(rows.select("transaction_id", "amount", "location_country", "timestamp"), amount=4)
+    return shaped(rows.select(*TRANSACTION_COLUMNS), amount=4)
 
 
 @named(
@@ -218,8 +215,7 @@ def ingest_processed(spark, folder):
         "timestamp", "day_of_week", "is_weekend", "hour", "time_period", "days_since_transaction",
         "high_value_online",
     )
-    numbered = rows.fillna(-1, ["day_of_week", "hour", "days_since_transaction"])
-    return shaped(numbered.fillna(False, ["is_weekend"]), amount=2)
+    return shaped(rows.fillna(-1, ["day_of_week", "hour", "days_since_transaction"]), amount=2)
 
 
 @named(

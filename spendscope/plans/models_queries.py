@@ -10,7 +10,7 @@ from spendscope.operators import forest, regression, risk, users
 from spendscope.plans.registry import named
 from spendscope.plans.shape import shaped
 from spendscope.session import settle
-from spendscope.sources.fixtures import card_month, merchant_lines, with_views
+from spendscope.sources.fixtures import card_month, dirty_month, merchant_lines, parsed, with_views
 
 CLUSTERS = 4
 
@@ -132,6 +132,32 @@ def ml_prediction_features_leak_free(spark, folder):
     return shaped(features, target=4)
 
 
+@named(
+    "ml_prediction_features_dirty",
+    with_views(
+        "t1raw",
+        f"""with rows as (select * exclude (timestamp), try_cast(timestamp as timestamp) as timestamp from t1raw),
+        {_STATS_SQL.format(source='rows')}
+        select transaction_id, file_seq, round(amount, 4) as target, coalesce(location_country, 'missing') as location_country,
+          coalesce(cast(hour(timestamp) as double), -1) as hour,
+          case when isodow(timestamp) >= 6 then 1.0::double else 0.0::double end as is_weekend,
+          n as user_transaction_count, round(a, 6) as user_avg_amount
+        from rows left join s using (user_id) where amount is not null""",
+    ),
+)
+def ml_prediction_features_dirty(spark, folder):
+    """Amounts are missing here: such rows count for the user and are not predicted."""
+    rows = parsed(dirty_month(spark, folder)).withColumn("transaction_id", F.concat_ws("/", "transaction_id", "file_seq"))
+    found = regression.prediction_features(rows).withColumn("_id", F.split("transaction_id", "/"))
+    return shaped(
+        found.select(
+            F.col("_id")[0].alias("transaction_id"), F.col("_id")[1].cast("int").alias("file_seq"), "target", "location_country",
+            F.coalesce("hour", F.lit(-1.0)).alias("hour"), "is_weekend", "user_transaction_count", "user_avg_amount",
+        ),
+        target=4,
+    )
+
+
 def _features(spark, folder):
     """The prediction table, settled: fitting and scoring pass over it several times."""
     return settle(regression.prediction_features(card_month(spark, folder)), "prediction")

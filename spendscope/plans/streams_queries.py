@@ -10,7 +10,7 @@ from spendscope.plans.registry import named
 from spendscope.plans.shape import shaped
 from spendscope.session import fresh_path
 from spendscope.sources import sinks
-from spendscope.sources.fixtures import dirty_month, with_views
+from spendscope.sources.fixtures import card_month, dirty_month, with_views
 from spendscope.sources.schemas import TRANSACTION_COLUMNS
 from spendscope.streaming import increments
 
@@ -19,16 +19,14 @@ from spendscope.streaming import increments
     "stream_ingest",
     with_views(
         "t1",
-        "select transaction_id, user_id, merchant_category, round(amount, 4) as amount, timestamp from t1",
+        f"select {', '.join(c for c in TRANSACTION_COLUMNS if c != 'amount')}, round(amount, 4) as amount from t1",
     ),
 )
 def stream_ingest(spark, folder):
     out, checkpoint = fresh_path(spark, "table"), fresh_path(spark, "progress")
     increments.ingest(increments.incoming(spark, day_files(spark, folder)), out, checkpoint)
     rows = spark.read.parquet(out)
-    return shaped(
-        rows.select("transaction_id", "user_id", "merchant_category", "amount", "timestamp"), amount=4
-    )
+    return shaped(rows.select(*TRANSACTION_COLUMNS), amount=4)
 
 
 _ONCE_SQL = with_views(
@@ -58,21 +56,28 @@ def stream_dedup(spark, folder):
     return shaped(spark.read.parquet(out).select("transaction_id", "amount", "timestamp"), amount=2)
 
 
-@named(
-    "stream_dedup_watermark",
-    _ONCE_SQL.replace("from t1raw)", "from t1raw where try_cast(timestamp as timestamp) is not null)"),
-)
+@named("stream_dedup_watermark", _ONCE_SQL)
 def stream_dedup_watermark(spark, folder):
-    """Repeats within the allowed lateness are dropped; rows need an event time."""
+    """Repeats within the allowed lateness are dropped; undated rows are kept once per id."""
     out, checkpoint = fresh_path(spark, "once"), fresh_path(spark, "progress")
-    rows = increments.incoming(spark, dirty_files(spark, folder)).where(F.col("timestamp").isNotNull())
-    increments.ingest_once_within(rows, out, checkpoint, "60 days")
-    return shaped(spark.read.parquet(out).select("transaction_id", "amount", "timestamp"), amount=2)
+    rows = increments.incoming(spark, dirty_files(spark, folder))
+    lost = increments.ingest_once_within(rows, out, checkpoint, "60 days")
+    if lost:
+        raise RuntimeError(f"{lost} rows came later than the allowed lateness")
+    kept = [spark.read.parquet(p).select("transaction_id", "amount", "timestamp") for p in (out, increments.undated_part(out))]
+    return shaped(kept[0].unionByName(kept[1]), amount=2)
 
 
 @named("stream_daily_metrics", DAILY_SQL)
 def stream_daily_metrics(spark, folder):
-    out, checkpoint = fresh_path(spark, "daily"), fresh_path(spark, "progress")
-    rows = increments.incoming(spark, day_files(spark, folder))
-    increments.maintain_daily(rows, out, checkpoint, "60 days")
+    """Three deliveries of the month, the last one with its first days; one run after each."""
+    root, out, checkpoint = fresh_path(spark, "incoming"), fresh_path(spark, "daily"), fresh_path(spark, "progress")
+    day = F.dayofmonth("timestamp")
+    rows = card_month(spark, folder).withColumn("day", F.to_date("timestamp"))
+    late_first = F.when(day > 20, 1).when(day > 5, 2).otherwise(3)
+    rows = rows.withColumn("delivery", late_first).withColumn("timestamp", F.col("timestamp").cast("string"))
+    for delivery in (1, 2, 3):
+        part = rows.where(F.col("delivery") == delivery).select(*TRANSACTION_COLUMNS, "day")
+        sinks.write_daily_files(part, f"{root}/{delivery}", "day")
+        increments.maintain_daily(increments.incoming(spark, root), out, checkpoint)
     return shaped(increments.latest_daily(spark, out), transaction_value=2)

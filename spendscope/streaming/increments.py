@@ -6,12 +6,12 @@ Every stream here takes what has arrived since its last run and stops
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import DataStreamWriter
+from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
 from spendscope.functions.calendar import parse_timestamp
-from spendscope.operators.aggregates import figures
+from spendscope.operators.aggregates import keyed, with_date
 from spendscope.operators.dedup import keep_first, unseen
 from spendscope.sources.schemas import RAW_TRANSACTIONS
 
@@ -19,7 +19,7 @@ from spendscope.sources.schemas import RAW_TRANSACTIONS
 def incoming(
     spark: SparkSession, root: str, pattern: str = "*.csv", files_per_batch: int | None = None
 ) -> DataFrame:
-    """New transaction files below ``root`` as a stream of parsed rows."""
+    """New transaction files below ``root`` as a stream of parsed rows and where in a file they stand."""
     reader = (
         spark.readStream.schema(RAW_TRANSACTIONS)
         .option("header", True)
@@ -28,11 +28,19 @@ def incoming(
     )
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    return reader.csv(root).withColumn("timestamp", parse_timestamp(F.col("timestamp")))
+    placed = reader.csv(root).select(
+        "*", F.col("_metadata.file_path").alias("source_file"), F.col("_metadata.file_block_start").alias("source_block")
+    )
+    return placed.withColumn("timestamp", parse_timestamp(F.col("timestamp")))
+
 
+_ORIGIN = ("source_file", "source_block")
 
-def _drain(writer: DataStreamWriter, checkpoint: str) -> None:
-    writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+def _drain(writer: DataStreamWriter, checkpoint: str) -> StreamingQuery:
+    query = writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return query
 
 
 def _with_event_time(rows: DataFrame) -> DataFrame:
@@ -41,17 +49,14 @@ def _with_event_time(rows: DataFrame) -> DataFrame:
     return rows.withColumn("event_time", F.timestamp_seconds(F.lit(0)) + since_epoch)
 
 
-def _utc_date(instant: str) -> Column:
-    return F.date_add(F.lit("1970-01-01").cast("date"), F.floor(F.unix_seconds(instant) / 86400).cast("int"))
-
-
 def ingest(rows: DataFrame, out: str, checkpoint: str) -> None:
     """Append new rows to Parquet; each file is taken exactly once."""
-    _drain(rows.writeStream.format("parquet").option("path", out).outputMode("append"), checkpoint)
+    kept = rows.drop(*_ORIGIN)
+    _drain(kept.writeStream.format("parquet").option("path", out).outputMode("append"), checkpoint)
 
 
 def ingest_once_per_id(rows: DataFrame, out: str, checkpoint: str) -> None:
-    """Append only transactions whose id was never written.
+    """Append only transactions whose id was never written; of repeats the first one in file order stays.
 
     The written table is the memory, so nothing grows in the state store. Each batch
     writes its own folder and looks only at earlier ones; a batch that is repeated
@@ -61,7 +66,9 @@ def ingest_once_per_id(rows: DataFrame, out: str, checkpoint: str) -> None:
     spark = rows.sparkSession
 
     def add(batch: DataFrame, batch_id: int) -> None:
-        fresh = keep_first(batch, "transaction_id", ["timestamp", *_others(batch)])
+        # Row ids grow along a partition, so file, block and id give the order of the rows in the files.
+        numbered = batch.withColumn("source_row", F.monotonically_increasing_id())
+        fresh = keep_first(numbered, "transaction_id", [*_ORIGIN, "source_row"]).drop(*_ORIGIN, "source_row")
         if batch_id > 0:
             earlier = spark.read.schema("transaction_id string, batch bigint").parquet(out)
             fresh = unseen(fresh, earlier.where(F.col("batch") < batch_id), "transaction_id")
@@ -76,55 +83,62 @@ def ingest_once_per_id(rows: DataFrame, out: str, checkpoint: str) -> None:
     _drain(rows.writeStream.foreachBatch(add), checkpoint)
 
 
-def _others(rows: DataFrame) -> list[str]:
-    return [c for c in rows.columns if c not in ("transaction_id", "timestamp")]
-
+def ingest_once_within(rows: DataFrame, out: str, checkpoint: str, lateness: str = "7 days") -> int:
+    """Drop repeats that arrive within ``lateness``; the state forgets older ids.
 
-def ingest_once_within(rows: DataFrame, out: str, checkpoint: str, lateness: str = "7 days") -> None:
-    """Drop repeats that arrive within ``lateness``; the state forgets older ids."""
-    timed = _with_event_time(rows)
+    Rows that arrive later than that are not written; their number is returned, so a caller sees the loss.
+    Rows without a valid timestamp have no event time: they are kept once per id in ``undated_part(out)``.
+    """
+    timed = _with_event_time(rows.where(F.col("timestamp").isNotNull()))
     once = timed.withWatermark("event_time", lateness).dropDuplicatesWithinWatermark(["transaction_id"])
-    _drain(
-        once.drop("event_time").writeStream.format("parquet").option("path", out).outputMode("append"),
+    query = _drain(
+        once.drop("event_time", *_ORIGIN).writeStream.format("parquet").option("path", out).outputMode("append"),
         checkpoint,
     )
+    undated = rows.where(F.col("timestamp").isNull())
+    ingest_once_per_id(undated, undated_part(out), f"{checkpoint}-undated")
+    return sum(
+        state.get("numRowsDroppedByWatermark", 0)
+        for progress in query.recentProgress
+        for state in progress.get("stateOperators", [])
+    )
+
 
+def undated_part(out: str) -> str:
+    return f"{out}-undated"
 
-def maintain_daily(rows: DataFrame, out: str, checkpoint: str, lateness: str = "7 days") -> None:
-    """Daily figures, rewritten for the days each batch touches; read with :func:`latest_daily`.
 
-    Days older than ``lateness`` leave the state, so it holds a bounded number of days.
+def maintain_daily(rows: DataFrame, out: str, checkpoint: str) -> None:
+    """Daily figures that grow with every batch; read with :func:`latest_daily`.
+
+    Each batch writes sums per day to its own folder: counts and amounts add up, so there is no state, no
+    watermark and no day that comes too late. A repeated batch replaces its folder. Rows without a valid
+    timestamp belong to no day.
     """
-    timed = _with_event_time(rows)
-    per_day = (
-        timed.withWatermark("event_time", lateness)
-        .groupBy(F.window("event_time", "1 day").alias("w"))
-        .agg(*figures())
-        .select(_utc_date("w.start").alias("date"), *_FIGURES)
-    )
 
     def put(batch: DataFrame, batch_id: int) -> None:
+        sums = keyed(with_date(batch), "date").groupBy("date").agg(
+            F.count("transaction_id").alias("ids"), F.count("amount").alias("amounts"), F.sum("amount").alias("amount")
+        )
         (
-            batch.withColumn("batch", F.lit(batch_id).cast("bigint"))
-            .coalesce(1)
+            sums.withColumn("batch", F.lit(batch_id).cast("bigint"))
             .write.mode("overwrite")
             .option("partitionOverwriteMode", "dynamic")
             .partitionBy("batch")
             .parquet(out)
         )
 
-    _drain(per_day.writeStream.outputMode("update").foreachBatch(put), checkpoint)
-
-
-_FIGURES = ("transaction_count", "transaction_value", "avg_transaction_value")
+    _drain(rows.writeStream.foreachBatch(put), checkpoint)
 
 
 def latest_daily(spark: SparkSession, out: str) -> DataFrame:
-    """The newest figures per day."""
-    newest = Window.partitionBy("date").orderBy(F.desc("batch"))
-    return (
-        spark.read.parquet(out)
-        .withColumn("_nth", F.row_number().over(newest))
-        .where(F.col("_nth") == 1)
-        .select("date", *_FIGURES)
+    """The figures per day over all batches: one row per day and batch is read."""
+    schema = "date date, ids bigint, amounts bigint, amount double, batch bigint"
+    per_day = spark.read.schema(schema).parquet(out).groupBy("date")
+    sums = per_day.agg(F.sum("ids").alias("ids"), F.sum("amounts").alias("amounts"), F.sum("amount").alias("amount"))
+    return sums.select(
+        "date",
+        F.col("ids").alias("transaction_count"),
+        F.coalesce("amount", F.lit(0.0)).alias("transaction_value"),
+        F.try_divide("amount", "amounts").alias("avg_transaction_value"),
     )

@@ -139,18 +139,49 @@ def test_repeating_a_batch_changes_nothing(spark, tree):
     assert after == before
 
 
-def test_daily_figures_follow_late_rows(spark, tmp_path):
+def deliver(root, number, lines):
+    (root / str(number)).mkdir(parents=True)
+    (root / str(number) / "transactions.csv").write_text("\n".join([HEADER, *lines]) + "\n")
+
+
+def test_daily_figures_take_days_that_come_late(spark, tmp_path):
     root, out, progress = tmp_path / "in", fresh_path(spark, "t"), fresh_path(spark, "p")
-    for number, lines in enumerate(([line(1), line(2)], [line(3, "1.00"), line(4, "2.00", "2024-01-03 00:00:00")])):
-        (root / str(number)).mkdir(parents=True)
-        (root / str(number) / "transactions.csv").write_text("\n".join([HEADER, *lines]) + "\n")
+    deliveries = (
+        [line(1), line(2)],
+        [line(3, "1.00"), line(4, "2.00", "2024-01-03 00:00:00"), line(6, "9.00", "no date")],
+        [line(5, "7.00", "2023-11-20 00:00:00")],
+    )
+    for number, lines in enumerate(deliveries):
+        deliver(root, number, lines)
         increments.maintain_daily(increments.incoming(spark, str(root)), out, progress)
     got = {str(r["date"]): (r["transaction_count"], r["transaction_value"]) for r in increments.latest_daily(spark, out).collect()}
-    assert got == {"2024-01-02": (3, 11.0), "2024-01-03": (1, 2.0)}
+    assert got == {"2023-11-20": (1, 7.0), "2024-01-02": (3, 11.0), "2024-01-03": (1, 2.0)}
 
 
-def test_watermark_drops_repeats(spark, tree):
-    out, progress = fresh_path(spark, "t"), fresh_path(spark, "p")
-    rows = increments.incoming(spark, tree).where(F.col("timestamp").isNotNull())
-    increments.ingest_once_within(rows, out, progress)
+def test_stream_and_batch_keep_the_same_one_of_differing_repeats(spark, tmp_path):
+    root, out, progress = tmp_path / "in", fresh_path(spark, "t"), fresh_path(spark, "p")
+    deliver(root, 0, [line(1, "10.00", "2024-01-05 00:00:00"), line(2, "3.00"), line(2, "4.00", "2023-01-01 00:00:00")])
+    deliver(root, 1, [line(1, "99.00", "2024-01-01 00:00:00")])
+    increments.ingest_once_per_id(increments.incoming(spark, str(root)), out, progress)
+    kept = {(r["transaction_id"], r["amount"]) for r in spark.read.parquet(out).collect()}
+    assert kept == {("1", 10.0), ("2", 3.0)}
+    ingested = fresh_path(spark, "b")
+    ingest.ingest_files(spark, str(root), ingested)
+    assert {(r["transaction_id"], r["amount"]) for r in files.read_processed(spark, ingested).collect()} == kept
+
+
+def test_watermark_drops_repeats_and_keeps_undated_rows(spark, tmp_path):
+    root, out, progress = tmp_path / "in", fresh_path(spark, "t"), fresh_path(spark, "p")
+    deliver(root, 0, [line(1), line(1), line(2), line(3, "1.00", "no date"), line(3, "1.00", "no date")])
+    assert increments.ingest_once_within(increments.incoming(spark, str(root)), out, progress) == 0
     assert sorted(r["transaction_id"] for r in spark.read.parquet(out).collect()) == ["1", "2"]
+    undated = spark.read.parquet(increments.undated_part(out))
+    assert [r["transaction_id"] for r in undated.collect()] == ["3"]
+
+
+def test_rows_beyond_the_watermark_are_counted(spark, tmp_path):
+    root, out, progress = tmp_path / "in", fresh_path(spark, "t"), fresh_path(spark, "p")
+    deliver(root, 0, [line(1, "1.00", "2024-03-01 00:00:00")])
+    increments.ingest_once_within(increments.incoming(spark, str(root)), out, progress)
+    deliver(root, 1, [line(2, "1.00", "2024-01-01 00:00:00")])
+    assert increments.ingest_once_within(increments.incoming(spark, str(root)), out, progress) == 1
