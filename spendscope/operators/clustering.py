@@ -56,6 +56,7 @@ def _vectors(users: DataFrame, columns: Sequence[str], name: str = "features") -
 class Clusters:
     users: DataFrame  # user_id, cluster
     cost: float
+    centres: tuple[tuple[float, ...], ...]  # by cluster, in scaled features
 
 
 def fit_clusters(users: DataFrame, k: int = 4, columns: Sequence[str] = FEATURE_COLUMNS) -> Clusters:
@@ -69,7 +70,8 @@ def fit_clusters(users: DataFrame, k: int = 4, columns: Sequence[str] = FEATURE_
     labelled = model.transform(points).select(
         "user_id", F.element_at(number, F.col("_found") + 1).alias("cluster")
     )
-    return Clusters(labelled, model.summary.trainingCost)
+    ordered = tuple(tuple(float(x) for x in centres[c]) for c in ranked)
+    return Clusters(labelled, model.summary.trainingCost, ordered)
 
 
 def elbow(users: DataFrame, most: int = 10, columns: Sequence[str] = FEATURE_COLUMNS) -> DataFrame:

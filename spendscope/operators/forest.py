@@ -66,27 +66,23 @@ def _samples(
 ) -> tuple[DataFrame, int]:
     """``size`` rows for each of ``trees`` trees, chosen by hash; and the rows per tree.
 
-    The rows with the smallest hashes form a pool just large enough for all trees
-    and are dealt out in turn. A table smaller than the pool is used whole, and
-    each tree picks its own rows from it.
+    The rows with the smallest hashes form a pool of at most ``trees * size`` and are dealt
+    out in turn, starting again when all are dealt: a large table gives disjoint samples, a
+    smaller one lets rows recur, by the same rule. A tree never gets a row twice.
     """
-    pool_size = trees * size
     numbered = rows.select(key, *[F.col(f).cast("double").alias(f) for f in features]).dropna()
     hashed = numbered.withColumn("_hash", fast_hash(F.col(key), F.lit(seed)))
-    best = smallest(hashed, "_hash", pool_size, key, *features, cells=linear_cells(0.0, HASH_SPAN))
+    best = smallest(hashed, "_hash", trees * size, key, *features, cells=linear_cells(0.0, HASH_SPAN))
     pool = settle(best, "pool")
     found = pool.count()
-    if found == pool_size:
-        turn = F.row_number().over(Window.partitionBy().orderBy("_hash", key, *features))
-        return pool.withColumn("tree", turn % trees), size
-    each = pool.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
-    own = Window.partitionBy("tree").orderBy("_own", key)
-    picked = (
-        each.withColumn("_own", fast_hash(F.col(key), F.col("tree"), F.lit(seed)))
-        .withColumn("_nth", F.row_number().over(own))
-        .where(F.col("_nth") <= size)
+    if not found:
+        return pool.withColumn("tree", F.lit(0)), 0
+    per_tree = min(size, found)
+    turn = F.row_number().over(Window.partitionBy().orderBy("_hash", key, *features)) - 1  # the pool is bounded
+    dealt = pool.withColumn("_turn", turn).withColumn(
+        "_slot", F.explode(F.sequence(F.col("_turn"), F.lit(trees * per_tree - 1), F.lit(found)))
     )
-    return picked, min(size, found)
+    return dealt.withColumn("tree", F.floor(F.col("_slot") / per_tree).cast("int")), per_tree
 
 
 @dataclass(frozen=True)

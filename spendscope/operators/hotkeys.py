@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-HOT_SHARE = 500  # a key is hot above 1/500 of all rows, so there are fewer than 500 of them
-BROADCAST_ROWS = 500_000
+# A key is hot above this share of all rows: fewer than so many keys are broadcast, and no other key can make a
+# shuffle partition of even a tenth of an ordinary one at 2000 partitions. Raise it with the number of partitions.
+HOT_SHARE = 20_000
 
 
 def attach_by_key(
@@ -39,15 +40,3 @@ def attach_by_key(
     )
     moving = rows.where(F.col(key).isNotNull()).join(hot, key, "left_anti").join(facts, key, "left")
     return staying.unionByName(moving)
-
-
-def attach_sized(
-    rows: DataFrame, facts: DataFrame, key: str, max_rows: int = BROADCAST_ROWS
-) -> DataFrame:
-    """Broadcast ``facts`` when counting finds at most ``max_rows`` rows, else :func:`attach_by_key`.
-
-    For reference tables: the count reads no more than ``max_rows + 1`` rows.
-    """
-    if facts.limit(max_rows + 1).count() <= max_rows:
-        return rows.join(F.broadcast(facts), key, "left")
-    return attach_by_key(rows, facts, key)

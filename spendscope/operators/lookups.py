@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spendscope.operators.dedup import keep_first
-from spendscope.operators.hotkeys import attach_sized
 
 
 def with_reference(
@@ -14,14 +13,14 @@ def with_reference(
 ) -> DataFrame:
     """Left join of one reference column; the rows alone when there is no such reference.
 
-    The reference is counted first: broadcast when small, else a join that leaves
-    merchants with a large share of the rows in place. Repeated merchants in the reference
-    would repeat transactions, so the first detail per merchant is taken.
+    Spark broadcasts the reference when it measures it to be small; else it splits the partitions of
+    merchants with a large share of the rows. Repeated merchants in the reference would repeat
+    transactions, so the first detail per merchant is taken.
     """
     if reference is None or not {key, detail} <= set(reference.columns):
         return rows
     once = keep_first(reference.select(key, detail), key, [F.asc_nulls_last(detail)])
-    return attach_sized(rows, once, key)
+    return rows.join(once, key, "left")
 
 
 def top_values(rows: DataFrame, column: str, k: int) -> DataFrame:

@@ -18,24 +18,27 @@ from spendscope.operators.quantiles import (
 )
 
 
-def value_counts(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Count per column and non-null value, all columns in one scan and one shuffle."""
-    texts = rows.select([F.col(c).cast("string").alias(c) for c in columns])
+def value_counts(rows: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+    """Count per column and non-null value, all columns in one scan and one shuffle; for each ``by`` apart."""
+    texts = rows.select(*by, *[F.col(c).cast("string").alias(c) for c in columns])
     return (
-        texts.unpivot([], list(columns), "column_name", "value")
+        texts.unpivot(list(by), list(columns), "column_name", "value")
         .where(F.col("value").isNotNull())
-        .groupBy("column_name", "value")
+        .groupBy(*by, "column_name", "value")
         .agg(F.count(F.lit(1)).alias("value_count"))
     )
 
 
-def distinct_profile(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Type, distinct values, non-null values and percentage of distinct values per column."""
+def distinct_profile(rows: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+    """Type, distinct values, non-null values and percentage of distinct values per column.
+
+    With ``by`` (a source file or its day) each of its values has a profile of its own.
+    """
     kinds = dict(rows.dtypes)
     kind = F.element_at(F.create_map(*[F.lit(x) for c in columns for x in (c, kinds[c])]), F.col("column_name"))
     return (
-        value_counts(rows, columns)
-        .groupBy("column_name")
+        value_counts(rows, columns, by)
+        .groupBy(*by, "column_name")
         .agg(F.count(F.lit(1)).alias("distinct_values"), F.sum("value_count").alias("non_null_values"))
         .withColumn("data_type", kind)
         .withColumn(
@@ -44,6 +47,32 @@ def distinct_profile(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
     )
 
 
+def describe_all(rows: DataFrame, numbers: Sequence[str], texts: Sequence[str]) -> DataFrame:
+    """One row per column: the eight figures of a number; count, distinct values, most frequent and its count of a text.
+
+    Figures that a column does not have are null. Of equally frequent values the alphabetically first is named.
+    """
+    long = rows.select([F.col(c).cast("double").alias(c) for c in numbers]).unpivot([], list(numbers), "column_name", "v")
+    quartiles = quantiles(long, "v", {"q25": 0.25, "q50": 0.5, "q75": 0.75}, ["column_name"], few_groups=True)
+    moments = long.groupBy("column_name").agg(
+        F.count("v").alias("value_count"),
+        F.avg("v").alias("mean_value"),
+        F.stddev_samp("v").alias("std_value"),
+        F.min("v").alias("min_value"),
+        F.max("v").alias("max_value"),
+    )
+    counts = value_counts(rows, texts)
+    best = F.min_by("value", F.struct((-F.col("value_count")).alias("n"), "value"))
+    described = counts.groupBy("column_name").agg(
+        F.sum("value_count").alias("value_count"),
+        F.count(F.lit(1)).alias("unique_values"),
+        best.alias("top_value"),
+        F.max("value_count").alias("top_count"),
+    )
+    # One row per column on both sides of the join.
+    return moments.join(quartiles, "column_name").unionByName(described, allowMissingColumns=True)
+
+
 def _ends(counts: DataFrame, first: list, last: list, k: int) -> DataFrame:
     """First and last ``k`` values per column. Each side is ranked by itself, so the
     rank limit is applied before the shuffle and no column gathers in one task."""

@@ -102,25 +102,32 @@ def fit_encoder(training: DataFrame) -> Encoder:
         f"(coalesce({c}, {m[f'{c}_fill']!r}D) - {m[f'{c}_mean']!r}D) / {m[f'{c}_std']!r}D as {c}_scaled"
         for c in varied
     )
-    indexer = StringIndexer(
-        inputCols=categories,
-        outputCols=[f"{c}_index" for c in categories],
-        handleInvalid="keep",
-        stringOrderType="alphabetAsc",
-    ).fit(training)
-    labels = dict(zip(categories, indexer.labelsArray))
+    labels: dict[str, list[str]] = {}
+    steps = []
+    if categories:
+        indexer = StringIndexer(
+            inputCols=categories,
+            outputCols=[f"{c}_index" for c in categories],
+            handleInvalid="keep",
+            stringOrderType="alphabetAsc",
+        ).fit(training)
+        labels = dict(zip(categories, indexer.labelsArray))
+        steps.append(indexer)
     several = [c for c in categories if len(labels[c]) > 1]
-    # An unseen value gets the extra last index, which is the one dropped: all zeros.
-    encoder = OneHotEncoder(
-        inputCols=[f"{c}_index" for c in several],
-        outputCols=[f"{c}_hot" for c in several],
-        dropLast=True,
-    )
+    if several:
+        # An unseen value gets the extra last index, which is the one dropped: all zeros.
+        steps.append(
+            OneHotEncoder(
+                inputCols=[f"{c}_index" for c in several],
+                outputCols=[f"{c}_hot" for c in several],
+                dropLast=True,
+            )
+        )
     assembler = VectorAssembler(
         inputCols=[f"{c}_scaled" for c in varied] + [f"{c}_hot" for c in several],
         outputCol="features",
     )
-    stages = Pipeline(stages=[indexer, encoder, assembler]).fit(training.selectExpr("*", *scaled))
+    stages = Pipeline(stages=[*steps, assembler]).fit(training.selectExpr("*", *scaled))
 
     def hot_names(columns: Sequence[str]) -> list[str]:
         return [f"{c}_{value}" for c in columns for value in labels[c]]
@@ -156,22 +163,33 @@ class Ridge:
         return frame.orderBy(F.desc("importance"), "feature").limit(k)
 
 
-def fit_ridge(features: DataFrame, alpha: float = 1.0) -> Ridge:
+NORMAL_FEATURES = 4096  # of which the normal-equation solver can hold the square
+
+
+def fit_ridge(features: DataFrame, alpha: float = 1.0, solver: str | None = None) -> Ridge:
     """Ridge regression with penalty ``alpha`` on the squared coefficients.
 
     Spark divides the squared error by the rows and scales the penalty by the
     deviation of the target, hence the regularisation below. The normal-equation
-    solver needs one pass over the data and no iterations.
+    solver needs one pass over the data and no iterations; it is taken up to
+    ``NORMAL_FEATURES`` features, and ``l-bfgs``, which has no such limit, beyond
+    (or whatever ``solver`` names). Both minimise the same sum.
     """
     training = features.where(~F.col("is_test"))
     encoder = fit_encoder(training)
+    solver = solver or ("normal" if len(encoder.names) <= NORMAL_FEATURES else "l-bfgs")
+    # The solvers scale the penalty by the population and by the sample deviation of the target.
+    rows = encoder.training_rows
+    scale = encoder.label_scale * (1.0 if solver == "normal" or rows < 2 else (rows / (rows - 1)) ** 0.5)
     regression = LinearRegression(
         labelCol="target",
         featuresCol="features",
         elasticNetParam=0.0,
         standardization=False,
-        solver="normal",
-        regParam=alpha * encoder.label_scale / encoder.training_rows,
+        solver=solver,
+        regParam=alpha * scale / rows,
+        maxIter=500,
+        tol=1e-10,
     )
     return Ridge(encoder, regression.fit(encoder.encode(training).select("target", "features")))
 

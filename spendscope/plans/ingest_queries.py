@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from spendscope.operators import risk
+from spendscope.operators import profiling, risk
 from spendscope.plans.cleaning_queries import FILLED, TIDY_SQL, fences_sql
 from spendscope.plans.registry import named
 from spendscope.plans.risk_queries import SCORED_SQL
@@ -130,9 +130,7 @@ def scan_common_columns(spark, folder):
     rows.where(number % 2 == 1).select("transaction_id", "user_id", "amount", "timestamp", "status").write.parquet(
         f"{out}/b"
     )
-    # A delivery may have many files: look at enough of them to meet both.
-    looked_at = files.list_files(spark, out, "*.parquet").count()
-    return shaped(files.read_common_columns(spark, out, looked_at), amount=4)
+    return shaped(files.read_common_columns(spark, out), amount=4)
 
 
 @named(
@@ -171,16 +169,37 @@ def sink_append(spark, folder):
     "sink_suspicious_csv",
     with_views(
         "t1",
-        f"""with {SCORED_SQL} select transaction_id, user_id, cast(risk_score as varchar) as risk_score,
-        merchant_id, location_city
+        f"""with {SCORED_SQL} select transaction_id, user_id, cast(risk_score as varchar) as risk_score, round(amount, 4) as amount,
+        round(z, 6) as amount_zscore, merchant_id, merchant_category, location_country, location_city, timestamp
         from scored where risk_score >= 4 order by scored.risk_score desc, z desc, transaction_id limit 1000""",
     ),
 )
 def sink_suspicious_csv(spark, folder):
     out = fresh_path(spark, "report")
-    sinks.write_report(risk.suspicious_report(card_month(spark, folder)), out)
-    report = spark.read.option("header", True).csv(out)
-    return report.select("transaction_id", "user_id", "risk_score", "merchant_id", "location_city")
+    # As text, because a written timestamp would lose its microseconds.
+    report = risk.suspicious_report(card_month(spark, folder)).withColumn("timestamp", F.col("timestamp").cast("string"))
+    sinks.write_report(report, out)
+    read = spark.read.option("header", True).csv(out)
+    numbers = {c: F.col(c).cast("double") for c in ("amount", "amount_zscore")}
+    return shaped(read.withColumns(numbers).withColumn("timestamp", F.col("timestamp").cast("timestamp_ntz")), amount=4)
+
+
+@named(
+    "profile_by_file",
+    with_views(
+        "t1",
+        "with v as (select cast(cast(timestamp as date) as varchar) as source_day, c as column_name, v as value from (unpivot (select timestamp, "
+        + ", ".join(f"cast({c} as varchar) as {c}" for c in TEXT_COLUMNS)
+        + f" from t1) on {', '.join(TEXT_COLUMNS)} into name c value v))"
+        + """ select source_day, column_name, cast(count(distinct value) as bigint) as distinct_values,
+             cast(count(*) as bigint) as non_null_values, 'string' as data_type,
+             round(count(distinct value) * 100.0 / count(*), 6) as unique_pct from v group by 1, 2""",
+    ),
+)
+def profile_by_file(spark, folder):
+    """Each daily file has a profile of its own."""
+    rows = files.read_raw(spark, day_files(spark, folder), _CSV)
+    return shaped(profiling.distinct_profile(rows, TEXT_COLUMNS, ["source_day"]))
 
 
 _FIRST = """first_rows as (select * exclude (nth) from (

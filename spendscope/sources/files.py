@@ -80,9 +80,9 @@ def manifest(
 ) -> DataFrame:
     """Per file: day, size, rows, SHA-256 of the bytes and whether it is usable.
 
-    A file is usable with at least ``min_bytes`` bytes and one data row. Each file is
+    A file is usable with at least ``min_bytes`` bytes, one data row and a hash. Each file is
     hashed as a whole by one task, which the size of a daily file (some 140 MB)
-    allows; beyond 2 GB the hash is null.
+    allows; a file beyond 2 GB cannot be and is not reported as usable.
     """
     listing = spark.read.format("binaryFile").option("recursiveFileLookup", True)
     binary = listing.option("pathGlobFilter", pattern).load(root)
@@ -96,7 +96,10 @@ def manifest(
     files = hashed.unionByName(larger).join(rows, "source_file", "left")
     count = F.coalesce("row_count", F.lit(0))
     return files.withColumn("source_day", day_in_path(F.col("source_file"))).withColumns(
-        {"row_count": count, "is_valid": (F.col("length") >= min_bytes) & (count > 0)}
+        {
+            "row_count": count,
+            "is_valid": (F.col("length") >= min_bytes) & (count > 0) & F.col("sha256").isNotNull(),
+        }
     )
 
 
@@ -114,12 +117,16 @@ def read_processed(spark: SparkSession, folder: str, n_files: int | None = None)
     return reader.parquet(*[row["path"] for row in first])
 
 
-def read_common_columns(spark: SparkSession, folder: str, looked_at: int = 5) -> DataFrame:
-    """All Parquet files, with the columns that the first files have in common.
+def read_common_columns(spark: SparkSession, folder: str, looked_at: int | None = None) -> DataFrame:
+    """All Parquet files, with the columns that they have in common.
 
-    Only footers of ``looked_at`` files are read to find them.
+    One footer is read per folder of files, as the files that one job wrote into a folder share a
+    schema; ``looked_at`` limits the folders, for tables known to be alike.
     """
-    first = list_files(spark, folder, "*.parquet").orderBy("path").limit(looked_at).collect()
+    listed = list_files(spark, folder, "*.parquet")
+    parent = F.regexp_replace("path", "/[^/]*$", "")
+    first = listed.groupBy(parent.alias("folder")).agg(F.min("path").alias("path")).orderBy("path")
+    first = (first.limit(looked_at) if looked_at else first).collect()
     if not first:
         raise FileNotFoundError(f"no Parquet files in {folder}")
     schemas = [spark.read.parquet(row["path"]).schema for row in first]

@@ -8,7 +8,8 @@ from spendscope.sources.fixtures import card_month, dirty_month, merchant_lines,
 
 # These write files or fit models while they are built.
 EAGER = ("scan_", "file_", "sink_", "stream_", "ingest_", "ml_", "cluster", "enrich_cluster", "insight_cluster",
-         "analysis_table", "basic_summary", "anomaly_isolation", "risk_distribution_with", "suspicious_report_with")
+         "analysis_table", "basic_summary", "anomaly_isolation", "insight_cluster", "profile_by_file", "join_merchant_ref_csv",
+          "risk_distribution_with", "suspicious_report_with")
 LAZY = [n for n in catalogue() if not n.startswith(EAGER)]
 
 
