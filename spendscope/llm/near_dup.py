@@ -19,6 +19,8 @@ BANDS, ROWS = 40, 6  # a pair of similarity 0.8 shares no band with probability
 SAMPLES = BANDS * ROWS
 SKETCH_BITS = 1024
 MARGIN = 0.17  # over six standard deviations of the estimate at 0.8
+HEADS, TURNS = 4, 4  # of proposals within buckets, before all that is left is compared
+BLOCK = 256  # sketches that are compared with as many others at once
 CHUNK = 2048  # shingles that one step of the sampling looks at
 
 _RANDOM = np.random.default_rng(20240229)
@@ -69,14 +71,21 @@ def bands(sampled: np.ndarray) -> np.ndarray:
     return name.view(np.int64)
 
 
-def odd_sketch(sampled: np.ndarray) -> np.ndarray:
-    """Parities of how many samples fall on each bit."""
-    bit = mixed(_PLACE + sampled.astype(np.uint64)) % np.uint64(SKETCH_BITS)
+def parities(values: np.ndarray) -> np.ndarray:
+    """Parities of how many values fall on each bit of a bitmap."""
+    bit = mixed(values) % np.uint64(SKETCH_BITS)
     odd = np.bincount(bit.astype(np.int64), minlength=SKETCH_BITS) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
-FEATURES = "doc_id bigint, _t1 bigint, _t2 bigint, _set binary, n_shingles bigint, _bands array<bigint>, _sketch array<bigint>"
+def odd_sketch(sampled: np.ndarray) -> np.ndarray:
+    return parities(_PLACE + sampled.astype(np.uint64))
+
+
+FEATURES = (
+    "doc_id bigint, _t1 bigint, _t2 bigint, _set binary, n_shingles bigint,"
+    " _bands array<bigint>, _sketch array<bigint>, _parity array<bigint>"
+)
 
 
 def _featured(size: int):
@@ -84,21 +93,23 @@ def _featured(size: int):
         for batch in batches:
             texts = [t.encode("utf-8", "surrogatepass") for t in batch["text"].to_pylist()]
             for start, end in slices(texts):
-                names, counts, banded, sketched = [], [], [], []
+                names, counts, banded, sketched, whole = [], [], [], [], []
                 for found in shingle_sets(texts[start:end], size):
                     counts.append(len(found))
                     if not len(found):
-                        names.append(None), banded.append(None), sketched.append(None)
+                        for column in (names, banded, sketched, whole):
+                            column.append(None)
                         continue
                     names.append(hashlib.blake2b(found.tobytes(), digest_size=16).digest())
                     sampled = samples(found)
                     banded.append(bands(sampled))
                     sketched.append(odd_sketch(sampled))
+                    whole.append(parities(found))
                 yield pa.RecordBatch.from_arrays(
                     [*(batch[c].slice(start, end - start) for c in ("doc_id", "_t1", "_t2")),
                      pa.array(names, pa.binary()), pa.array(counts, pa.int64()),
-                     pa.array(banded, pa.list_(pa.int64())), pa.array(sketched, pa.list_(pa.int64()))],
-                    ["doc_id", "_t1", "_t2", "_set", "n_shingles", "_bands", "_sketch"],
+                     *(pa.array(c, pa.list_(pa.int64())) for c in (banded, sketched, whole))],
+                    ["doc_id", "_t1", "_t2", "_set", "n_shingles", "_bands", "_sketch", "_parity"],
                 )
 
     return run
@@ -121,28 +132,116 @@ def _confirmed(size: int, percent: int):
     return run
 
 
-def _estimate(one: str, two: str) -> Column:
-    """Similarity from the bits in which two odd sketches differ."""
-    apart = sum((F.bit_count(F.col(one)[k].bitwiseXOR(F.col(two)[k])) for k in range(SKETCH_BITS // 64)), F.lit(0))
-    left = F.greatest(1 - 2.0 * apart / SKETCH_BITS, F.lit(1e-9))
-    return 1 + SKETCH_BITS / (4.0 * SAMPLES) * F.log(left)
+def _apart(one: str, two: str) -> Column:
+    """In how many bits two bitmaps differ."""
+    return sum((F.bit_count(F.col(one)[k].bitwiseXOR(F.col(two)[k])) for k in range(SKETCH_BITS // 64)), F.lit(0))
 
 
 def _sifted(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """The pairs ``a, b`` whose estimated similarity does not rule a link out."""
-    sketch = nodes.select(F.col("node").alias("a"), F.col("_sketch").alias("_one"))
-    other = nodes.select(F.col("node").alias("b"), F.col("_sketch").alias("_two"))
-    near = pairs.join(sketch, "a").join(other, "b").select("a", "b", _estimate("_one", "_two").alias("near"))
-    return near.where(F.col("near") >= percent / 100 - MARGIN)
+    """The pairs ``a, b`` that may be linked, with ``near``, their similarity by the odd sketches.
+
+    The estimate has a wide margin. The parities of the whole sets give a bound without any: two sets
+    differ in at least as many shingles as their bitmaps differ in bits.
+    """
+    one = nodes.select(F.col("node").alias("a"), *[F.col(c).alias(f"{c}1") for c in ("_sketch", "_parity", "n_shingles")])
+    two = nodes.select(F.col("node").alias("b"), *[F.col(c).alias(f"{c}2") for c in ("_sketch", "_parity", "n_shingles")])
+    left = F.greatest(1 - 2.0 * _apart("_sketch1", "_sketch2") / SKETCH_BITS, F.lit(1e-9))
+    near = 1 + SKETCH_BITS / (4.0 * SAMPLES) * F.log(left)
+    both = pairs.join(one, "a").join(two, "b")
+    least = _apart("_parity1", "_parity2")
+    possible = both.where((100 + percent) * least <= (100 - percent) * (F.col("n_shingles1") + F.col("n_shingles2")))
+    return possible.select(*pairs.columns, near.alias("near")).where(F.col("near") >= percent / 100 - MARGIN)
+
+
+def _packed(column: pa.ListArray) -> tuple[np.ndarray, ...]:
+    """Bounds of the lists and the nodes, groups, sizes, sketches and parities in them."""
+    flat = column.flatten()
+    bounds = np.concatenate([[0], np.cumsum(column.value_lengths().to_numpy(zero_copy_only=False))])
+    plain = [flat.field(c).to_numpy(zero_copy_only=False) for c in ("node", "root", "n_shingles")]
+    maps = [flat.field(c).flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(-1, SKETCH_BITS // 64) for c in ("_sketch", "_parity")]
+    return bounds, *plain, *maps
+
+
+def _compared(percent: int):
+    """All pairs of two packed blocks at once; only those that may be linked leave the task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ends, node, root, size, sketch, parity = _packed(batch["_some"])
+            ends2, node2, root2, size2, sketch2, parity2 = _packed(batch["_all"])
+            one, two = [], []
+            for k in range(batch.num_rows):
+                q, t = slice(ends[k], ends[k + 1]), slice(ends2[k], ends2[k + 1])
+                least = np.bitwise_count(parity[q, None] ^ parity2[None, t]).sum(axis=2)
+                sums = size[q, None] + size2[None, t]
+                possible = ((100 + percent) * least <= (100 - percent) * sums) & (root[q, None] != root2[None, t])
+                left, right = np.nonzero(possible)
+                apart = np.bitwise_count(sketch[q][left] ^ sketch2[t][right]).sum(axis=1)
+                near = 1 + SKETCH_BITS / (4.0 * SAMPLES) * np.log(np.maximum(1 - 2.0 * apart / SKETCH_BITS, 1e-9))
+                kept = near >= percent / 100 - MARGIN
+                one.append(node[q][left[kept]])
+                two.append(node2[t][right[kept]])
+            if one:
+                low, high = np.concatenate(one), np.concatenate(two)
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(low, high)), pa.array(np.maximum(low, high))], ["a", "b"])
+
+    return run
+
 
+def _remaining(members: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """Pairs ``a < b`` across the groups of a bucket that may be linked: whatever they are, none is left out.
 
-def _linked(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs whose whole shingle sets are similar enough."""
+    In each bucket the nodes outside its largest group meet all nodes, in packed blocks of ``BLOCK``
+    sketches: a group of copies is not compared with itself, and no block grows with its bucket.
+    """
+    counted = members.groupBy("bucket", "root").agg(F.count("*").alias("_n"))
+    largest = counted.groupBy("bucket").agg(F.max(F.struct("_n", "root"))["root"].alias("_largest"), F.sum("_n").alias("_total"))
+    full = members.join(largest, "bucket").join(nodes.select("node", "n_shingles", "_sketch", "_parity"), "node")
+    part = F.pmod(F.xxhash64("node"), F.ceil(F.col("_total") / BLOCK)).alias("_part")
+    packed = F.collect_list(F.struct("node", "root", "n_shingles", "_sketch", "_parity"))
+    all_nodes = full.groupBy("bucket", part).agg(packed.alias("_all")).drop("_part")
+    some = full.where("root != _largest").groupBy("bucket", part).agg(packed.alias("_some")).drop("_part")
+    met = some.join(all_nodes, "bucket").select("_some", "_all")
+    return met.mapInArrow(_compared(percent), "a bigint, b bigint").distinct()
+
+
+def _judged(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """The pairs with ``linked``: whether their whole shingle sets are similar enough."""
     left = texts.select(F.col("node").alias("a"), F.col("text").alias("_left"))
     right = texts.select(F.col("node").alias("b"), F.col("text").alias("_right"))
     both = pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "_left", "_right")
-    judged = both.mapInArrow(_confirmed(size, percent), "a bigint, b bigint, linked boolean")
-    return judged.where("linked").select("a", "b")
+    return both.mapInArrow(_confirmed(size, percent), "a bigint, b bigint, linked boolean")
+
+
+def _across(shared: DataFrame, groups: DataFrame) -> DataFrame:
+    """``bucket, node, root`` of the buckets whose nodes are in several groups."""
+    members = shared.join(groups, "node").select("bucket", "node", "root")
+    split = members.groupBy("bucket").agg(F.min("root").alias("_low"), F.max("root").alias("_high")).where("_low < _high")
+    return settle(members.join(split.select("bucket"), "bucket", "left_semi"), "across-groups")
+
+
+def _proposed(members: DataFrame, turn: int) -> DataFrame:
+    """Pairs ``a < b`` of a node and a head of its bucket from another group, with the node's ``root``.
+
+    Each bucket has ``HEADS`` heads, others in each turn, so pairs grow with the rows of the buckets.
+    """
+    ranked = [F.min(F.struct(F.xxhash64("node", F.lit(turn * HEADS + k)), "node", "root")) for k in range(HEADS)]
+    heads = members.groupBy("bucket").agg(F.array_distinct(F.array(*ranked)).alias("_heads"))
+    met = members.join(heads, "bucket").select("node", "root", F.explode("_heads").alias("_h")).where("root != _h.root")
+    low, high = F.least("node", "_h.node").alias("a"), F.greatest("node", "_h.node").alias("b")
+    return met.select(low, high, "root").distinct()
+
+
+def _merged(groups: DataFrame, links: DataFrame) -> tuple[DataFrame, bool]:
+    """``groups`` (``node, root``) joined along links between nodes, and whether there were any."""
+    one = groups.select(F.col("node").alias("a"), F.col("root").alias("_one"))
+    two = groups.select(F.col("node").alias("b"), F.col("root").alias("_two"))
+    met = links.join(one, "a").join(two, "b").select(F.col("_one").alias("a"), F.col("_two").alias("b")).distinct()
+    met = settle(met, "links")
+    if met.isEmpty():
+        return groups, False
+    wider = _components(met).select(F.col("node").alias("root"), F.col("parent").alias("_wider"))
+    return settle(groups.join(wider, "root", "left").select("node", F.coalesce("_wider", "root").alias("root")), "groups"), True
 
 
 def _rooted(parents: DataFrame) -> DataFrame:
@@ -192,57 +291,47 @@ def near_duplicates(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, percent
     no word are linked with nothing. Repeated rows and rows that share a ``doc_id`` each get their own
     result; null ids do not count for the smallest one. ``_t1, _t2`` stand for the text.
 
-    Equal sets become one node first. Buckets of the MinHash bands are never expanded into their pairs:
-    each node is compared with the first node of its bucket and linked to the most similar one that
-    holds. What remains is a bucket that spans several of the groups made so far; only pairs across two
-    groups are then looked at, and all of them are, so no link between nodes that share a bucket is lost.
+    Equal sets become one node first. Buckets of the MinHash bands are never expanded into their pairs: in
+    a few turns each node meets some heads of its bucket, and each group made so far is compared along its
+    most similar pair. What remains are buckets that span several groups; the sketches across groups are
+    all compared, in blocks, and what may be linked is decided on the whole sets, so no link between
+    nodes that share a bucket is lost.
     """
     keyed = docs.select("doc_id", *text_key(F.col("text")), F.coalesce("text", F.lit("")).alias("text"))
     seen = settle(keyed.mapInArrow(_featured(shingle_words), FEATURES), "shingled")
     nodes = settle(
         seen.where(F.col("_set").isNotNull())
         .groupBy("_set")
-        .agg(F.min("doc_id").alias("first_id"), F.min(F.struct("_t1", "_t2", "_bands", "_sketch")).alias("_x"))
+        .agg(F.min("doc_id").alias("first_id"), F.min(F.struct("_t1", "_t2", "n_shingles", "_bands", "_sketch", "_parity")).alias("_x"))
         .select(F.monotonically_increasing_id().alias("node"), "_set", "first_id", "_x.*"),
         "nodes",
     )
     rows = nodes.select("node", F.explode("_bands").alias("bucket"))
-    heads = rows.groupBy("bucket").agg(F.min("node").alias("head"), F.max("node").alias("_last")).where("head < _last")
-    shared = settle(rows.join(heads.drop("_last"), "bucket"), "shared")
+    several = rows.groupBy("bucket").agg(F.min("node").alias("_one"), F.max("node").alias("_last")).where("_one < _last")
+    shared = settle(rows.join(several.select("bucket"), "bucket"), "shared")
 
     needed = nodes.join(shared.select("node").distinct(), "node", "left_semi").select("node", "_t1", "_t2")
     one_each = keyed.join(needed, ["_t1", "_t2"]).groupBy("node").agg(F.first("text").alias("text"))
     texts = settle(one_each, "texts")
 
-    star = shared.where("node != head").select(F.col("node").alias("b"), F.col("head").alias("a")).distinct()
-    best = (
-        _sifted(star, nodes, percent)
-        .groupBy("b")
-        .agg(F.max(F.struct("near", (-F.col("a")).alias("a"))).alias("_best"))
-        .select((-F.col("_best.a")).alias("a"), "b")
-    )
-    first = settle(_linked(best, texts, shingle_words, percent), "first-links")
-    inside = shared.select("node").distinct().join(first.select(F.col("b").alias("node"), F.col("a").alias("_to")), "node", "left")
-    groups = _rooted(inside.select("node", F.coalesce("_to", "node").alias("parent")))
-
-    members = shared.select("bucket", "node").join(groups, "node").select("bucket", "node", F.col("parent").alias("root"))
-    split = members.groupBy("bucket").agg(F.min("root").alias("_low"), F.max("root").alias("_high")).where("_low < _high")
-    members = settle(members.join(split.select("bucket"), "bucket", "left_semi"), "split-buckets")
-    roots = members.select("bucket", "root").distinct()
-    across = roots.withColumnRenamed("root", "_one").join(roots.withColumnRenamed("root", "_two"), "bucket").where("_one < _two")
-    pairs = (
-        across.join(members.select("bucket", F.col("root").alias("_one"), F.col("node").alias("a")), ["bucket", "_one"])
-        .join(members.select("bucket", F.col("root").alias("_two"), F.col("node").alias("b")), ["bucket", "_two"])
-        .select("a", "b")
-        .distinct()
-    )
-    sifted = settle(_sifted(pairs, nodes, percent), "across")
-    second = _linked(sifted, texts, shingle_words, percent)
-    named = groups.select(F.col("node").alias("a"), F.col("parent").alias("_one"))
-    other = groups.select(F.col("node").alias("b"), F.col("parent").alias("_two"))
-    joined = settle(second.join(named, "a").join(other, "b").select(F.col("_one").alias("a"), F.col("_two").alias("b")).distinct(), "second-links")
-    wider = _components(joined).select(F.col("node").alias("parent"), F.col("parent").alias("_wider"))
-    classes = settle(groups.join(wider, "parent", "left").select("node", F.coalesce("_wider", "parent").alias("class")), "classes")
+    groups = shared.select("node").distinct().withColumn("root", F.col("node"))
+    tested = None
+    for turn in range(TURNS):
+        members = _across(shared, groups)
+        pairs = _proposed(members, turn)
+        if tested is not None:
+            pairs = pairs.join(tested, ["a", "b"], "left_anti")
+        chosen = _sifted(pairs, nodes, percent).groupBy("root").agg(F.max(F.struct("near", "a", "b")).alias("_x"))
+        judged = settle(_judged(chosen.select("_x.a", "_x.b").distinct(), texts, shingle_words, percent), "judged")
+        groups, met = _merged(groups, judged.where("linked"))
+        tested = judged.select("a", "b") if tested is None else tested.union(judged.select("a", "b"))
+        if not met:
+            break
+
+    members = _across(shared, groups)
+    last = settle(_remaining(members, nodes, percent).join(tested, ["a", "b"], "left_anti"), "remaining")
+    classes, _ = _merged(groups, _judged(last, texts, shingle_words, percent).where("linked"))
+    classes = classes.withColumnRenamed("root", "class")
 
     placed = nodes.select("node", "_set", "first_id").join(classes, "node", "left").withColumn("class", F.coalesce("class", "node"))
     least = placed.groupBy("class").agg(F.min("first_id").alias("component_id"))
