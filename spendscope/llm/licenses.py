@@ -46,7 +46,7 @@ KNOWN = (
     ),
 )
 
-COPYRIGHT = r"(?m)^[ \t]*(?:copyright|\(c\)|\x{00A9})(?:[ \t]+(?:copyright|\(c\)|\x{00A9}|[0-9]).*)?$"
+COPYRIGHT = r"(?m)^[ \t]*(?:copyright[ \t]+(?:\(c\)|\x{00A9}|[0-9])|(?:\(c\)|\x{00A9})[ \t]*[^ \t\n]).*$"
 
 
 def canonical(text: Column) -> Column:

@@ -11,11 +11,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spendscope.llm.texts import slices, spare, text_key
+from spendscope.llm.texts import fixed, slices, spare, text_key
 from spendscope.session import settle
 
 LOOKS_BACK = 2  # lines that the rolling hash covers
 ONE_IN = 2  # a boundary follows one line in so many
+MIN_LINES = 2  # but no chunk ends before it has so many, unless a long line follows
 LONG_WORDS = 50  # a line this long is a chunk of its own
 MIN_WORDS = 12  # shorter chunks are headings and greetings rather than passages
 
@@ -30,10 +31,10 @@ def chunks(text: bytes) -> list[tuple[int, int, bytes]]:
     """First line, end line and bytes of the chunks of a text that may be repeated passages.
 
     A rolling hash over the hashes of the last lines ends a chunk where its high bits are a multiple of
-    ``ONE_IN``; a line of ``LONG_WORDS`` stands alone. Boundaries depend on nothing but the lines around
-    them, so a passage is cut alike wherever it stands, but for its first lines. A chunk counts if it has
-    several lines with ``MIN_WORDS`` words together, or is a single long line. Lines without words belong
-    to the chunk around them and are not hashed.
+    ``ONE_IN``, once it has ``MIN_LINES``; a line of ``LONG_WORDS`` stands alone. Boundaries depend on the
+    lines around them, so a passage is cut alike wherever it stands, but for its first lines. A chunk
+    counts if it has ``MIN_LINES`` lines with ``MIN_WORDS`` words together, or is a single long line. Lines
+    without words belong to the chunk around them and are not hashed.
     """
     lines = text.split(b"\n")
     found: list[tuple[int, int, bytes]] = []
@@ -42,7 +43,7 @@ def chunks(text: bytes) -> list[tuple[int, int, bytes]]:
 
     def close(end: int) -> None:
         nonlocal start, words, spoken
-        if words >= LONG_WORDS or (spoken > 1 and words >= MIN_WORDS):
+        if words >= LONG_WORDS or (spoken >= MIN_LINES and words >= MIN_WORDS):
             found.append((start, end, b"\n".join(lines[start:end])))
         start, words, spoken = end, 0, 0
 
@@ -56,7 +57,7 @@ def chunks(text: bytes) -> list[tuple[int, int, bytes]]:
         new = xxhash.xxh3_64_intdigest(line)
         rolled = (rolled * _BASE + new - recent[0] * _LEAVES) & _BITS
         recent = [*recent[1:], new]
-        if count >= LONG_WORDS or (rolled >> 40) % ONE_IN == 0:
+        if count >= LONG_WORDS or (spoken >= MIN_LINES and (rolled >> 40) % ONE_IN == 0):
             close(k + 1)
     close(len(lines))
     return found
@@ -150,9 +151,11 @@ def without_repeats(docs: DataFrame) -> tuple[DataFrame, str]:
 
         gone = F.filter(cuts, lambda c: ~stays(c))
     gone = F.coalesce(gone, F.expr("cast(array() as array<struct<name:bigint,name2:bigint,first:int,last:int,at:int,head:boolean>>)"))
-    done = F.pandas_udf(_without, REST)(
-        F.coalesce(F.col("text"), F.lit("")), F.transform(gone, lambda c: c["first"]), F.transform(gone, lambda c: c["last"])
+    low, high = spare(held, "_low", "_high")
+    held = held.withColumns(
+        {low: fixed(F.transform(gone, lambda c: c["first"])), high: fixed(F.transform(gone, lambda c: c["last"]))}
     )
+    done = F.pandas_udf(_without, REST)(F.coalesce(F.col("text"), F.lit("")), F.col(low), F.col(high))
     none = F.struct(
         F.lit(None).cast("string").alias("text"),
         *[F.lit(0).cast("long").alias(c) for c in ("n_lines", "n_removed_lines", "n_removed_words", "n_left_words")],

@@ -177,7 +177,7 @@ with d as (
   select r, unnest(string_split(t, chr(10))) as line, true as part from d union all select r, t, false from d
 ), c as (
   select r, part, trim(regexp_replace(replace(replace(regexp_replace(lower(line),
-    '(?m)^[ \t]*(?:copyright|\(c\)|\x{00A9})(?:[ \t]+(?:copyright|\(c\)|\x{00A9}|[0-9]).*)?$', ' ', 'g'), 'licence', 'license'),
+    '(?m)^[ \t]*(?:copyright[ \t]+(?:\(c\)|\x{00A9}|[0-9])|(?:\(c\)|\x{00A9})[ \t]*[^ \t\n]).*$', ' ', 'g'), 'licence', 'license'),
     'licenced', 'licensed'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+', ' ', 'g')) as k from l
 ), f as (
   select r, max(license) filter (not part) as whole_license, count(license) filter (part) as n_notices,

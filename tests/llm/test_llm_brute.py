@@ -1,0 +1,271 @@
+"""Operators that SQL cannot express, against plain versions; and models on held-out rows."""
+
+import collections
+import fnmatch
+import hashlib
+import re
+
+import numpy as np
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from spendscope.llm import licenses, line_crf, line_dedup, near_dup, pii, queries
+from spendscope.llm.token_rollup import TokenRollup, count_vocabulary, deleted, inserted, revised
+from spendscope.llm.url_filter import Automaton
+from spendscope.session import fresh_path
+
+BLANK = r"[^\x20\x09-\x0D]+"
+LARGER = "/root/testdata/sf0.01"
+
+
+@pytest.fixture(scope="module")
+def texts(spark, folder):
+    return {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text").collect()}
+
+
+def low(text):
+    return "".join(c.lower() if "A" <= c <= "Z" else c for c in text)
+
+
+def shingles(text, size):
+    w = re.findall(BLANK, low(text or ""))
+    return set(zip(*(w[k:] for k in range(size)))) if len(w) >= size else ({tuple(w)} if w else set())
+
+
+def components(sets, percent=80):
+    where, above = collections.defaultdict(list), {i: i for i in sets}
+
+    def top(i):
+        while above[i] != i:
+            i = above[i]
+        return i
+
+    for i in sorted(sets):
+        shared = collections.Counter(j for s in sets[i] for j in where[s])
+        for j, n in shared.items():
+            if 100 * n >= percent * (len(sets[i]) + len(sets[j]) - n):
+                a, b = top(i), top(j)
+                above[max(a, b)] = min(a, b)
+        for s in sets[i]:
+            where[s].append(i)
+    return {i: top(i) for i in sets}
+
+
+@pytest.mark.parametrize("size", [2, 5])
+def test_near_duplicates(spark, folder, texts, size):
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    sets = {i: shingles(t, size) for i, t in texts.items()}
+    found = near_dup.near_duplicates(docs, size).collect()
+    assert {r["doc_id"]: r["n_shingles"] for r in found} == {i: len(s) for i, s in sets.items()}
+    expected = components(sets)
+    assert {r["doc_id"]: r["component_id"] for r in found} == expected
+    kept = {r["doc_id"] for r in near_dup.one_of_each(docs, size).collect()}
+    assert kept == {i for i, c in expected.items() if i == c}
+
+
+def test_near_duplicate_chains_and_large_groups(spark):
+    """Copies that drift word by word: neighbours are linked, the ends are not; and many copies of one text."""
+    rng = np.random.default_rng(7)
+    words = [f"w{i}" for i in range(120)]
+    rows = []
+    for k in range(120):
+        words[k] = f"other{k}"
+        rows.append((k, " ".join(words)))
+    base = [f"v{i}" for i in range(200)]
+    for k in range(400):
+        edited = list(base)
+        for at in rng.choice(200, rng.integers(0, 24), replace=False):
+            edited[at] = f"e{k}x{at}"
+        rows.append((1000 + k, " ".join(edited)))
+    rows += [(2000 + k, " ".join(base)) for k in range(150)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    found = {r["doc_id"]: r["component_id"] for r in near_dup.near_duplicates(docs, 2).collect()}
+    assert found == components({i: shingles(t, 2) for i, t in rows})
+
+
+def test_sketch_estimates_high_similarities():
+    rng = np.random.default_rng(3)
+    for share in (0.8, 0.9, 0.97):
+        errors = []
+        for _ in range(30):
+            common, n = rng.integers(0, 2**63, 2000, dtype=np.uint64), round(2000 * (1 - share) / share / 2)
+            one, two = (np.unique(np.concatenate([common, rng.integers(0, 2**63, n, dtype=np.uint64)])) for _ in range(2))
+            a, b = (near_dup.odd_sketch(near_dup.samples(x)).view(np.uint64) for x in (one, two))
+            apart = int(np.bitwise_count(a ^ b).sum())
+            estimate = 1 + near_dup.SKETCH_BITS / (4 * near_dup.SAMPLES) * np.log(1 - 2 * apart / near_dup.SKETCH_BITS)
+            errors.append(estimate - share)
+            whole = np.bitwise_count((near_dup.parities(one) ^ near_dup.parities(two)).view(np.uint64)).sum()
+            assert whole <= len(np.setxor1d(one, two))
+        assert abs(np.mean(errors)) < 0.02 and np.max(np.abs(errors)) < near_dup.MARGIN
+
+
+def luhn(digits):
+    total = 0
+    for k, c in enumerate(reversed(digits)):
+        d = int(c) * (1 + k % 2)
+        total += d - 9 if d > 9 else d
+    return total % 10 == 0
+
+
+KINDS = {
+    "email": (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda v, d: True),
+    "ip": (r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda v, d: all(int(p) <= 255 for p in v.split("."))),
+    "card": (r"[0-9]([\x20-]?[0-9])+", lambda v, d: 16 <= len(d) <= 19 and luhn(d)),
+    "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", lambda v, d: 8 <= len(d) <= 15),
+}
+
+
+def base_spans(text):
+    return [
+        f"{kind}:{m.start()}:{m.end()}"
+        for kind, (pattern, holds) in KINDS.items()
+        for m in re.finditer(pattern, text or "")
+        if holds(m.group(), re.sub("[^0-9]", "", m.group()))
+    ]
+
+
+def test_personal_data_of_the_tables(spark, folder, texts):
+    for r in queries.op3_personal_data(spark, folder).collect():
+        expected = base_spans(texts[r["doc_id"]])
+        assert r["base_sha256"] == hashlib.sha256(",".join(expected).encode()).hexdigest()
+        assert [r[f"n_{k}"] for k in KINDS] == [sum(s.startswith(k) for s in expected) for k in KINDS]
+        assert set(expected) <= set(r["spans"].split(","))
+
+
+def test_personal_data_of_hard_texts(spark):
+    pieces = ["a@b.co_d@e.fr", "x..y@-.-.a", "@@", "a@b", "256.1.1.1", "0001.2.3.4.5.6.7.8", "1.2.3", "4111 1111-1111 1111", "4111111111111112",
+              "+1 (415) 555-0100", "+1234567", "++49 30 1234567.", "é@x.de", "(at) me (at) host (dot) org", "415-555-0100", "9" * 40, "🙂 ip 10.0.0.1"]
+    rng = np.random.default_rng(1)
+    rows = [(i, "".join(rng.choice(pieces) + rng.choice(["", " ", ",", "\n", "."]) for _ in range(8))) for i in range(300)]
+    found, model = pii.find_personal_data(spark.createDataFrame(rows, "doc_id long, text string"))
+    written = {r["doc_id"]: (r["base"], r["spans"]) for r in found.select("doc_id", pii.written(F.col("base")).alias("base"), pii.written(F.col("spans")).alias("spans")).collect()}
+    for i, text in rows:
+        assert written[i][0] == ",".join(base_spans(text)), text
+        assert set(written[i][0].split(",")) <= set(written[i][1].split(",")) | {""}
+    assert {"shape", "listed", "context"} == set(model.reliabilities)
+
+
+def test_votes_decide_on_spans():
+    counts = {(3, 1, 1, 1, 1): 900, (3, 1, 1, 0, 1): 400, (3, 0, 0, 0, 1): 700, (3, 0, 0, -1, 1): 300, (3, 1, 0, -1, 1): 20, (3, 0, 1, 1, 1): 30}
+    model = pii.fit_spans(counts)
+    no, yes = model.reliabilities["shape"][1]
+    assert yes > 0.9 > 0.1 > no
+
+    def score(cell):
+        return sum(w * x for w, x in zip(model.weights, pii._features(cell)))
+
+    assert score((3, 1, 1, 1, 1)) > 0 > score((3, 0, 0, -1, 1))
+
+
+def test_line_dedup_of_the_tables(spark, folder, texts):
+    seen, expected = set(), {}
+    for i in sorted(texts):
+        lines = texts[i].encode().split(b"\n")
+        stays = [True] * len(lines)
+        for first, last, chunk in line_dedup.chunks(texts[i].encode()):
+            if chunk in seen:
+                stays[first:last] = [False] * (last - first)
+            seen.add(chunk)
+        expected[i] = hashlib.sha256(b"\n".join(line for line, stay in zip(lines, stays) if stay)).hexdigest()
+    assert {r["doc_id"]: r["text_sha256"] for r in queries.op4_line_dedup(spark, folder).collect()} == expected
+
+
+def test_line_dedup_cuts_passages_and_leaves_the_rest(spark):
+    passage = "\n".join(f"line {k} of a passage that many documents share word by word" for k in range(40))
+    alone = " ".join(f"p{k}" for k in range(60)) + "."
+    rows = [(i, f"document {i} begins in its own way\n{passage}\nand {i} ends so\n{alone}\nfooter") for i in range(40)]
+    given, result = line_dedup.without_repeats(spark.createDataFrame(rows, "doc_id long, text string"))
+    got = {r["doc_id"]: r[result] for r in given.collect()}
+    assert got[0]["n_removed_lines"] == 0
+    for i in range(1, 40):
+        assert alone not in got[i]["text"] and f"document {i} begins" in got[i]["text"] and f"and {i} ends" in got[i]["text"]
+        # All but the lines before the boundaries fall into step, and those after the last one.
+        assert got[i]["n_removed_lines"] > 30
+
+
+def test_chunks_with_one_name_and_other_bytes_stay(spark, monkeypatch):
+    """Every chunk gets the same name: only equal bytes count."""
+    docs = spark.createDataFrame([(1, "A " * 60), (2, "B " * 60), (3, "A " * 60), (4, "B " * 60 + "\n" + "A " * 60)], "doc_id long, text string")
+    cut = line_dedup._cut
+
+    def blind(batches):
+        import pyarrow as pa
+
+        for b in cut(batches):
+            zeros = pa.array([0] * b.num_rows, pa.int64())
+            yield b.set_column(6, "name", zeros).set_column(7, "name2", zeros)
+
+    monkeypatch.setattr(line_dedup, "_cut", blind)
+    given, result = line_dedup.without_repeats(docs)
+    assert {r["doc_id"]: r[result]["n_removed_lines"] for r in given.collect()} == {1: 0, 2: 0, 3: 1, 4: 2}
+
+
+def test_classifier_on_held_out_rows(spark):
+    found = queries.op5_quality_classifier(spark, LARGER)
+    labels = spark.read.parquet(f"{LARGER}/labels.parquet")
+    rows = [(r["score"], r["quality"]) for r in found.where("held_out").join(labels, "doc_id").collect()]
+    good, bad = ([s for s, q in rows if q == k] for k in (1, 0))
+    assert np.mean([[g > b for b in bad] for g in good]) > 0.95
+    assert np.mean([(s >= 0.3) == (q == 1) for s, q in rows]) > 0.93
+
+
+def test_forward_backward_against_all_paths():
+    rng = np.random.default_rng(5)
+    emission, change = rng.normal(size=(3, 4)), rng.normal(size=(2, 2))
+    there = np.arange(4) < np.array([[4], [1], [3]])
+    good, pairs = line_crf.marginals(emission, there, change)
+    for r, length in enumerate((4, 1, 3)):
+        weights = {}
+        for path in np.ndindex(*(2,) * length):
+            score = sum(emission[r, t] * y for t, y in enumerate(path)) + sum(change[a, b] for a, b in zip(path, path[1:]))
+            weights[path] = np.exp(score)
+        total = sum(weights.values())
+        for t in range(length):
+            assert good[r, t] == pytest.approx(sum(w for p, w in weights.items() if p[t]) / total)
+        for t in range(length - 1):
+            both = sum(w for p, w in weights.items() if p[t] and p[t + 1]) / total
+            assert pairs[r, t, 1, 1] == pytest.approx(both)
+
+
+@settings(max_examples=200, deadline=None, derandomize=True)
+@given(st.lists(st.text("ab/*?.", max_size=8), min_size=1, max_size=30), st.lists(st.text("ab/.é", max_size=12), min_size=1, max_size=12))
+def test_automaton_fits_as_globs_do(globs, texts):
+    expected = [[fnmatch.fnmatchcase(t, g) for g in globs] for t in texts]
+    assert Automaton(globs).fits(texts).tolist() == expected
+
+
+def test_licences_in_other_spellings(spark):
+    isc = dict(licenses.KNOWN)["ISC"]
+    texts = [isc, "Copyright (c) 2020 Someone\n\n" + isc.upper().replace(" ", "\n"), isc + " more", "licenced under the APACHE licence -- version 2.0",
+             "prose\n© 2021 X\nReleased under the MIT Licence!\nAll rights reserved.", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: (r["whole_license"], r["notices"], r["n_notices"]) for r in licenses.scan_licenses(docs).collect()}
+    assert got[0] == ("ISC", ["ISC"], 1) and got[1][0] == "ISC" and got[2] == (None, [], 0)
+    assert got[3] == ("Apache-2.0", ["Apache-2.0"], 1)
+    assert got[4] == (None, ["MIT", "all-rights-reserved"], 2) and got[5] == (None, [], 0)
+
+
+def test_rollup_is_idempotent_and_skips_broken_batches(spark):
+    rows = spark.createDataFrame([("a", "en", "v1", 5), ("a", "en", "v1", 7), (None, "en", "v1", 1), ("a", "en", "v1", None)], "source string, lang string, version string, n long")
+    rollup = TokenRollup(spark, fresh_path(spark, "rollup"))
+    assert rollup.totals().count() == 0
+    for _ in range(3):
+        rollup.commit("1", inserted(rows, F.col("n")))
+    rollup.commit("2", deleted(rows.where("n = 7"), F.col("n")))
+    rollup.commit("3", revised(rows.where("n = 5"), F.col("n"), F.col("n") + 10))
+    rollup.commit("4", deleted(rows.where("source is null"), F.col("n")))
+    broken = f"{rollup.folder}/batch-5"
+    inserted(rows, F.col("n")).write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(broken)
+    assert rollup.batches() == ["1", "2", "3", "4"]
+    assert [tuple(r) for r in rollup.totals().collect()] == [("a", "en", "v1", 2, 15)]
+
+
+def test_counts_by_a_tokenizer_file(spark):
+    from tokenizers import Tokenizer
+
+    path = "/opt/tokenizers/byte_bpe_50k.json"
+    docs = spark.createDataFrame([(1, "Hello there, world!", "en", "s"), (2, None, "en", "s")], "doc_id long, text string, lang string, source string")
+    got = {r["doc_id"]: r["n_tokens"] for r in count_vocabulary(docs, path).collect()}
+    assert got == {1: len(Tokenizer.from_file(path).encode("Hello there, world!").ids), 2: 0}
