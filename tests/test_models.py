@@ -82,6 +82,16 @@ def test_ridge_matches_the_closed_form(prediction):
     assert {"month", "year"} == set(ridge.encoder.constant)
 
 
+def test_both_ridge_solvers_minimise_the_same_sum(prediction):
+    tests = prediction.where("is_test")
+    one, two = (
+        regression.fit_ridge(prediction, solver=s).predict(tests).select("transaction_id", F.col("prediction").alias(s[0]))
+        for s in ("normal", "l-bfgs")
+    )
+    gap = one.join(two, "transaction_id").agg(F.max(F.abs(F.col("n") - F.col("l")))).first()[0]
+    assert gap < 1e-3
+
+
 def test_regression_figures(spark, prediction):
     ridge = regression.fit_ridge(prediction)
     found = settle(ridge.predict(prediction.where("is_test")))
