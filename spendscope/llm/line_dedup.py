@@ -18,7 +18,8 @@ LOOKS_BACK = 2  # lines that the rolling hash covers
 ONE_IN = 2  # a boundary follows one line in so many
 MIN_LINES = 2  # but no chunk ends before it has so many, unless a long line follows
 LONG_WORDS = 50  # a line this long is a chunk of its own
-MIN_WORDS = 12  # shorter chunks are headings and greetings rather than passages
+MIN_WORDS = 12  # nor so many words: shorter chunks are headings and greetings rather than passages
+LEFT_PERCENT = 20  # a document of which less than this is left is a copy
 
 _BITS = (1 << 64) - 1
 _BASE = 0x9E3779B97F4A7C15
@@ -31,20 +32,26 @@ def chunks(text: bytes) -> list[tuple[int, int, bytes]]:
     """First line, end line and bytes of the chunks of a text that may be repeated passages.
 
     A rolling hash over the hashes of the last lines ends a chunk where its high bits are a multiple of
-    ``ONE_IN``, once it has ``MIN_LINES``; a line of ``LONG_WORDS`` stands alone. Boundaries depend on the
-    lines around them, so a passage is cut alike wherever it stands, but for its first lines. A chunk
-    counts if it has ``MIN_LINES`` lines with ``MIN_WORDS`` words together, or is a single long line. Lines
-    without words belong to the chunk around them and are not hashed.
+    ``ONE_IN``, once it has ``MIN_LINES`` lines and ``MIN_WORDS`` words; a line of ``LONG_WORDS`` stands
+    alone. Boundaries depend on the lines around them, so a passage is cut alike wherever it stands, but
+    for its first lines. What is too short at the end of the text joins the chunk before it, unless that
+    is a long line; too short a rest before a long line is no chunk. Lines without words belong to the
+    chunk around them and are not hashed.
     """
     lines = text.split(b"\n")
     found: list[tuple[int, int, bytes]] = []
     start = words = spoken = rolled = 0
+    alone = True  # whether the last chunk is a long line
     recent = [0] * LOOKS_BACK
 
+    def enough() -> bool:
+        return words >= LONG_WORDS or (spoken >= MIN_LINES and words >= MIN_WORDS)
+
     def close(end: int) -> None:
-        nonlocal start, words, spoken
-        if words >= LONG_WORDS or (spoken >= MIN_LINES and words >= MIN_WORDS):
+        nonlocal start, words, spoken, alone
+        if enough():
             found.append((start, end, b"\n".join(lines[start:end])))
+            alone = spoken == 1
         start, words, spoken = end, 0, 0
 
     for k, line in enumerate(lines):
@@ -57,8 +64,11 @@ def chunks(text: bytes) -> list[tuple[int, int, bytes]]:
         new = xxhash.xxh3_64_intdigest(line)
         rolled = (rolled * _BASE + new - recent[0] * _LEAVES) & _BITS
         recent = [*recent[1:], new]
-        if count >= LONG_WORDS or (spoken >= MIN_LINES and (rolled >> 40) % ONE_IN == 0):
+        if count >= LONG_WORDS or (spoken >= MIN_LINES and words >= MIN_WORDS and (rolled >> 40) % ONE_IN == 0):
             close(k + 1)
+    if found and not alone and not enough() and found[-1][1] == start:
+        start = found.pop()[0]
+        words = LONG_WORDS
     close(len(lines))
     return found
 
@@ -166,8 +176,11 @@ def without_repeats(docs: DataFrame) -> tuple[DataFrame, str]:
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """``docs`` with the cleaned texts; documents that lose all their words go, those that had none stay."""
+    """``docs`` with the cleaned texts; documents of which less than ``LEFT_PERCENT`` of the words is left go.
+
+    Documents from which nothing was cut all stay, those without words included.
+    """
     given, result = without_repeats(docs)
-    left = F.col(result)
-    kept = given.where((left["n_left_words"] > 0) | (left["n_removed_words"] == 0))
-    return kept.withColumn("text", left["text"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    left, gone = F.col(result)["n_left_words"], F.col(result)["n_removed_words"]
+    kept = given.where((gone == 0) | (100 * left >= LEFT_PERCENT * (left + gone)))
+    return kept.withColumn("text", F.col(result)["text"]).select(*[F.col(f"`{c}`") for c in docs.columns])

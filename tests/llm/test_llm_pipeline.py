@@ -22,11 +22,11 @@ def planted(spark, folder, tmp_path):
         return " ".join(w + ("." if k % 11 == 10 else "") for k, w in enumerate(words)) + "."
 
     clean = {10**6 + k: "\n".join(prose(30) for _ in range(4)) for k in range(5)}
-    first = clean[10**6]
-    words = first.split(" ")
-    words[40] = "changed"
     rows = [(i, t) for i, t in clean.items()]
-    rows += [(2 * 10**6, first), (2 * 10**6 + 1, " ".join(words)), (3 * 10**6, prose(40) + "\n" + item + "\n" + prose(30))]
+    short = prose(44)  # one line that is too short to be a repeated passage
+    rows += [(2 * 10**6, clean[10**6]), (10**6 + 9, short), (2 * 10**6 + 1, short + " Changed.")]
+    clean[10**6 + 9] = short
+    rows += [(3 * 10**6, prose(40) + "\n" + item + "\n" + prose(30))]
     rows += [(4 * 10**6, " ".join(f"{w.upper()}!!" for w in prose(60).split()))]
     more = spark.createDataFrame([(i, t, "en", f"src{i % 3}", len(t)) for i, t in rows], given.schema)
     out = str(tmp_path)
@@ -49,7 +49,8 @@ def test_stages(spark, folder, tmp_path):
     for stage in kept.values():
         assert clean <= set(stage)
     assert 4 * 10**6 not in bad and 3 * 10**6 in near and 3 * 10**6 not in leak
-    assert 2 * 10**6 not in near and 2 * 10**6 + 1 not in near
+    assert 2 * 10**6 not in cut
+    assert 2 * 10**6 + 1 in cut and 2 * 10**6 + 1 not in near
     assert set(mix) == set(leak)
     sizes = {i: len(re.findall(r"[^\x20\x09-\x0D]+", r["text"])) for i, r in leak.items()}
     assert all(r["size"] == sizes[i] and r["taken"] <= 3 * r["size"] for i, r in mix.items())
