@@ -131,11 +131,12 @@ def without_repeats(docs: DataFrame) -> tuple[DataFrame, str]:
     )
     listed = marked.groupBy("doc_id", "_t1", "_t2").agg(F.collect_set("_cut").alias(cuts))
     id_, k1, k2 = spare(keyed, "_id", "_k1", "_k2")
-    listed = listed.toDF(id_, k1, k2, cuts)
+    listed = settle(listed.toDF(id_, k1, k2, cuts), "cuts")
     same = F.col("doc_id").eqNullSafe(F.col(id_)) & (F.col(one) == F.col(k1)) & (F.col(two) == F.col(k2))
-    held = settle(keyed.join(listed, same, "left").drop(id_, k1, k2), "held")
+    held = keyed.join(listed, same, "left").drop(id_, k1, k2)
 
-    texts = held.select("doc_id", one, two, F.split("text", "\n").alias("_lines"), F.explode(cuts).alias("_c")).select(
+    repeating = keyed.select("doc_id", "text", one, two).join(listed, same).drop(id_, k1, k2)
+    texts = repeating.select("doc_id", one, two, F.split("text", "\n").alias("_lines"), F.explode(cuts).alias("_c")).select(
         "_c.name", "_c.name2", "_c.at", F.expr("array_join(slice(_lines, _c.first + 1, _c.last - _c.first), '\n')").alias("_chunk"),
         "doc_id", F.col(one).alias("_t1"), F.col(two).alias("_t2"),
     )

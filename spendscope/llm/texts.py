@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 SPACE = r"[\x20\x09-\x0D]+"  # what separates words
 WORD = r"[^\x20\x09-\x0D]+"
-SLICE_BYTES = 1 << 21  # bytes of text that one vectorised step looks at
+SLICE_BYTES = 1 << 19  # bytes of text that one vectorised step looks at
 
 _MASK = np.uint64(0xFFFFFFFFFFFFFFFF)
 BLANK = np.zeros(256, dtype=bool)
