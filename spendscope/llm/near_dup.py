@@ -19,7 +19,7 @@ BANDS, ROWS = 40, 6  # a pair of similarity 0.8 shares no band with probability
 SAMPLES = BANDS * ROWS
 SKETCH_BITS = 1024
 MARGIN = 0.17  # over six standard deviations of the estimate at 0.8
-HEADS, TURNS = 4, 2  # of proposals within buckets, before all that is left is compared; later turns hardly merge
+HEADS, TURNS = 3, 2  # of proposals within buckets, before all that is left is compared; later turns hardly merge
 BLOCK = 256  # sketches that are compared with as many others at once
 CHUNK = 2048  # shingles that one step of the sampling looks at
 
