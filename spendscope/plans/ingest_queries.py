@@ -120,15 +120,15 @@ def scan_parquet(spark, folder):
     ),
 )
 def scan_common_columns(spark, folder):
-    """Two deliveries with different columns, read with those they share."""
+    """Two deliveries with different columns in one folder, read with those they share."""
     out = fresh_path(spark, "drift")
     rows = card_month(spark, folder)
     number = F.col("transaction_id").cast("bigint")
     rows.where(number % 2 == 0).select("transaction_id", "user_id", "amount", "timestamp", "currency").write.parquet(
-        f"{out}/a"
+        out
     )
-    rows.where(number % 2 == 1).select("transaction_id", "user_id", "amount", "timestamp", "status").write.parquet(
-        f"{out}/b"
+    rows.where(number % 2 == 1).select("transaction_id", "user_id", "amount", "timestamp", "status").write.mode("append").parquet(
+        out
     )
     return shaped(files.read_common_columns(spark, out), amount=4)
 

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
+import pyarrow.fs as fs
+import pyarrow.parquet as pq
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -117,22 +122,38 @@ def read_processed(spark: SparkSession, folder: str, n_files: int | None = None)
     return reader.parquet(*[row["path"] for row in first])
 
 
+def _columns_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Names of the columns of each file; null where its store cannot be opened outside Spark."""
+
+    def names(path: str) -> list[str] | None:
+        try:
+            store, place = (fs.LocalFileSystem(), path[5:]) if path.startswith("file:") else fs.FileSystem.from_uri(path)
+            return pq.read_schema(place, filesystem=store).names
+        except (OSError, ValueError):  # pyarrow's errors are kinds of these
+            return None
+
+    for batch in batches:
+        yield pd.DataFrame({"path": batch["path"], "names": [names(path) for path in batch["path"]]})
+
+
 def read_common_columns(spark: SparkSession, folder: str, looked_at: int | None = None) -> DataFrame:
     """All Parquet files, with the columns that they have in common.
 
-    One footer is read per folder of files, as the files that one job wrote into a folder share a
-    schema; ``looked_at`` limits the folders, for tables known to be alike.
+    The footers of all files are read in tasks, and one row per distinct set of columns reaches the
+    driver; ``looked_at`` limits the files, for tables known to be alike. In stores that only Spark
+    opens, the driver asks Spark for the schema of one file after the other.
     """
-    listed = list_files(spark, folder, "*.parquet")
-    parent = F.regexp_replace("path", "/[^/]*$", "")
-    first = listed.groupBy(parent.alias("folder")).agg(F.min("path").alias("path")).orderBy("path")
-    first = (first.limit(looked_at) if looked_at else first).collect()
-    if not first:
+    listed = list_files(spark, folder, "*.parquet").select("path")
+    listed = listed.orderBy("path").limit(looked_at) if looked_at else listed
+    seen = listed.mapInPandas(_columns_of, "path string, names array<string>")
+    sets = seen.groupBy("names").agg(F.min("path").alias("first"), F.collect_list(F.when(F.col("names").isNull(), F.col("path"))).alias("closed")).collect()
+    if not sets:
         raise FileNotFoundError(f"no Parquet files in {folder}")
-    schemas = [spark.read.parquet(row["path"]).schema for row in first]
-    shared = set.intersection(*[set(s.names) for s in schemas])
-    kept = [f for f in schemas[0].fields if f.name in shared]
-    wanted = type(schemas[0])(kept)
+    named = [set(row["names"]) for row in sets if row["names"] is not None]
+    named += [set(spark.read.parquet(path).schema.names) for row in sets for path in row["closed"]]
+    shared = set.intersection(*named)
+    schema = spark.read.parquet(min(row["first"] for row in sets)).schema
+    wanted = type(schema)([f for f in schema.fields if f.name in shared])
     return spark.read.schema(wanted).option("recursiveFileLookup", True).parquet(folder)
 
 

@@ -86,6 +86,14 @@ def test_common_columns(spark, tmp_path):
     assert found.columns == ["id"] and found.count() == 7
 
 
+def test_common_columns_of_files_in_one_folder(spark, tmp_path):
+    out = str(tmp_path / "flat")
+    spark.range(3).selectExpr("id", "1 as a").coalesce(1).write.parquet(out)
+    spark.range(4).selectExpr("id", "2 as b").coalesce(1).write.mode("append").parquet(out)
+    found = files.read_common_columns(spark, out)
+    assert found.columns == ["id"] and found.count() == 7
+
+
 def test_merchant_reference_is_optional(spark, tmp_path):
     assert files.read_merchant_reference(spark, str(tmp_path / "absent.csv")) is None
     path = tmp_path / "ref.csv"
