@@ -1,4 +1,4 @@
-"""Repeated passages: line chunks with content-defined boundaries, compared byte by byte."""
+"""Repeated passages: content-defined chunks and windows of lines, compared byte by byte."""
 
 from __future__ import annotations
 
@@ -17,7 +17,7 @@ from spendscope.session import settle
 LOOKS_BACK = 2  # lines that the rolling hash covers
 ONE_IN = 2  # a boundary follows one line in so many
 MIN_LINES = 2  # but no chunk ends before it has so many, unless a long line follows
-LONG_WORDS = 50  # a line this long is a chunk of its own
+LONG_WORDS = 50  # a line this long is a chunk of its own, lines that have so many together are a window
 MIN_WORDS = 12  # nor so many words: shorter chunks are headings and greetings rather than passages
 LEFT_PERCENT = 20  # a document of which less than this is left is a copy
 
@@ -29,7 +29,37 @@ CHUNK = "doc_id bigint, _t1 bigint, _t2 bigint, at int, first int, last int, nam
 
 
 def chunks(text: bytes) -> list[tuple[int, int, bytes]]:
-    """First line, end line and bytes of the chunks of a text that may be repeated passages.
+    """First line, end line and bytes of the runs of lines of a text that may be repeated passages.
+
+    These are the content-defined chunks and the windows, in order and each place once. A passage that
+    stands in two texts has its windows in both, whatever surrounds it.
+    """
+    lines = text.split(b"\n")
+    places = sorted({*_content_defined(lines), *_windows(lines)})
+    return [(first, end, b"\n".join(lines[first:end])) for first, end in places]
+
+
+def _windows(lines: list[bytes]) -> set[tuple[int, int]]:
+    """First and end line of the shortest runs of ``LONG_WORDS`` from each line on and up to each line.
+
+    Together they cover any run of so many words to its first and last line with words.
+    """
+    spoken = [(k, n) for k, n in enumerate(len(line.split()) for line in lines) if n]
+    found = set()
+    low = words = 0
+    for k, n in spoken:
+        words += n
+        while words - spoken[low][1] >= LONG_WORDS:
+            found.add((spoken[low][0], k + 1))
+            words -= spoken[low][1]
+            low += 1
+        if words >= LONG_WORDS:
+            found.add((spoken[low][0], k + 1))
+    return found
+
+
+def _content_defined(lines: list[bytes]) -> list[tuple[int, int]]:
+    """First and end line of the chunks whose boundaries follow from their lines.
 
     A rolling hash over the hashes of the last lines ends a chunk where its high bits are a multiple of
     ``ONE_IN``, once it has ``MIN_LINES`` lines and ``MIN_WORDS`` words; a line of ``LONG_WORDS`` stands
@@ -38,8 +68,7 @@ def chunks(text: bytes) -> list[tuple[int, int, bytes]]:
     is a long line; too short a rest before a long line is no chunk. Lines without words belong to the
     chunk around them and are not hashed.
     """
-    lines = text.split(b"\n")
-    found: list[tuple[int, int, bytes]] = []
+    found: list[tuple[int, int]] = []
     start = words = spoken = rolled = 0
     alone = True  # whether the last chunk is a long line
     recent = [0] * LOOKS_BACK
@@ -50,7 +79,7 @@ def chunks(text: bytes) -> list[tuple[int, int, bytes]]:
     def close(end: int) -> None:
         nonlocal start, words, spoken, alone
         if enough():
-            found.append((start, end, b"\n".join(lines[start:end])))
+            found.append((start, end))
             alone = spoken == 1
         start, words, spoken = end, 0, 0
 

@@ -119,3 +119,12 @@ def test_filters_do_not_multiply_work(spark):
     """A filter on a result must not copy the word arrays into its lambdas."""
     docs = spark.createDataFrame([(1, "a b c d e f g " * 3000)], "doc_id long, text string")
     assert quality_rules.clean_lines(docs).where(F.col("n_repeat_words") > 0).count() == 1
+
+
+@pytest.mark.parametrize(("lines", "words"), [(2, 30), (3, 20), (4, 15), (5, 12), (8, 10), (3, 40)])
+def test_short_lines_of_a_passage_go(spark, lines, words):
+    passage = "\n".join(" ".join(f"p{k}x{w}" for w in range(words)) for k in range(lines))
+    rows = [(i, "\n".join([*(f"a{i}x{k} begins" for k in range(i)), passage, *(f"z{i}x{k} ends" for k in range(i))])) for i in range(1, 9)]
+    given, result = line_dedup.without_repeats(spark.createDataFrame(rows, "doc_id long, text string"))
+    for r in given.collect():
+        assert r[result]["n_removed_lines"] == (0 if r["doc_id"] == 1 else lines)
