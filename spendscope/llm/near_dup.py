@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spendscope.llm.texts import mixed, slices, spare, text_key, word_hashes
+from spendscope.llm.texts import WORD, mixed, slices, spare, text_key, word_hashes
 from spendscope.session import settle
 
 SHINGLE_WORDS = 5
@@ -335,25 +335,24 @@ def near_duplicates(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, percent
 
     placed = nodes.select("node", "_set", "first_id").join(classes, "node", "left").withColumn("class", F.coalesce("class", "node"))
     least = placed.groupBy("class").agg(F.min("first_id").alias("component_id"))
-    by_set = placed.join(least, "class").select("_set", "component_id")
+    by_set = placed.join(least, "class").select("_set", "component_id", "class")
     own = F.when(F.col("_set").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return seen.join(by_set, "_set", "left").select("doc_id", "_t1", "_t2", "n_shingles", own.alias("component_id"))
+    return seen.join(by_set, "_set", "left").select("doc_id", "_t1", "_t2", "n_shingles", own.alias("component_id"), "class")
 
 
 def one_of_each(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, percent: int = PERCENT) -> DataFrame:
     """``docs`` with one document of each near-duplicate class, all columns kept.
 
-    The one whose ``doc_id`` names the class stays; of rows that share that id the one with the smallest
-    text digest, and of rows that also share the text one. Documents without words all stay, but for
-    repeats of the same ``doc_id``.
+    The one with the smallest ``doc_id`` stays (null last); of rows that share that id the one with the
+    smallest text digest, and of rows that also share the text one. Rows without words belong to no class
+    and all stay.
     """
     found = near_duplicates(docs, shingle_words, percent)
     chosen = (
-        found.where(F.col("component_id").eqNullSafe(F.col("doc_id")))
-        .groupBy("doc_id", F.when(F.col("n_shingles") > 0, F.col("component_id")).alias("_class"))
-        .agg(F.min(F.struct("_t1", "_t2")).alias("_x"))
-        .select(F.col("doc_id").alias("_id"), "_x.*")
-        .distinct()
+        found.where("n_shingles > 0")
+        .groupBy("class")
+        .agg(F.min(F.struct(F.col("doc_id").isNull().alias("_none"), "doc_id", "_t1", "_t2")).alias("_x"))
+        .select(F.col("_x.doc_id").alias("_id"), "_x._t1", "_x._t2")
     )
     one, two = spare(docs, "_t1", "_t2")
     first, second = text_key(F.col("text"))
@@ -362,4 +361,6 @@ def one_of_each(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, percent: in
     key, k1, k2 = chosen.columns
     same = keyed["doc_id"].eqNullSafe(chosen[key]) & (keyed[one] == chosen[k1]) & (keyed[two] == chosen[k2])
     kept = keyed.join(chosen, same, "left_semi").dropDuplicates(["doc_id", one, two])
-    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
+    spoken = F.coalesce(F.col("text").rlike(WORD), F.lit(False))
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    return kept.select(*columns).unionByName(docs.where(~spoken).select(*columns))

@@ -128,3 +128,11 @@ def test_short_lines_of_a_passage_go(spark, lines, words):
     given, result = line_dedup.without_repeats(spark.createDataFrame(rows, "doc_id long, text string"))
     for r in given.collect():
         assert r[result]["n_removed_lines"] == (0 if r["doc_id"] == 1 else lines)
+
+
+def test_rows_without_ids_or_under_a_taken_id_stay(spark):
+    texts = ["the first clean text of its own", "a second and wholly different one", "something else that nobody copied here"]
+    rows = [(None, t) for t in texts] + [(5, texts[0].upper()), (5, "this id is taken by another text already"), (None, None), (None, ""), (7, " ")]
+    kept = near_dup.one_of_each(spark.createDataFrame(rows, "doc_id long, text string"), 2).collect()
+    left = [r for r in rows if r != (None, texts[0])]
+    assert sorted(map(repr, map(tuple, kept))) == sorted(map(repr, left))
