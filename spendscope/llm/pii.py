@@ -30,7 +30,7 @@ LOOSE = {
     "phone": r"(?<![0-9+])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9])",
 }
 NEEDS = {"email": "@", "phone": "+"}  # a text without it has no base match
-LOOSE_NEEDS = {"email": "at", "phone": "-"}
+LOOSE_NEEDS = {"email": "at"}  # a phone number has no one sign that it needs
 
 # What the labelers know.
 SHAPES = {

@@ -136,3 +136,10 @@ def test_rows_without_ids_or_under_a_taken_id_stay(spark):
     kept = near_dup.one_of_each(spark.createDataFrame(rows, "doc_id long, text string"), 2).collect()
     left = [r for r in rows if r != (None, texts[0])]
     assert sorted(map(repr, map(tuple, kept))) == sorted(map(repr, left))
+
+
+def test_numbers_without_hyphens_are_candidates(spark):
+    numbers = ["415 555 0100", "415.555.0100", "(415) 555 0100"]
+    docs = spark.createDataFrame([(k, f"phone {n} now") for k, n in enumerate(numbers)], "doc_id long, text string")
+    found = {r["doc_id"]: [(s["start"], s["end"]) for s in r["found"] if s["kind"] == 3] for r in pii.candidates(docs).collect()}
+    assert found == {k: [(6, 6 + len(n))] for k, n in enumerate(numbers)}
