@@ -19,7 +19,6 @@ ONE_IN = 2  # a boundary follows one line in so many
 MIN_LINES = 2  # but no chunk ends before it has so many, unless a long line follows
 LONG_WORDS = 50  # a line this long is a chunk of its own, lines that have so many together are a window
 MIN_WORDS = 12  # nor so many words: shorter chunks are headings and greetings rather than passages
-LEFT_PERCENT = 20  # a document of which less than this is left is a copy
 
 _BITS = (1 << 64) - 1
 _BASE = 0x9E3779B97F4A7C15
@@ -206,11 +205,10 @@ def without_repeats(docs: DataFrame) -> tuple[DataFrame, str]:
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """``docs`` with the cleaned texts; documents of which less than ``LEFT_PERCENT`` of the words is left go.
+    """``docs`` with the cleaned texts; documents of which no word is left go.
 
     Documents from which nothing was cut all stay, those without words included.
     """
     given, result = without_repeats(docs)
-    left, gone = F.col(result)["n_left_words"], F.col(result)["n_removed_words"]
-    kept = given.where((gone == 0) | (100 * left >= LEFT_PERCENT * (left + gone)))
+    kept = given.where((F.col(result)["n_removed_words"] == 0) | (F.col(result)["n_left_words"] > 0))
     return kept.withColumn("text", F.col(result)["text"]).select(*[F.col(f"`{c}`") for c in docs.columns])

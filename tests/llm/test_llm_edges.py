@@ -143,3 +143,11 @@ def test_numbers_without_hyphens_are_candidates(spark):
     docs = spark.createDataFrame([(k, f"phone {n} now") for k, n in enumerate(numbers)], "doc_id long, text string")
     found = {r["doc_id"]: [(s["start"], s["end"]) for s in r["found"] if s["kind"] == 3] for r in pii.candidates(docs).collect()}
     assert found == {k: [(6, 6 + len(n))] for k, n in enumerate(numbers)}
+
+
+def test_small_remainders_of_documents_stay(spark):
+    passage = "\n".join(" ".join(f"p{k}x{w}" for w in range(60)) for k in range(5))
+    own = "a clean text below a passage that is shared"
+    rows = [(1, passage), (2, passage + "\n" + own), (3, passage)]
+    kept = line_dedup.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["text"] for r in kept} == {1: passage, 2: own}
