@@ -25,8 +25,11 @@ class Rule:
     def name(self) -> str:
         return self.host + self.path
 
-    def globs(self) -> tuple[str, str]:
-        return f"{self.host}{self.path}*", f"*.{self.host}{self.path}*"
+    def host_globs(self) -> tuple[str, str]:
+        return self.host, f"*.{self.host}"
+
+    def path_glob(self) -> str:
+        return f"{self.path}*"
 
 
 # The rules of the query, and the globs that decide where none of them fits.
@@ -113,7 +116,7 @@ class Automaton:
             shifted = now << np.uint64(1)
             shifted[:, 1:] |= now[:, :-1] >> np.uint64(63)
             state[live] = (shifted & self.allowed[letters[live, k]]) | (now & self.loop)
-        bits = np.array(self.finals)
+        bits = np.array(self.finals, dtype=np.int64)
         return (state[:, bits // 64] >> (bits % 64).astype(np.uint64)) & np.uint64(1) == 1
 
 
@@ -127,14 +130,15 @@ def split_url(url: Column) -> tuple[Column, Column]:
 def judge_urls(pages: DataFrame, rules: Sequence[Rule] = RULES, blocked: Sequence[str] = BLOCKED) -> DataFrame:
     """Per row of ``pages``: ``page_id, host, path, rule, verdict``.
 
-    The canonical URL is host and path together. The longest rule that fits decides (of equally long ones
-    the last of their names); where none fits ``rule`` is null, and a fitting glob of ``blocked`` blocks,
-    else the verdict is ``allow``. A URL that is null or has no ``://`` is the empty text. Characters are
+    A rule fits by its host on the host and by its path on the path. The longest rule that fits decides (of
+    equally long ones the last of their names); where none fits ``rule`` is null, and a glob of ``blocked``
+    that fits host and path together blocks, else the verdict is ``allow``. A URL that is null or has no ``://`` is the empty text. Characters are
     code points. Rows are independent, so repeated rows, other columns and order change nothing; very long
     URLs are simulated by themselves.
     """
     ordered = sorted(rules, key=lambda r: (len(r.name), r.name), reverse=True)
-    automaton = Automaton([g for r in ordered for g in r.globs()] + list(blocked))
+    of_hosts = Automaton([g for r in ordered for g in r.host_globs()])
+    of_paths, of_urls = Automaton([r.path_glob() for r in ordered]), Automaton(list(blocked))
     names = np.array([r.name for r in ordered] + [None], dtype=object)
     verdicts = np.array([r.verdict for r in ordered] + ["allow"], dtype=object)
     many = len(ordered)
@@ -144,10 +148,11 @@ def judge_urls(pages: DataFrame, rules: Sequence[Rule] = RULES, blocked: Sequenc
             if not batch.num_rows:
                 continue
             hosts, paths = batch["host"].to_pylist(), batch["path"].to_pylist()
-            fits = automaton.fits([h + p for h, p in zip(hosts, paths)])
-            ruled = fits[:, 0 : 2 * many : 2] | fits[:, 1 : 2 * many : 2]
+            named = of_hosts.fits(hosts)
+            ruled = (named[:, 0::2] | named[:, 1::2]) & of_paths.fits(paths)
+            banned = of_urls.fits([h + p for h, p in zip(hosts, paths)]).any(axis=1)
             first = np.where(ruled.any(axis=1), ruled.argmax(axis=1) if many else 0, many)
-            verdict = np.where((first == many) & fits[:, 2 * many :].any(axis=1), "block", verdicts[first])
+            verdict = np.where((first == many) & banned, "block", verdicts[first])
             yield pa.RecordBatch.from_arrays(
                 [batch["page_id"], batch["host"], batch["path"], pa.array(names[first], pa.string()),
                  pa.array(verdict, pa.string())],

@@ -151,3 +151,10 @@ def test_small_remainders_of_documents_stay(spark):
     rows = [(1, passage), (2, passage + "\n" + own), (3, passage)]
     kept = line_dedup.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {r["doc_id"]: r["text"] for r in kept} == {1: passage, 2: own}
+
+
+def test_hosts_in_the_path_of_a_url(spark):
+    urls = ["http://a.net/www.example.org/es/1", "http://a.net/x.org/y", "http://a.net/ads/x.org/y", "http://www.example.org/es/1"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    found = {r["page_id"]: (r["rule"], r["verdict"]) for r in url_filter.judge_urls(pages).collect()}
+    assert found == {0: (None, "allow"), 1: (None, "allow"), 2: (None, "block"), 3: ("example.org/es/", "block")}
