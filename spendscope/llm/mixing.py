@@ -59,7 +59,8 @@ def schedule(shares: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
     Slot ``t`` is the point ``t * golden ratio`` modulo 1; the source whose stretch of the cumulative
     targets holds the point fills it. Stretches are cut at cells so that points find them by equality; a
     cell holds 17/16 stretches on average whatever the targets. Turns are counted within runs of slots,
-    then across the counts of the runs.
+    then across the counts of the runs. A source whose blocks are short, as those of tiny sources are, needs
+    more slots than its share of points: after the last point each source gets the turns that it lacks.
     """
     spark = shares.sparkSession
     total, sources = shares.agg(F.sum("target"), F.count("*")).first()
@@ -86,11 +87,26 @@ def schedule(shares: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
     before = W.partitionBy("place").orderBy("_run").rowsBetween(W.unboundedPreceding, -1)
     counts = counts.select("place", "_run", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
     within = F.row_number().over(W.partitionBy("place", "_run").orderBy("slot"))
-    return (
+    given = (
         filled.withColumn("_within", within)
         .join(counts, ["place", "_run"])
         .select("slot", "place", (F.col("_before") + F.col("_within") - 1).alias("turn"))
     )
+    goal, size = F.floor("target").cast("long"), F.col("source_size")
+    needed = F.floor(goal / size) * F.ceil(size / block_words) + F.ceil(goal % size / block_words)
+    had = filled.groupBy(F.col("place").alias("_p")).agg(F.count("*").alias("_had"))
+    short = (
+        shares.where("source_size > 0")
+        .join(had, F.col("place") == F.col("_p"), "left")
+        .select("place", F.coalesce("_had", F.lit(0)).alias("_had"), needed.alias("_needed"))
+        .where("_needed > _had")
+    )
+    earlier = W.orderBy("place").rowsBetween(W.unboundedPreceding, -1)  # one row per source
+    first = F.lit(slots) + F.coalesce(F.sum(F.col("_needed") - F.col("_had")).over(earlier), F.lit(0)) - F.col("_had")
+    lacking = short.withColumn("_first", first).select(
+        "place", "_first", F.explode(F.sequence(F.col("_had"), F.col("_needed") - 1)).alias("turn")
+    )
+    return given.unionByName(lacking.select((F.col("_first") + F.col("turn")).alias("slot"), "place", "turn"))
 
 
 def lines(docs: DataFrame) -> DataFrame:

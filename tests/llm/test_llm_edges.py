@@ -158,3 +158,9 @@ def test_hosts_in_the_path_of_a_url(spark):
     pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
     found = {r["page_id"]: (r["rule"], r["verdict"]) for r in url_filter.judge_urls(pages).collect()}
     assert found == {0: (None, "allow"), 1: (None, "allow"), 2: (None, "block"), 3: ("example.org/es/", "block")}
+
+
+def test_tiny_sources_beside_a_huge_one(spark):
+    rows = [(k, "w " * size, f"s{k:02}") for k, size in enumerate((10, 20, 33, 65, 100, 200))] + [(99, "w " * 300_000, "t")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    assert all(0 <= r["target"] - r["taken"] < 1 for r in mixing.mix(docs).collect())
