@@ -198,3 +198,63 @@ select source, lang, 'words-1' as version, count(*) as n_docs, sum(words)::bigin
 union all
 select source, lang, 'pieces-2', count(*), sum(pieces - pipes)::bigint from c group by source, lang
 """
+
+OP11 = r"""
+with pieces as (
+  select lang, list_filter(regexp_split_to_array(piece, '[ \t]+'), lambda x: x <> '') as ws
+  from (
+    select coalesce(lang, 'und') as lang, unnest(regexp_split_to_array(translate(coalesce(text, ''),
+      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) as piece
+    from documents
+  )
+), total as (
+  select lang, sum(len(ws)) as n from pieces group by lang
+), placed as (
+  select lang, ws, unnest(range(1, len(ws) + 1)) as i from pieces
+), grams as (
+  select lang, ws[i:i + m - 1] as p, count(*) as f
+  from (select *, unnest(range(1, 6)) as m from placed) where i + m - 1 <= len(ws)
+  group by all having count(*) >= 100 
+), inside as (
+  select lang, p, max(f) as longer
+  from (
+    select lang, f, unnest([p[1:len(p) - 1], p[2:len(p)]]) as p from grams where len(p) >= 3
+  ) group by all
+), free as (
+  select g.lang, g.p, g.f as a
+  from grams g left join inside i on i.lang = g.lang and i.p = g.p
+  where len(g.p) >= 2 and (longer is null or longer < g.f)
+), cuts as (
+  select lang, p, a, unnest(range(1, len(p))) as k from free
+), scored as (
+  select c.lang, c.p, c.a, c.k, x.f as l, y.f as r, t.n,
+    (1000 * c.a::hugeint * t.n::hugeint) // (x.f::hugeint * y.f::hugeint) as score
+  from cuts c
+  join grams x on x.lang = c.lang and x.p = c.p[1:c.k]
+  join grams y on y.lang = c.lang and y.p = c.p[c.k + 1:len(c.p)]
+  join total t on t.lang = c.lang
+), lowest as (
+  select *, array_to_string(p, ' ') as phrase from scored
+  qualify row_number() over (partition by lang, p order by score, k) = 1
+)
+select lang, rank, phrase, a, l, r, n::bigint as n, score::bigint as score
+from (
+  select *, row_number() over (partition by lang order by score desc, a desc, phrase) as rank from lowest
+) where rank <= 2000
+"""
+
+OP12 = r"""
+with rows as (
+  select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all
+  select -1, k, role, '<|im_end|><|im_start|>assistant ok' from (values (0, 'user'), (1, 'assistant')) as t(k, role)
+)
+select conv_id, count(*) as n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn nulls first, role, text)) as turns_sha256,
+  coalesce(sum(len(text)) filter (where role = 'assistant'), 0)::bigint as loss_chars,
+  sha256(coalesce(string_agg(text, '' order by turn nulls first, role, text) filter (where role = 'assistant'), '')) as loss_sha256,
+  sum(len('<|im_start|>' || regexp_replace(role, '<(\\*)\|', '<\1\\|', 'g') || '<|im_sep|>'
+    || regexp_replace(text, '<(\\*)\|', '<\1\\|', 'g') || '<|im_end|>' || chr(10)))::bigint as formatted_chars,
+  0::bigint as n_attachments
+from rows group by conv_id
+"""
