@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -17,9 +18,12 @@ from spendscope.session import settle
 MIN_COUNT = 100  # occurrences that make a phrase a candidate
 MAX_WORDS = 5
 TOP = 2000  # phrases reported per language
-SHARD_BYTES = 12 << 20  # text under one index; only the last text of a shard may pass it
+SHARD_BYTES = 4 << 20  # text under one index; only the last text of a shard may pass it
 STEP_BYTES = 1 << 20  # bytes of words hashed at once
-SIEVE_BITS = 1 << 26  # of the largest bitmap that is sent to the shards, 8 MB
+HELD_KEYS = 1 << 22  # of several shards that a task sums before they leave it
+BATCH_ROWS = 1 << 16  # phrases that leave a task at once
+SIEVE_BITS = 26  # the largest bitmap that is sent to the shards has 2**26 places, 8 MB
+KEY_BITS, WORD_KEY_BITS, NAME_BITS = 62, 40, 63
 UNKNOWN = "und"
 
 # What ends a piece, and what separates words within one.
@@ -71,8 +75,8 @@ def _seeds(langs: list[str]) -> np.ndarray:
 
 
 def word_names(langs: list[str], spoken: np.ndarray, data: np.ndarray, begin: np.ndarray, size: np.ndarray):
-    """Two 64-bit names of each word ``data[begin:begin + size]`` of language ``langs[spoken]``."""
-    return [mixed(h ^ _seeds(langs)[spoken]) for h in _word_hashes(data, begin, size)]
+    """Two names of ``NAME_BITS`` bits of each word ``data[begin:begin + size]`` of language ``langs[spoken]``."""
+    return [mixed(h ^ _seeds(langs)[spoken]) >> np.uint64(64 - NAME_BITS) for h in _word_hashes(data, begin, size)]
 
 
 def _pad(values: np.ndarray, step: int) -> np.ndarray:
@@ -105,12 +109,22 @@ def unpacked(planes: bytes, size: int) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(data, dtype=np.uint8).reshape(4, size).T).view("<u4").reshape(-1)
 
 
-def index_row(texts: list[bytes], langs: list[str], depth: int) -> dict | None:
-    """The index of some texts in any languages, or None without a word.
+@dataclass
+class Tokens:
+    """The words of some texts in a row: where they stand, in which piece, and two names of each."""
 
-    Id 0 separates pieces and texts; the other ids are the distinct words of the shard, frequent ones first, where
-    words of different languages differ.
-    """
+    data: np.ndarray
+    begin: np.ndarray
+    size: np.ndarray
+    piece: np.ndarray
+    langs: list[str]
+    spoken: np.ndarray
+    names: np.ndarray
+    second: np.ndarray
+
+
+def tokens_of(texts: list[bytes], langs: list[str]) -> Tokens | None:
+    """All words of some texts in any languages, A-Z lower-cased; None without a word."""
     data = _LOWER[np.frombuffer(b"\n".join(texts), dtype=np.uint8)]
     solid = np.concatenate([[False], _SOLID[data], [False]])
     edges = np.flatnonzero(solid[1:] != solid[:-1])
@@ -121,27 +135,40 @@ def index_row(texts: list[bytes], langs: list[str], depth: int) -> dict | None:
     place = {lang: k for k, lang in enumerate(known)}
     starts = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])[:-1]])
     spoken = np.array([place[lang] for lang in langs])[np.searchsorted(starts, begin, side="right") - 1]
-    names, second = word_names(known, spoken, data, begin, size)
+    piece = np.cumsum(_ENDS[data], dtype=np.int32)[begin]
+    return Tokens(data, begin, size, piece, known, spoken, *word_names(known, spoken, data, begin, size))
+
+
+def index_row(texts: list[bytes], langs: list[str], depth: int, passes: Callable | None = None) -> dict | None:
+    """The index of some texts, or None without a word.
+
+    Id 0 separates pieces and texts and stands for words that ``passes`` sifts out by their names; the other ids
+    are the distinct words of the shard, frequent ones first, where words of different languages differ.
+    """
+    t = tokens_of(texts, langs)
+    if t is None:
+        return None
+    kept = np.flatnonzero(passes(t.names[:, None].view(np.int64))) if passes else np.arange(len(t.names))
+    names, second, piece = t.names[kept], t.second[kept], t.piece[kept]
     _, first, ids, counts = np.unique(names, return_index=True, return_inverse=True, return_counts=True)
     if (second[first][ids] != second).any():  # two words of one hash
         pairs = np.stack([names, second], axis=1)
         _, first, ids, counts = np.unique(pairs, axis=0, return_index=True, return_inverse=True, return_counts=True)
         ids = ids.reshape(-1)
-    del names, second
     order = np.argsort(-counts, kind="stable")
-    first, counts = first[order], counts[order]
+    first, counts = kept[first[order]], counts[order]
     rank = np.empty(len(order), dtype=np.int32)
     rank[order] = np.arange(1, len(order) + 1)
-    piece = np.cumsum(_ENDS[data], dtype=np.int32)[begin]
-    fresh = np.concatenate([[1], (piece[1:] != piece[:-1]).astype(np.int64)])
+    fresh = np.ones(len(kept), dtype=np.int64)
+    fresh[1:] = (piece[1:] != piece[:-1]) | (kept[1:] != kept[:-1] + 1)
     text = np.zeros(len(ids) + int(fresh.sum()) + 1, dtype=np.int32)
     text[np.arange(len(ids)) + np.cumsum(fresh)] = rank[ids]
-    spelled = [data[b : b + s].tobytes().decode("utf-8", "surrogatepass") for b, s in zip(begin[first], size[first])]
+    at = zip(t.begin[first], t.size[first])
     return {
-        "langs": known,
-        "lang_words": np.bincount(spoken, minlength=len(known)),
-        "word_langs": spoken[first].astype(np.int32),
-        "words": spelled,
+        "langs": t.langs,
+        "lang_words": np.bincount(t.spoken, minlength=len(t.langs)),
+        "word_langs": t.spoken[first].astype(np.int32),
+        "words": [t.data[b : b + s].tobytes().decode("utf-8", "surrogatepass") for b, s in at],
         "counts": counts.astype(np.int32),
         "size": len(text),
         "forward": packed(transform(text, depth)),
@@ -154,32 +181,84 @@ def _arrow(kind: str) -> pa.DataType:
     return pa.list_(simple[kind[6:-1]]) if kind.startswith("array<") else simple[kind]
 
 
-def build_index(docs: DataFrame, depth: int = MAX_WORDS) -> DataFrame:
-    """One index per ``SHARD_BYTES`` of text; texts are taken where they lie, none is moved."""
-    schema = pa.schema([(name, _arrow(kind)) for name, kind in (part.strip().split(" ") for part in INDEX.split(", "))])
+def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[bytes], list[str]]]:
+    """Texts and languages of ``SHARD_BYTES`` and a text at most."""
+    texts, langs, size = [], [], 0
+    for batch in batches:
+        for text, lang in zip(batch["text"], batch["lang"]):
+            texts.append((text.as_py() or "").encode("utf-8", "surrogatepass"))
+            langs.append(lang.as_py())
+            size += len(texts[-1])
+            if size >= SHARD_BYTES:
+                yield texts, langs
+                texts, langs, size = [], [], 0
+    if texts:
+        yield texts, langs
+
+
+def _said(docs: DataFrame) -> DataFrame:
+    lang = F.coalesce("lang", F.lit(UNKNOWN)).alias("lang")
+    return docs.where(F.col("text").isNotNull()).select("text", lang)
+
+
+def _counts_by_key(shards: Iterator[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+    """Keys and their sums over shards of one task, in runs of ascending keys, as alike neighbours pack well in a shuffle."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def run() -> Iterator[pa.RecordBatch]:
+        keys, counts = (np.concatenate(c) for c in zip(*held))
+        held.clear()
+        order = np.argsort(keys, kind="stable")
+        keys, counts = keys[order], counts[order]
+        begin = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+        sums = np.add.reduceat(counts, begin).astype(np.int32)
+        yield from _in_batches(pa.RecordBatch.from_arrays([pa.array(keys[begin]), pa.array(sums)], ["key", "n"]))
+
+    for keys, counts in shards:
+        if len(keys):
+            held.append((keys, counts))
+        if sum(len(k) for k, _ in held) >= HELD_KEYS:
+            yield from run()
+    if held:
+        yield from run()
+
+
+def _frequent_keys(counted: DataFrame, min_count: int) -> DataFrame:
+    """The keys whose counts, summed by the tasks already, come to ``min_count``. Keys are hashes, so none is hot."""
+    summed = counted.repartition("key").groupBy("key").agg(F.sum("n").alias("n"))
+    return summed.where(F.col("n") >= min_count).select("key")
+
+
+def likely_words(docs: DataFrame, min_count: int) -> DataFrame:
+    """``key``s under which words stand ``min_count`` times or more together; all frequent words are under these."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        texts, langs, size = [], [], 0
+        def counted():
+            for texts, langs in _shards(batches):
+                found = tokens_of(texts, langs)
+                if found:
+                    names, counts = np.unique(found.names, return_counts=True)
+                    yield keys_of(names[:, None].view(np.int64), WORD_KEY_BITS), counts
+
+        return _counts_by_key(counted())
+
+    return _frequent_keys(_said(docs).mapInArrow(run, "key bigint, n int"), min_count)
+
+
+def build_index(docs: DataFrame, depth: int = MAX_WORDS, words=None) -> DataFrame:
+    """One index per ``SHARD_BYTES`` of text; texts are taken where they lie, none is moved.
 
-        def flushed() -> Iterator[pa.RecordBatch]:
-            row = index_row(texts, langs, depth)
-            texts.clear(), langs.clear()
+    ``words`` is a broadcast sieve of the words that are worth an id.
+    """
+    schema = pa.schema([(name, _arrow(kind)) for name, kind in (part.strip().split(" ") for part in INDEX.split(", "))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for texts, langs in _shards(batches):
+            row = index_row(texts, langs, depth, words.value.passes if words else None)
             if row:
                 yield pa.RecordBatch.from_arrays([pa.array([row[f.name]], f.type) for f in schema], schema=schema)
 
-        for batch in batches:
-            for text, lang in zip(batch["text"], batch["lang"]):
-                texts.append((text.as_py() or "").encode("utf-8", "surrogatepass"))
-                langs.append(lang.as_py())
-                size += len(texts[-1])
-                if size >= SHARD_BYTES:
-                    yield from flushed()
-                    size = 0
-        if texts:
-            yield from flushed()
-
-    lang = F.coalesce("lang", F.lit(UNKNOWN)).alias("lang")
-    return docs.where(F.col("text").isNotNull()).select("text", lang).mapInArrow(run, INDEX)
+    return _said(docs).mapInArrow(run, INDEX)
 
 
 @dataclass
@@ -191,22 +270,32 @@ class Phrases:
     size: np.ndarray
     ids: np.ndarray  # one row per phrase
 
-    def only(self, keep: np.ndarray) -> Phrases:
+    def only(self, keep: np.ndarray | slice) -> Phrases:
         return Phrases(self.ahead[keep], self.back[keep], self.size[keep], self.ids[keep])
 
 
 class Index:
-    """A shard's two transforms, ready for steps in both directions."""
-
-    def __init__(self, forward: bytes, backward: bytes, size: int, counts: np.ndarray):
-        self.before, self.after = unpacked(forward, size), unpacked(backward, size)
-        self.counts = counts
-        self.rows = [np.empty(0), np.empty(0)]
-        for k, ids in enumerate((self.before, self.after)):
-            order = np.argsort(ids, kind="stable")
-            self.rows[k] = np.empty(len(ids), dtype=np.int64)
-            self.rows[k][order] = np.arange(len(ids))
-        self.starts = np.concatenate([[0], len(self.before) - np.cumsum(counts[::-1])[::-1]])
+    """A shard's two transforms, ready for steps in both directions; the second one is unpacked when it is needed."""
+
+    def __init__(self, row: dict):
+        self.row, self.counts = row, row["counts"].values.to_numpy().astype(np.int64)
+        self.size = row["size"].as_py()
+        self.starts = np.concatenate([[0], self.size - np.cumsum(self.counts[::-1])[::-1]])
+
+    def _order(self, column: str) -> tuple[np.ndarray, np.ndarray]:
+        ids = unpacked(self.row[column].as_py(), self.size)
+        rows = np.empty(self.size, dtype=np.int32)
+        rows[np.argsort(ids, kind="stable")] = np.arange(self.size, dtype=np.int32)
+        return ids, rows
+
+    @cached_property
+    def forward(self) -> tuple[np.ndarray, np.ndarray]:
+        """The id before each suffix, and the row of the suffix that begins with it."""
+        return self._order("forward")
+
+    @cached_property
+    def backward(self) -> tuple[np.ndarray, np.ndarray]:
+        return self._order("backward")
 
     def words(self, wanted: np.ndarray) -> Phrases:
         """The single words of which ``wanted[id]`` is true."""
@@ -240,54 +329,48 @@ class Index:
         one interval.
         """
         parent, word, ahead, back, size = self._children(
-            self.before, self.rows[0], some.ahead, some.back, some.size, wanted
+            *self.forward, some.ahead, some.back, some.size, wanted
         )
         found = Phrases(ahead, back, size, np.concatenate([word[:, None], some.ids[parent]], axis=1))
         if some.ids.shape[1] == 1:
             return found
-        _, _, _, met, _ = self._children(self.after, self.rows[1], some.back, some.ahead, some.size, wanted)
+        _, _, _, met, _ = self._children(*self.backward, some.back, some.ahead, some.size, wanted)
         return found.only(np.isin(found.ahead, met))
 
 
+def keys_of(names: np.ndarray, bits: int) -> np.ndarray:
+    """A number of so many bits for each row of names; its lower bits are the number of fewer bits."""
+    joined = np.full(len(names), names.shape[1], dtype=np.uint64)
+    for column in names.T:
+        joined = mixed(joined + column.view(np.uint64))
+    return (joined & np.uint64((1 << bits) - 1)).astype(np.int64)
+
+
 class Sieve:
-    """A bitmap of phrases: all that were put in pass, and some others."""
+    """A bitmap of phrases by their keys: all that were put in pass, and some others."""
 
     def __init__(self, bits: int, filled: np.ndarray):
         self.bits, self.filled = bits, filled
 
-    @staticmethod
-    def places(names: np.ndarray, bits: int) -> np.ndarray:
-        joined = np.full(len(names), names.shape[1], dtype=np.uint64)
-        for column in names.T:
-            joined = mixed(joined + column.view(np.uint64))
-        return (joined & np.uint64(bits - 1)).astype(np.int64)
-
     def passes(self, names: np.ndarray) -> np.ndarray:
-        place = self.places(names, self.bits)
+        place = keys_of(names, self.bits)
         return (self.filled[place >> 6] >> (place & 63).astype(np.uint64)) & np.uint64(1) == 1
 
 
-def sieve(phrases: DataFrame, size: int, bits: int = SIEVE_BITS) -> Sieve:
-    """A sieve of the phrases of ``size`` words in columns ``_1, _2, ...``.
+def sieve(keys: DataFrame, most_bits: int = SIEVE_BITS) -> Sieve:
+    """A sieve of the phrases with these ``key`` values.
 
-    Its bits are 16 per phrase up to ``bits``; then it lets more pass, which the sums across shards take out.
+    It has 16 to 32 places per key up to 2 to the power of ``most_bits``; beyond, more phrases pass that are not
+    frequent, and the sums across shards take them out.
     """
-    bits = min(bits, 1 << max(16, (16 * phrases.count()).bit_length()))
-    columns = [f"_{k + 1}" for k in range(size)]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            names = np.stack([batch[c].to_numpy(zero_copy_only=False) for c in columns], axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(Sieve.places(names, bits))], ["place"])
-
+    bits = min(most_bits, max(16, (16 * keys.count()).bit_length()))
+    place = F.col("key").bitwiseAND((1 << bits) - 1)
     words = (
-        phrases.select(*columns)
-        .mapInArrow(run, "place bigint")
-        .groupBy(F.shiftright("place", 6).alias("at"))
-        .agg(F.expr("bit_or(shiftleft(1L, cast(place & 63 as int)))").alias("set"))
+        keys.groupBy(F.shiftright(place, 6).alias("at"))
+        .agg(F.bit_or(F.expr("shiftleft(1L, cast(key & 63 as int))")).alias("set"))
         .toPandas()
     )
-    filled = np.zeros(bits >> 6, dtype=np.int64)
+    filled = np.zeros(1 << (bits - 6), dtype=np.int64)
     filled[words["at"].to_numpy(dtype=np.int64)] = words["set"].to_numpy(dtype=np.int64)
     return Sieve(bits, filled.view(np.uint64))
 
@@ -305,64 +388,99 @@ def _shard_names(row: dict) -> list[np.ndarray]:
 def _own_names(row: dict, clashing: np.ndarray) -> np.ndarray:
     """The name of each word: its first, or its second where different words share the first."""
     names, second = _shard_names(row)
-    return np.where(np.isin(names, clashing), second, names)
+    return np.where(np.isin(names, clashing), second, names)  # both have NAME_BITS bits
 
 
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    """The shards that have words."""
     for batch in batches:
         for k in range(batch.num_rows):
-            yield {name: batch[name][k] for name in batch.schema.names}
+            if len(batch["words"][k].values):
+                yield {name: batch[name][k] for name in batch.schema.names}
+
+
+def _phrases(row: dict, sieves: list, clashing: np.ndarray, longest: int) -> Iterator[tuple[np.ndarray, Phrases]]:
+    """The phrases of one shard, length after length from two words on, and the names of its words by id.
+
+    ``sieves`` are broadcast sieves of the words, the pairs, ...; a phrase must pass that of its length.
+    """
+    names = np.concatenate([[0], _own_names(row, clashing)])
+    wanted = sieves[0].value.passes(names[:, None])
+    wanted[0] = False
+    shard = Index(row)
+    some = shard.words(wanted)
+    for width in range(2, longest + 1):
+        some = shard.longer(some, wanted)
+        if width - 1 < len(sieves):
+            some = some.only(sieves[width - 1].value.passes(names[some.ids]))
+        yield names, some
+
+
+def _in_batches(whole: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    return (whole.slice(at, BATCH_ROWS) for at in range(0, whole.num_rows, BATCH_ROWS))
+
 
+def _likely_pairs(index: DataFrame, sieves: list, clashing: np.ndarray, bits: int, min_count: int) -> DataFrame:
+    """Keys of ``bits`` bits under which pairs of words stand ``min_count`` times or more together.
+
+    All frequent pairs are under these; a narrow key is all that is summed here, and exact counts follow.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shards = (_phrases(row, sieves, clashing, 2) for row in _rows(batches))
+        return _counts_by_key((keys_of(names[some.ids], bits), some.size) for found in shards for names, some in found)
+
+    return _frequent_keys(index.drop("lang_words", "backward").mapInArrow(run, "key bigint, n int"), min_count)
 
-def _summed(index: DataFrame, sieves: list, clashing: np.ndarray, widths: range, min_count: int) -> DataFrame:
-    """Counts of at least ``min_count`` of all phrases of ``widths`` words, as columns ``_1, _2, ..., f``.
 
-    ``sieves`` are broadcast sieves of the words, the pairs, ...; phrases beyond these lengths are grown
-    from what the shard has.
+def _summed(index: DataFrame, sieves: list, clashing: np.ndarray, longest: int, bits: int, min_count: int) -> DataFrame:
+    """Exact counts of at least ``min_count`` of all phrases of two words or more, as columns ``_1, _2, ..., f``.
+
+    Those longer than the sieves reach are grown from what the shard has. Words go by so many ``bits`` of their names.
     """
-    columns = [f"_{k + 1}" for k in range(widths[-1])]
+    columns = [f"_{k + 1}" for k in range(longest)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _rows(batches):
-            names = np.concatenate([[0], _own_names(row, clashing)])
-            wanted = sieves[0].value.passes(names[:, None])
-            wanted[0] = False
-            counts = row["counts"].values.to_numpy().astype(np.int64)
-            shard = Index(row["forward"].as_py(), row["backward"].as_py(), row["size"].as_py(), counts)
-            some = shard.words(wanted)
-            for width in range(2, widths[-1] + 1):
-                some = shard.longer(some, wanted)
-                if width - 1 < len(sieves):
-                    some = some.only(sieves[width - 1].value.passes(names[some.ids]))
-                if width in widths and len(some.size):
-                    spelled = [pa.array(c) for c in names[some.ids].T]
-                    spelled += [pa.nulls(len(some.size), pa.int64())] * (len(columns) - width)
-                    yield pa.RecordBatch.from_arrays([*spelled, pa.array(some.size.astype(np.int64))], [*columns, "n"])
-
-    found = index.drop("lang_words").mapInArrow(run, ", ".join(f"{c} bigint" for c in [*columns, "n"]))
+            for names, some in _phrases(row, sieves, clashing, longest):
+                words = (names & ((1 << bits) - 1))[some.ids]
+                order = np.lexsort((words[:, 1], words[:, 0]))  # alike neighbours pack well
+                spelled = [pa.array(c) for c in words[order].T]
+                spelled += [pa.nulls(len(order), pa.int64())] * (longest - len(spelled))
+                yield from _in_batches(pa.RecordBatch.from_arrays([*spelled, pa.array(some.size[order].astype(np.int64))], [*columns, "n"]))
+
+    unread = ["lang_words"] if longest > 2 else ["lang_words", "backward"]
+    found = index.drop(*unread).mapInArrow(run, ", ".join(f"{c} bigint" for c in [*columns, "n"]))
     return found.groupBy(*columns).agg(F.sum("n").alias("f")).where(F.col("f") >= min_count)
 
 
 def _words(index: DataFrame, min_count: int) -> tuple[DataFrame, np.ndarray]:
     """Frequent words as ``_1, f``, and the hashes that different words share.
 
-    Of w distinct words w * w / 2**65 pairs share a hash: none below billions. Words of such hashes go by their
-    second hash everywhere.
+    Of w distinct words w * w / 2**64 pairs share a name: none below billions. Words of such names go by their
+    second name everywhere.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _rows(batches):
-            names = [pa.array(n) for n in _shard_names(row)]
-            yield pa.RecordBatch.from_arrays([*names, row["counts"].values], ["_1", "second", "n"])
+            names, second = _shard_names(row)
+            apart = (second >> 31).astype(np.int32)  # enough to tell words of one name apart
+            yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(apart), row["counts"].values], ["_1", "second", "n"])
+
+    def run_second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in _rows(batches):
+            names, second = _shard_names(row)
+            at = pa.array(np.flatnonzero(np.isin(names, clashing)))
+            yield pa.RecordBatch.from_arrays([pa.array(second).take(at), row["counts"].values.take(at)], ["_1", "n"])
 
-    each = index.select("langs", "word_langs", "words", "counts").mapInArrow(run, "_1 bigint, second bigint, n int")
+    each = index.select("langs", "word_langs", "words", "counts").mapInArrow(run, "_1 bigint, second int, n int")
     summed = each.groupBy("_1").agg(F.sum("n").alias("f"), F.min("second").alias("low"), F.max("second").alias("high"))
     frequent = settle(summed.where((F.col("f") >= min_count) | (F.col("low") != F.col("high"))), "words")
     clashing = [r[0] for r in frequent.where("low != high").select("_1").collect()]
     words = frequent.where("low = high").select("_1", "f")
     if clashing:
-        apart = each.where(F.col("_1").isin(clashing)).groupBy(F.col("second").alias("_1"))
-        words = words.unionByName(apart.agg(F.sum("n").alias("f")).where(F.col("f") >= min_count))
+        again = index.select("langs", "word_langs", "words", "counts").mapInArrow(run_second, "_1 bigint, n int")
+        words = words.unionByName(again.groupBy("_1").agg(F.sum("n").alias("f")).where(F.col("f") >= min_count))
     return words, np.array(clashing, dtype=np.int64)
 
 
@@ -389,27 +507,47 @@ def phrase_counts(docs: DataFrame, min_count: int = MIN_COUNT, max_words: int =
     null language is ``und``, a null text has no words. Repeated rows count as often as they stand.
     """
     spark = docs.sparkSession
-    index = settle(build_index(docs, max(2, max_words)), "phrase-index")
+    likely = spark.sparkContext.broadcast(sieve(settle(likely_words(docs, min_count), "likely")))
+    index = settle(build_index(docs, max(2, max_words), likely), "phrase-index")
+    spoken = index.select(F.explode(F.arrays_zip("langs", "lang_words")).alias("s"))
+    totals = settle(spoken.groupBy(F.col("s.langs").alias("lang")).agg(F.sum("s.lang_words").alias("n")), "totals")
     words, clashing = _words(index, min_count)
-    sieves = [spark.sparkContext.broadcast(sieve(words, 1))]
+    sieves = [spark.sparkContext.broadcast(sieve(_keys(words)))]
     spelled = settle(_spelled(index, sieves[0], clashing), "spelled")
-    levels = [(words, 1)]
+    short = _bits_of_names(spelled)
+    cut = (1 << short) - 1
+    spelled = spelled.withColumn("name", F.col("name").bitwiseAND(cut))
+    counts = words.select(F.array(F.col("_1").bitwiseAND(cut)).alias("names"), "f")
     if max_words >= 2:
-        pairs = settle(_summed(index, sieves, clashing, range(2, 3), min_count), "pairs")
-        levels.append((pairs, 2))
-    if max_words >= 3:
-        sieves.append(spark.sparkContext.broadcast(sieve(pairs, 2)))
-        levels.append((_summed(index, sieves, clashing, range(3, max_words + 1), min_count), max_words))
-    counts = None
-    for table, width in levels:
-        names = F.array_compact(F.array(*[f"_{k + 1}" for k in range(width)])).alias("names")
-        level = table.select(names, "f")
-        counts = level if counts is None else counts.unionByName(level)
-    spoken = index.select(F.explode(F.arrays_zip("langs", "lang_words")).alias("s"))
-    totals = spoken.groupBy(F.col("s.langs").alias("lang")).agg(F.sum("s.lang_words").alias("n"))
+        # Some 32 times as many keys as there are words in all, so few pairs share one.
+        n = totals.agg(F.sum("n")).first()[0] or 0
+        bits = min(KEY_BITS, max(32, n.bit_length() + 5))
+        pairs = settle(_likely_pairs(index, sieves, clashing, bits, min_count), "pairs")
+        sieves.append(spark.sparkContext.broadcast(sieve(pairs)))
+        longer = _summed(index, sieves, clashing, max_words, short, min_count)
+        names = F.array_compact(F.array(*[f"_{k + 1}" for k in range(max_words)])).alias("names")
+        counts = counts.unionByName(longer.select(names, "f"))
     return settle(counts, "phrases"), spelled, totals
 
 
+def _bits_of_names(spelled: DataFrame) -> int:
+    """How many bits tell all these names apart."""
+    n = spelled.count()
+    bits = min(NAME_BITS, 2 * n.bit_length() + 4)
+    while bits < NAME_BITS and spelled.select(F.col("name").bitwiseAND((1 << bits) - 1)).distinct().count() < n:
+        bits = min(NAME_BITS, bits + 8)
+    return bits
+
+
+def _keys(words: DataFrame) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names = batch["_1"].to_numpy(zero_copy_only=False)[:, None]
+            yield pa.RecordBatch.from_arrays([pa.array(keys_of(names, KEY_BITS))], ["key"])
+
+    return words.select("_1").mapInArrow(run, "key bigint")
+
+
 def collocations(docs: DataFrame, min_count: int = MIN_COUNT, max_words: int = MAX_WORDS, top: int = TOP) -> DataFrame:
     """The phrases of each language whose words stand together most beyond chance: ``lang, rank, phrase, a, l, r, n, score``.
 

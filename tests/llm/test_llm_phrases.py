@@ -4,6 +4,7 @@ import collections
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -79,7 +80,7 @@ def test_intervals_hold_all_occurrences(pieces, depth):
     if not words:
         assert row is None
         return
-    index = phrases.Index(row["forward"], row["backward"], row["size"], row["counts"].astype(np.int64))
+    index = phrases.Index({k: pa.array([v])[0] for k, v in row.items()})
     wanted = np.array([False] + [True] * len(row["words"]))
     some = index.words(wanted)
     for size in range(2, depth + 1):
