@@ -116,20 +116,19 @@ def scan_parquet(spark, folder):
     "scan_common_columns",
     with_views(
         "t1",
-        "select transaction_id, user_id, round(amount, 4) as amount, timestamp from t1",
+        """select transaction_id, user_id, round(amount, 4) as amount, timestamp, cast(hour(timestamp) as bigint) as hour,
+                  cast(cast(timestamp as date) as varchar) as date from t1""",
     ),
 )
 def scan_common_columns(spark, folder):
-    """Two deliveries with different columns in one folder, read with those they share."""
+    """Two deliveries of a table by day, with different columns and widths of numbers, read with what they share."""
     out = fresh_path(spark, "drift")
-    rows = card_month(spark, folder)
+    rows = card_month(spark, folder).withColumn("date", F.to_date("timestamp"))
     number = F.col("transaction_id").cast("bigint")
-    rows.where(number % 2 == 0).select("transaction_id", "user_id", "amount", "timestamp", "currency").write.parquet(
-        out
-    )
-    rows.where(number % 2 == 1).select("transaction_id", "user_id", "amount", "timestamp", "status").write.mode("append").parquet(
-        out
-    )
+    shared = ["transaction_id", "user_id", "amount", "timestamp", "date"]
+    for part, other, kind in ((number % 2 == 0, "currency", "int"), (number % 2 == 1, "status", "bigint")):
+        delivered = rows.where(part).select(*shared, other, F.hour("timestamp").cast(kind).alias("hour"))
+        sinks.write_processed(delivered, out, mode="append")
     return shaped(files.read_common_columns(spark, out), amount=4)
 
 
@@ -156,11 +155,12 @@ def sink_parquet_roundtrip(spark, folder):
     ),
 )
 def sink_append(spark, folder):
+    """Two appends, the second one tried again as after a failure."""
     out = fresh_path(spark, "appended")
     rows = parsed(dirty_month(spark, folder)).withColumn("date", F.to_date("timestamp"))
-    sinks.write_processed(rows.where("file_seq = 1"), out)
-    sinks.write_processed(rows.where("file_seq = 2"), out, mode="append")
-    return files.read_processed(spark, out).agg(
+    for name, part in (("1", "file_seq = 1"), ("2", "file_seq = 2"), ("2", "file_seq = 2")):
+        sinks.append_processed(rows.where(part), out, name)
+    return sinks.read_appended(spark, out).agg(
         F.count(F.lit(1)).alias("row_count"), F.count_distinct("transaction_id").alias("ids")
     )
 

@@ -38,8 +38,10 @@ _ONCE_SQL = with_views(
 
 
 def _deliver(spark, folder, root, delivery):
-    """Add one delivery of the dirty month to the incoming folder."""
-    rows = dirty_month(spark, folder).where(F.col("file_seq") == delivery)
+    """Add one delivery of the dirty month to the incoming folder; the third one repeats some rows of the first."""
+    rows = dirty_month(spark, folder)
+    again = (F.col("file_seq") == 1) & (F.col("transaction_id").cast("bigint") % 30 == 7)
+    rows = rows.where(again if delivery == 3 else F.col("file_seq") == delivery)
     sinks.write_daily_files(
         rows.select(*TRANSACTION_COLUMNS, F.lit(delivery).alias("delivery")), f"{root}/{delivery}", "delivery"
     )
@@ -47,13 +49,13 @@ def _deliver(spark, folder, root, delivery):
 
 @named("stream_dedup", _ONCE_SQL)
 def stream_dedup(spark, folder):
-    """Two deliveries, the second one repeating ids of the first; one run after each."""
+    """Three deliveries, the later ones repeating ids of the first; one run after each."""
     root, out = fresh_path(spark, "incoming"), fresh_path(spark, "once")
     checkpoint = fresh_path(spark, "progress")
-    for delivery in (1, 2):
+    for delivery in (1, 2, 3):
         _deliver(spark, folder, root, delivery)
         increments.ingest_once_per_id(increments.incoming(spark, root), out, checkpoint)
-    return shaped(spark.read.parquet(out).select("transaction_id", "amount", "timestamp"), amount=2)
+    return shaped(increments.written(spark, out).select("transaction_id", "amount", "timestamp"), amount=2)
 
 
 @named("stream_dedup_watermark", _ONCE_SQL)
@@ -64,8 +66,56 @@ def stream_dedup_watermark(spark, folder):
     lost = increments.ingest_once_within(rows, out, checkpoint, "60 days")
     if lost:
         raise RuntimeError(f"{lost} rows came later than the allowed lateness")
-    kept = [spark.read.parquet(p).select("transaction_id", "amount", "timestamp") for p in (out, increments.undated_part(out))]
-    return shaped(kept[0].unionByName(kept[1]), amount=2)
+    kept = [increments.once_within(spark, out), increments.written(spark, increments.undated_part(out))]
+    return shaped(kept[0].unionByName(kept[1]).select("transaction_id", "amount", "timestamp"), amount=2)
+
+
+# Deliveries of seven hours each; every tenth row comes 20 deliveries after its own.
+_SLICES, _HOURS, _DELAY = 103, 7, 20
+
+
+@named(
+    "stream_late_rows",
+    with_views(
+        "t1",
+        f"""with sliced as (
+              select transaction_id, amount, timestamp,
+                     cast(floor(epoch(timestamp - timestamp '2024-01-01') / 3600 / {_HOURS}) as int) as slice from t1),
+            placed as (
+              select *, case when cast(transaction_id as bigint) % 10 = 0 and slice + {_DELAY} < {_SLICES}
+                             then slice + {_DELAY} else slice end as delivery from sliced),
+            newest as (select delivery, max(max(timestamp)) over (order by delivery rows between unbounded preceding
+                              and 1 preceding) - interval 2 days as mark from placed group by delivery)
+            select transaction_id, round(amount, 4) as amount, timestamp
+            from placed join newest using (delivery) where timestamp <= mark""",
+    ),
+)
+def stream_late_rows(spark, folder):
+    """What comes more than two days after newer rows, over more than a hundred batches of one file each."""
+    root, out, checkpoint = fresh_path(spark, "incoming"), fresh_path(spark, "once"), fresh_path(spark, "progress")
+    hours = F.timestamp_diff("hour", F.lit("2024-01-01").cast("timestamp_ntz"), F.col("timestamp"))
+    delayed = (F.col("transaction_id").cast("bigint") % 10 == 0) & (F.col("slice") + _DELAY < _SLICES)
+    rows = card_month(spark, folder).withColumn("slice", F.floor(hours / _HOURS).cast("int"))
+    rows = rows.withColumn("delivery", F.when(delayed, F.col("slice") + _DELAY).otherwise(F.col("slice")))
+    rows = rows.withColumn("timestamp", F.col("timestamp").cast("string"))
+    whole = rows.select(*TRANSACTION_COLUMNS, "delivery").repartition("delivery")
+    whole.write.partitionBy("delivery").option("header", True).csv(root)
+    _in_order(spark, root)
+    lost = increments.ingest_once_within(increments.incoming(spark, root, files_per_batch=1), out, checkpoint, "2 days")
+    late = increments.late_rows(spark, out)
+    if lost != late.count():
+        raise RuntimeError(f"{lost} late rows were counted, {late.count()} written")
+    return shaped(late.select("transaction_id", "amount", "timestamp"), amount=4)
+
+
+def _in_order(spark, root):
+    """Deliveries come in the order of their numbers: streams take files by the time of their last change."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    top = hadoop.Path(root)
+    store = top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for status in store.globStatus(hadoop.Path(f"{root}/delivery=*/*.csv")):
+        number = int(status.getPath().getParent().getName().split("=")[1])
+        store.setTimes(status.getPath(), 1_700_000_000_000 + 60_000 * number, -1)
 
 
 @named("stream_daily_metrics", DAILY_SQL)

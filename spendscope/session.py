@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -17,6 +20,7 @@ SETTINGS = {
 }
 
 _fallback: dict[str, str] = {}
+_scratch: ContextVar[list[str] | None] = ContextVar("scratch", default=None)
 
 
 def build_session(app: str = "spendscope", master: str | None = None, **extra: str) -> SparkSession:
@@ -50,14 +54,33 @@ def shared_folder(spark: SparkSession) -> str:
 
 def fresh_path(spark: SparkSession, label: str) -> str:
     """A path under the shared folder that nothing has used before."""
-    return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    held = _scratch.get()
+    if held is not None:
+        held.append(path)
+    return path
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """What is settled within the block is deleted when it ends: for jobs that have written their result by then."""
+    token = _scratch.set([])
+    try:
+        yield
+    finally:
+        held = _scratch.get()
+        _scratch.reset(token)
+        for path in held or []:
+            place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def settle(df: DataFrame, label: str = "settled") -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     Cuts the lineage with files that outlive any executor, so iterative jobs
-    and several passes over one expensive result do not recompute it.
+    and several passes over one expensive result do not recompute it. It stays for as long as the result may be
+    read; a job that ends with a write can run within :func:`scratch`, which deletes it.
     """
     spark = df.sparkSession
     path = fresh_path(spark, label)

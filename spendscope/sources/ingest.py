@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spendscope.operators.cleaning import fill_gaps, read_timestamps, tidy_text
 from spendscope.operators.dedup import keep_first
 from spendscope.operators.features import ingest_features
 from spendscope.operators.quantiles import iqr_fences, one_row
+from spendscope.session import scratch, settle
 from spendscope.sources.files import FILE_NAME, FILE_ORDER, read_raw
 from spendscope.sources.sinks import write_processed
 
@@ -29,41 +30,28 @@ def ingest_files(
 ) -> DataFrame:
     """Read, clean, deduplicate and enrich all files below ``root`` into Parquet at ``out``.
 
-    Returns one row of run statistics, observed while the table is written: no
-    second pass over the data.
+    Returns one row of run statistics. They are counted from what was written, so tasks that ran twice
+    count once: rows read and missing amounts from the amounts, which are set aside by themselves as the
+    outlier bound needs them several times; the others from one column of the table.
     """
     raw = read_raw(spark, root, pattern)
-    read, written = Observation("rows read"), Observation("rows written")
-    watched = raw.observe(
-        read, F.count(F.lit(1)).alias("rows_read"), F.count_if(F.col("amount").isNull()).alias("missing_amounts")
-    )
-    # The bound of the outlier flag comes from the unwatched rows, so that each row is counted once.
-    cleaned = keep_first(
-        _flagged(watched, raw), "transaction_id", [F.col(c) for c in FILE_ORDER]
-    )
-    processed = (
-        ingest_features(cleaned, as_of)
-        .withColumn("date", F.to_date("timestamp"))
-        .observe(
-            written,
-            F.count(F.lit(1)).alias("rows_written"),
-            F.count_if(F.col("timestamp").isNull()).alias("bad_timestamps"),
-        )
-    )
-    write_processed(processed.drop(*FILE_ORDER), out)
-    counts = {**read.get, **written.get}
-    figures = [
-        (counts["rows_read"], counts["rows_written"], counts["rows_read"] - counts["rows_written"],
-         counts["missing_amounts"], counts["bad_timestamps"])
-    ]
+    with scratch(spark):
+        amounts = settle(raw.select("amount"), "amounts")
+        cleaned = keep_first(_flagged(raw, amounts), "transaction_id", [F.col(c) for c in FILE_ORDER])
+        processed = ingest_features(cleaned, as_of).withColumn("date", F.to_date("timestamp"))
+        write_processed(processed.drop(*FILE_ORDER), out)
+        n_read, missing = amounts.agg(F.count(F.lit(1)), F.count_if(F.col("amount").isNull())).first()
+    table = spark.read.schema("timestamp timestamp_ntz").parquet(out)
+    n_written, bad = table.agg(F.count(F.lit(1)), F.count_if(F.col("timestamp").isNull())).first()
     return spark.createDataFrame(
-        figures,
+        [(n_read, n_written, n_read - n_written, missing, bad)],
         "rows_read bigint, rows_written bigint, duplicates_removed bigint, missing_amounts bigint,"
         " bad_timestamps bigint",
     )
 
 
 def _flagged(rows: DataFrame, for_bounds: DataFrame) -> DataFrame:
-    bound = one_row(iqr_fences(fill_gaps(for_bounds.select("amount")), "amount"))["high"]
+    """Tidied rows with the outlier flag; ``for_bounds`` has all amounts."""
+    bound = one_row(iqr_fences(fill_gaps(for_bounds), "amount"))["high"]
     filled = fill_gaps(tidy_text(read_timestamps(rows)))
     return filled.withColumn("is_amount_outlier", F.col("amount") > bound)

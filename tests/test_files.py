@@ -94,6 +94,47 @@ def test_common_columns_of_files_in_one_folder(spark, tmp_path):
     assert found.columns == ["id"] and found.count() == 7
 
 
+def test_common_columns_of_partitioned_tables(spark, tmp_path):
+    """Partition columns stay where all files have them; numbers get the widest type."""
+    out = str(tmp_path / "a=b" / "parts")
+    day = "date'2024-01-01' + cast(id as int) as day"
+    spark.range(3).selectExpr("cast(id as int) as n", "1 as x", day).write.partitionBy("day").parquet(out)
+    spark.range(3, 5).selectExpr("id + 5000000000 as n", "2 as y", day).write.mode("append").partitionBy("day").parquet(out)
+    found = files.read_common_columns(spark, out)
+    assert dict(found.dtypes) == {"n": "bigint", "day": "date"}
+    assert sorted((r["n"], r["day"].day) for r in found.collect()) == [(0, 1), (1, 2), (2, 3), (5000000003, 4), (5000000004, 5)]
+    mixed = str(tmp_path / "mixed")
+    spark.range(3).selectExpr("id", "id as k").write.partitionBy("k").parquet(f"{mixed}/x")
+    spark.range(2).write.parquet(f"{mixed}/y")
+    assert files.read_common_columns(spark, mixed).columns == ["id"] and files.read_common_columns(spark, mixed).count() == 5
+    clash = str(tmp_path / "clash")
+    spark.range(1).selectExpr("id as v").write.parquet(clash)
+    spark.range(1).selectExpr("cast(id as string) as v").write.mode("append").parquet(clash)
+    with pytest.raises(ValueError, match="column v has types"):
+        files.read_common_columns(spark, clash)
+
+
+def test_hashes_are_those_of_the_bytes_whatever_the_size(spark, tmp_path, tree):
+    import pathlib
+
+    (tmp_path / "with space" / "2024-02-01").mkdir(parents=True)
+    large = tmp_path / "with space" / "2024-02-01" / "transactions.csv"
+    large.write_text(HEADER + "\n" + "\n".join(line(k) for k in range(200_000)) + "\n")
+    assert large.stat().st_size > files.PIECE_BYTES
+    for root in (tree, str(tmp_path / "with space")):
+        found = files.manifest(spark, root, most_whole=10).collect()
+        wanted = {hashlib.sha256(p.read_bytes()).hexdigest() for p in pathlib.Path(root).rglob("transactions.csv")}
+        assert {r["sha256"] for r in found} == wanted
+
+
+def test_an_append_that_is_repeated_counts_once(spark, tmp_path):
+    out = str(tmp_path / "t")
+    rows = spark.range(10).selectExpr("id", "date'2024-01-01' + cast(id % 3 as int) as date")
+    assert [sinks.append_processed(rows, out, n) for n in ("1", "2", "2")] == [10, 10, None]
+    found = sinks.read_appended(spark, out)
+    assert found.count() == 20 and found.where("date = date'2024-01-01'").count() == 8
+
+
 def test_merchant_reference_is_optional(spark, tmp_path):
     assert files.read_merchant_reference(spark, str(tmp_path / "absent.csv")) is None
     path = tmp_path / "ref.csv"
@@ -127,7 +168,7 @@ def test_stream_takes_each_file_once(spark, folder):
 def test_small_batches_give_the_batch_result(spark, tree):
     out, progress = fresh_path(spark, "t"), fresh_path(spark, "p")
     increments.ingest_once_per_id(increments.incoming(spark, tree, files_per_batch=1), out, progress)
-    rows = spark.read.parquet(out)
+    rows = increments.written(spark, out)
     assert sorted(r["transaction_id"] for r in rows.collect()) == ["1", "2", "3"]
 
 
@@ -138,12 +179,12 @@ def test_repeating_a_batch_changes_nothing(spark, tree):
     out, progress = fresh_path(spark, "t"), fresh_path(spark, "p")
     stream = increments.incoming(spark, tree, files_per_batch=1)
     increments.ingest_once_per_id(stream, out, progress)
-    before = sorted(map(tuple, spark.read.parquet(out).select("transaction_id", "amount").collect()), key=str)
+    before = sorted(map(tuple, increments.written(spark, out).select("transaction_id", "amount").collect()), key=str)
     last = max(int(n) for n in os.listdir(f"{progress}/commits") if n.isdigit())
     os.remove(f"{progress}/commits/{last}")
     os.remove(f"{progress}/commits/.{last}.crc")
     increments.ingest_once_per_id(stream, out, progress)
-    after = sorted(map(tuple, spark.read.parquet(out).select("transaction_id", "amount").collect()), key=str)
+    after = sorted(map(tuple, increments.written(spark, out).select("transaction_id", "amount").collect()), key=str)
     assert after == before
 
 
@@ -171,7 +212,7 @@ def test_stream_and_batch_keep_the_same_one_of_differing_repeats(spark, tmp_path
     deliver(root, 0, [line(1, "10.00", "2024-01-05 00:00:00"), line(2, "3.00"), line(2, "4.00", "2023-01-01 00:00:00")])
     deliver(root, 1, [line(1, "99.00", "2024-01-01 00:00:00")])
     increments.ingest_once_per_id(increments.incoming(spark, str(root)), out, progress)
-    kept = {(r["transaction_id"], r["amount"]) for r in spark.read.parquet(out).collect()}
+    kept = {(r["transaction_id"], r["amount"]) for r in increments.written(spark, out).collect()}
     assert kept == {("1", 10.0), ("2", 3.0)}
     ingested = fresh_path(spark, "b")
     ingest.ingest_files(spark, str(root), ingested)
@@ -182,8 +223,8 @@ def test_watermark_drops_repeats_and_keeps_undated_rows(spark, tmp_path):
     root, out, progress = tmp_path / "in", fresh_path(spark, "t"), fresh_path(spark, "p")
     deliver(root, 0, [line(1), line(1), line(2), line(3, "1.00", "no date"), line(3, "1.00", "no date")])
     assert increments.ingest_once_within(increments.incoming(spark, str(root)), out, progress) == 0
-    assert sorted(r["transaction_id"] for r in spark.read.parquet(out).collect()) == ["1", "2"]
-    undated = spark.read.parquet(increments.undated_part(out))
+    assert sorted(r["transaction_id"] for r in increments.once_within(spark, out).collect()) == ["1", "2"]
+    undated = increments.written(spark, increments.undated_part(out))
     assert [r["transaction_id"] for r in undated.collect()] == ["3"]
 
 
