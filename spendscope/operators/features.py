@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from spendscope.functions import calendar as cal
 from spendscope.functions.money import amount_class
-from spendscope.operators.hotkeys import attach_by_key
+from spendscope.operators.hotkeys import ROWS, attach_by_key
 from spendscope.operators.quantiles import one_row, quantiles
 
 HIGH_VALUE = 1000.0
@@ -90,16 +90,49 @@ def home_countries(rows: DataFrame) -> DataFrame:
     return most_frequent(rows, "user_id", "location_country", "home_country")
 
 
+def user_cells(rows: DataFrame) -> DataFrame:
+    """Per user and country, nulls included: rows and ids, and count, sum, mean and squared deviations of the amounts.
+
+    All of it adds up, so one pass gives what is asked about users, countries and the whole.
+    """
+    a = F.col("amount")
+    return rows.groupBy("user_id", "location_country").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.count("transaction_id").alias("ids"),
+        F.count(a).alias("amounts"),
+        F.sum(a).alias("amount"),
+        F.avg(a).alias("mean"),
+        (F.var_pop(a) * F.count(a)).alias("m2"),
+    )
+
+
+def user_homes(cells: DataFrame) -> DataFrame:
+    """Per user: most frequent country, the alphabetically first among equals, number of rows, ids and total."""
+    most = "min_by(location_country, struct(-n, location_country)) filter (where location_country is not null)"
+    return cells.where(F.col("user_id").isNotNull()).groupBy("user_id").agg(
+        F.sum("n").alias(ROWS),
+        F.expr(most).alias("home_country"),
+        F.sum("ids").alias("transaction_count"),
+        F.coalesce(F.sum("amount"), F.lit(0.0)).alias("total_amount"),
+    )
+
+
+def _counted_homes(rows: DataFrame) -> DataFrame:
+    cells = rows.groupBy("user_id", "location_country").agg(F.count(F.lit(1)).alias("n"))
+    empty = {"ids": F.lit(0), "amount": F.lit(None).cast("double")}
+    return user_homes(cells.withColumns(empty)).select("user_id", ROWS, "home_country")
+
+
 def add_unusual_location(rows: DataFrame) -> DataFrame:
     """Country differs from the user's most frequent one (``unknown`` without a user)."""
-    usual = attach_by_key(rows, home_countries(rows), "user_id")
+    usual = attach_by_key(rows, _counted_homes(rows), "user_id")
     same = F.col("location_country").eqNullSafe(F.coalesce("home_country", F.lit("unknown")))
     return usual.withColumn("unusual_location", ~same).drop("home_country")
 
 
 def add_cross_border(rows: DataFrame) -> DataFrame:
     """Home country of the user and whether the transaction is outside it."""
-    usual = attach_by_key(rows, home_countries(rows), "user_id")
+    usual = attach_by_key(rows, _counted_homes(rows), "user_id")
     same = F.col("location_country").eqNullSafe(F.col("home_country"))
     return usual.withColumn("is_cross_border", ~same)
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spendscope.operators import geography, risk, timeseries
+from spendscope.session import settle
 
 
 def _ranked(groups: DataFrame, label: str, measure: Column, order: list, k: int, kind: str) -> DataFrame:
@@ -60,7 +61,7 @@ def peaks(rows: DataFrame, k: int = 2) -> DataFrame:
 
 def risk_summary(rows: DataFrame, k: int = 3, use_cross_border: bool = True) -> DataFrame:
     """High-risk percentage, suspicious rows and the riskiest categories."""
-    cells = risk.risk_cells(rows, use_cross_border)
+    cells = settle(risk.risk_cells(rows, use_cross_border), "risk-cells")
     share = risk.high_risk_share(cells)
 
     def single(name: str, kind: str) -> DataFrame:

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spendscope.operators.features import home_countries
-from spendscope.operators.hotkeys import attach_by_key
+from spendscope.operators.features import user_cells, user_homes
+from spendscope.operators.hotkeys import ROWS, attach_by_key
 from spendscope.operators.quantiles import iqr_fences, one_row
 from spendscope.operators.users import behaviour
 from spendscope.session import settle
@@ -22,19 +22,35 @@ REPORT_COLUMNS = (
 )
 
 
-def add_zscore(rows: DataFrame) -> DataFrame:
-    """Absolute distance from the mean in sample deviations, and whether it exceeds 3."""
+def add_zscore(rows: DataFrame, moments: DataFrame | None = None) -> DataFrame:
+    """Absolute distance from the mean in sample deviations, and whether it exceeds 3.
+
+    ``moments`` is one row ``mean, std`` where these are known already.
+    """
     a = F.col("amount")
-    moments = one_row(rows.agg(F.avg(a).alias("mean"), F.stddev_samp(a).alias("std")))
+    if moments is None:
+        moments = rows.agg(F.avg(a).alias("mean"), F.stddev_samp(a).alias("std"))
     z = F.abs(F.try_divide(a - F.col("_moments.mean"), F.col("_moments.std")))
     return (
-        rows.withColumn("_moments", moments)
+        rows.withColumn("_moments", one_row(moments))
         .withColumn("amount_zscore", z)
         .withColumn("is_z_outlier", F.col("amount_zscore") > 3)
         .drop("_moments")
     )
 
 
+def moments_of(cells: DataFrame) -> DataFrame:
+    """Mean and sample deviation of all amounts from the moments of disjoint cells."""
+    whole = cells.agg((F.sum("amount") / F.sum("amounts")).alias("mean")).select("mean").scalar()
+    off = F.col("mean") - whole
+    return cells.agg(
+        (F.sum("amount") / F.sum("amounts")).alias("mean"),
+        F.when(
+            F.sum("amounts") > 1, F.sqrt(F.sum(F.col("m2") + F.col("amounts") * off * off) / (F.sum("amounts") - 1))
+        ).alias("std"),
+    )
+
+
 def flag_unusual(users: DataFrame) -> DataFrame:
     """Users whose count or total lies above the upper interquartile-range bound of all users."""
     measures = ["transaction_count", "total_amount"]
@@ -58,9 +74,11 @@ def unusual_users(rows: DataFrame) -> DataFrame:
     return flag_unusual(settle(behaviour(rows), "behaviour"))
 
 
-def _user_facts(rows: DataFrame) -> DataFrame:
-    flags = unusual_users(rows).select("user_id", "is_unusual_user")
-    return flags.join(home_countries(rows), "user_id", "left")
+def _facts(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What the score needs besides a row: home and flag of its user, and the moments of all amounts; one pass."""
+    cells = settle(user_cells(rows), "user-cells")
+    users = flag_unusual(settle(user_homes(cells), "users"))
+    return users.select("user_id", ROWS, "home_country", "is_unusual_user"), moments_of(cells)
 
 
 def _point(condition: Column, points: int = 1) -> Column:
@@ -85,15 +103,15 @@ def _user_points(use_cross_border: bool) -> Column:
     return points
 
 
-def _with_own_points(rows: DataFrame) -> DataFrame:
-    scored = add_zscore(rows)
+def _with_own_points(rows: DataFrame, moments: DataFrame) -> DataFrame:
+    scored = add_zscore(rows, moments)
     return scored.withColumn("_points", _own_points(scored))
 
 
 def add_risk_score(rows: DataFrame, use_cross_border: bool = True) -> DataFrame:
     """Risk score 0 to 10 on every row. ``is_ml_anomaly`` counts when the table has it."""
-    own = _with_own_points(rows)
-    scored = attach_by_key(own, _user_facts(rows), "user_id", counted=rows)
+    facts, moments = _facts(rows)
+    scored = attach_by_key(_with_own_points(rows, moments), facts, "user_id")
     score = (F.col("_points") + _user_points(use_cross_border)).cast("int")
     return scored.withColumn("risk_score", score).drop("_points", "is_unusual_user", "home_country")
 
@@ -105,12 +123,13 @@ def risk_cells(rows: DataFrame, use_cross_border: bool = True) -> DataFrame:
     facts are joined: the join meets a few rows per user however many transactions
     the user has, and no transaction is shuffled.
     """
+    facts, moments = _facts(rows)
     cells = (
-        _with_own_points(rows)
+        _with_own_points(rows, moments)
         .groupBy("user_id", "location_country", "merchant_category", "_points")
         .agg(F.count(F.lit(1)).alias("_n"))
     )
-    joined = cells.join(_user_facts(rows), "user_id", "left")
+    joined = cells.join(facts.drop(ROWS), "user_id", "left")
     score = (F.col("_points") + _user_points(use_cross_border)).cast("int")
     return (
         joined.withColumn("risk_score", score)
@@ -160,8 +179,9 @@ def suspicious_report(rows: DataFrame, k: int = 1000, use_cross_border: bool = T
     then are dropped before anything is joined.
     """
     reachable = SUSPICIOUS - (2 if use_cross_border else 1)
-    candidates = _with_own_points(rows).where(F.col("_points") >= reachable)
-    known = attach_by_key(candidates, _user_facts(rows), "user_id", counted=rows)
+    facts, moments = _facts(rows)
+    candidates = _with_own_points(rows, moments).where(F.col("_points") >= reachable)
+    known = attach_by_key(candidates, facts, "user_id")
     scored = known.withColumn(
         "risk_score", (F.col("_points") + _user_points(use_cross_border)).cast("int")
     )

@@ -9,7 +9,7 @@ from spendscope.functions import calendar as cal
 from spendscope.functions.money import total
 from spendscope.operators.aggregates import keyed
 from spendscope.operators.features import most_frequent
-from spendscope.operators.hotkeys import attach_by_key
+from spendscope.operators.hotkeys import ROWS, attach_by_key
 
 # The numeric columns of user_features, in the order models use them.
 FEATURE_COLUMNS = (
@@ -68,39 +68,87 @@ def activity(rows: DataFrame) -> DataFrame:
     )
 
 
+# How a distinct value and a count per user are told apart in the long form below.
+_PARTS = {"merchant_id": "unique_merchants", "merchant_category": "unique_categories", "location_country": "unique_countries"}
+
+
 def user_features(rows: DataFrame, null_std: str = "zero") -> DataFrame:
     """Feature vector per user from :func:`model_rows`.
 
-    All three parts are grouped by user, so the joins reuse that partitioning.
+    One scan: the rows are counted per user and day, with moments that add up, and per user and value of
+    each column whose distinct values, most frequent value or active days are wanted. Both are one
+    aggregate over four narrow lines a row, combined before its shuffle; a second one by user finishes.
     ``null_std='median'`` leaves the deviation of single-transaction users null
     for a later median fill instead of setting it to 0.
     """
-    a = F.col("amount")
-    main = (
-        keyed(rows, "user_id")
-        .groupBy("user_id")
-        .agg(
-            F.count("transaction_id").alias("transaction_count"),
-            F.avg(a).alias("avg_transaction_amount"),
-            F.stddev_samp(a).alias("std_transaction_amount"),
-            F.min(a).alias("min_transaction_amount"),
-            F.max(a).alias("max_transaction_amount"),
-            total(a).alias("total_spend"),
-            F.avg("is_online").alias("online_transaction_ratio"),
-            F.avg("is_weekend").alias("weekend_transaction_ratio"),
-            F.count_distinct("merchant_id").alias("unique_merchants"),
-            F.count_distinct("merchant_category").alias("unique_categories"),
-            F.count_distinct("location_country").alias("unique_countries"),
-            F.avg("hour").alias("avg_transaction_hour"),
-            F.stddev_samp("hour").alias("std_transaction_hour"),
-            F.avg("day_of_week").alias("avg_day_of_week"),
-        )
+    a, hour = F.col("amount").cast("double"), F.col("hour").cast("double")
+    day = F.to_date("timestamp").cast("string")
+    none = F.lit(None)
+
+    def line(kind: str, value, *figures):
+        names = ("id", "amount", "hour", "online", "weekend", "weekday")
+        kinds = ("string", "double", "double", "double", "double", "double")
+        found = [x.cast(k).alias(n) for n, k, x in zip(names, kinds, figures or [none] * len(names))]
+        return F.struct(F.lit(kind).alias("kind"), value.cast("string").alias("value"), *found)
+
+    whole = line("day", day, F.col("transaction_id"), a, hour, F.col("is_online"), F.col("is_weekend"), F.col("day_of_week"))
+    lines = [whole, line("device_type", F.col("device_type")), *[line(c, F.col(c)) for c in _PARTS]]
+    long = keyed(rows, "user_id").select("user_id", F.explode(F.array(*lines)).alias("l")).select("user_id", "l.*")
+
+    def moments(c: str) -> list:
+        return [F.count(c).alias(f"{c}_n"), F.avg(c).alias(f"{c}_mean"), (F.var_pop(c) * F.count(c)).alias(f"{c}_m2")]
+
+    added = [F.count(c).alias(f"{c}_n") for c in ("online", "weekend", "weekday")]
+    added += [F.sum(c).alias(f"{c}_sum") for c in ("online", "weekend", "weekday", "amount")]
+    cells = long.groupBy("user_id", "kind", "value").agg(
+        F.count(F.lit(1)).alias("n"), F.count("id").alias("ids"), F.min("amount").alias("low"), F.max("amount").alias("high"),
+        *moments("amount"), *moments("hour"), *added,
+    )
+
+    def mean_of(c: str):
+        return F.try_divide(F.sum(f"{c}_sum"), F.sum(f"{c}_n"))
+
+    def merged(c: str) -> tuple:
+        """Mean and sample deviation from those of the days: what is within them and what lies between their means."""
+        n, mean, m2 = (lambda d, x=x: F.coalesce(d[f"{c}_{x}"].cast("double"), F.lit(0.0)) for x in ("n", "mean", "m2"))
+
+        def added_up(each):
+            return F.aggregate("days", F.lit(0.0), lambda so_far, d: so_far + each(d))
+
+        count = added_up(n)
+        middle = F.try_divide(added_up(lambda d: n(d) * mean(d)), count)
+        squares = added_up(lambda d: m2(d) + n(d) * (mean(d) - middle) * (mean(d) - middle))
+        return middle, F.when(count > 1, F.sqrt(squares / (count - 1)))
+
+    given = F.col("value").isNotNull()
+    on_day = F.col("kind") == "day"
+    days = on_day & given
+    devices = (F.col("kind") == "device_type") & given
+    main = cells.groupBy("user_id").agg(
+        F.coalesce(F.sum("ids"), F.lit(0)).alias("transaction_count"),
+        F.try_divide(F.sum("amount_sum"), F.sum("amount_n")).alias("avg_transaction_amount"),
+        # As many as the user has active days, and one for rows without a date.
+        F.collect_list(F.when(on_day, F.struct(*[f"{c}_{x}" for c in ("amount", "hour") for x in ("n", "mean", "m2")]))).alias("days"),
+        F.min("low").alias("min_transaction_amount"),
+        F.max("high").alias("max_transaction_amount"),
+        F.coalesce(F.sum("amount_sum"), F.lit(0.0)).alias("total_spend"),
+        mean_of("online").alias("online_transaction_ratio"),
+        mean_of("weekend").alias("weekend_transaction_ratio"),
+        *[F.count_if((F.col("kind") == c) & given).alias(name) for c, name in _PARTS.items()],
+        mean_of("weekday").alias("avg_day_of_week"),
+        F.min(F.when(devices, F.struct((-F.col("n")).alias("n"), "value"))).alias("device"),
+        F.avg(F.when(days, F.col("n"))).alias("avg_daily_transactions"),
+        F.nullif(F.count_if(days), F.lit(0)).alias("active_days"),
     )
-    device = most_frequent(rows, "user_id", "device_type", "preferred_device")
-    joined = main.join(device, "user_id", "left").join(activity(rows), "user_id", "left")
     kept = {"std_transaction_amount"} if null_std == "median" else set()
     filled = [c for c in FEATURE_COLUMNS if c not in kept]
-    return joined.fillna(0, filled).select("user_id", "preferred_device", *FEATURE_COLUMNS)
+    named = main.withColumns({
+        "preferred_device": F.col("device.value"),
+        "std_transaction_amount": merged("amount")[1],
+        "avg_transaction_hour": merged("hour")[0],
+        "std_transaction_hour": merged("hour")[1],
+    })
+    return named.fillna(0, filled).select("user_id", "preferred_device", *FEATURE_COLUMNS)
 
 
 def enrich_with_user_stats(rows: DataFrame, training: DataFrame | None = None) -> DataFrame:
@@ -115,6 +163,7 @@ def enrich_with_user_stats(rows: DataFrame, training: DataFrame | None = None) -
         .agg(
             F.count("transaction_id").alias("user_transaction_count"),
             F.avg("amount").alias("user_avg_amount"),
+            *([F.count(F.lit(1)).alias(ROWS)] if training is None else []),
         )
     )
     return attach_by_key(rows, stats, "user_id")
