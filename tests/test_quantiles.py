@@ -86,3 +86,26 @@ def test_rank_statistics_and_smallest(spark):
     assert len(picked) == 150
     assert sorted(r["v"] for r in picked) == sorted([v for v in range(0, 1000, 10)] + list(range(1, 500, 10)))
     assert smallest(frame, "h", 5000, "v").count() == 1000
+
+
+@pytest.mark.parametrize("cells", [None, linear_cells(0.0, 1e10)])
+def test_values_that_lie_close_are_split_further(spark, cells, monkeypatch):
+    """Epoch-like values share a few cells of the first grid; no task may have to sort them all."""
+    rng = np.random.default_rng(9)
+    values = 1_700_000_000 + np.sort(rng.random(200_000)) * 40_000
+    frame = spark.createDataFrame(pd.DataFrame({"v": values})).repartition(6)
+    options = {"cells": cells} if cells else {}
+    got = quantiles(frame, "v", PROBS, **options).first()
+    expected = np.percentile(values, [100 * p for p in PROBS.values()])
+    np.testing.assert_allclose([got[k] for k in PROBS], expected, rtol=0, atol=1e-6)
+    found = []
+    plain = type(frame).selectExpr
+
+    def watched(self, *exprs):
+        if any("as _upto" in e for e in exprs):
+            found.append(self.groupBy("_cell").count().agg({"count": "max"}).first()[0])
+        return plain(self, *exprs)
+
+    monkeypatch.setattr(type(frame), "selectExpr", watched)
+    quantiles(frame, "v", PROBS, **options).collect()
+    assert 1 <= max(found) <= 64
