@@ -21,7 +21,7 @@ class Named:
 _catalogue: dict[str, Named] = {}
 _PARTS = (
     "ingest", "cleaning", "profiling", "features", "aggregates", "geography",
-    "timeseries", "segments", "users", "risk", "models", "insights", "streams", "bundles", "checked",
+    "timeseries", "segments", "users", "risk", "models", "insights", "streams", "sketches", "bundles", "checked",
 )
 
 
