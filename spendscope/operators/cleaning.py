@@ -58,12 +58,6 @@ def flag_outer_amounts(rows: DataFrame) -> DataFrame:
     ).drop("_fence")
 
 
-def clean_for_ingest(raw: DataFrame, order: Sequence[str]) -> DataFrame:
-    """Ingest cleaning: text, gaps, upper outliers over all rows, then one row per id."""
-    filled = fill_gaps(tidy_text(read_timestamps(raw)))
-    return keep_first(flag_high_amounts(filled), "transaction_id", order)
-
-
 def clean_for_analysis(raw: DataFrame, order: Sequence[str]) -> DataFrame:
     """Analysis cleaning: one row per id first, then outliers on both sides and capping."""
     filled = fill_gaps(tidy_text(read_timestamps(raw)))

@@ -11,8 +11,10 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from spendscope.operators import kmeans
 from spendscope.operators.quantiles import one_row, quantiles
 from spendscope.operators.users import FEATURE_COLUMNS
+from spendscope.session import settle
 
 SEED = 42
 ONLINE_ABOVE, OFFLINE_BELOW = 0.7, 0.3
@@ -74,20 +76,28 @@ def fit_clusters(users: DataFrame, k: int = 4, columns: Sequence[str] = FEATURE_
     return Clusters(labelled, model.summary.trainingCost, ordered)
 
 
+def fit_in_batches(users: DataFrame, k: int = 4, columns: Sequence[str] = FEATURE_COLUMNS, batch_rows: int = kmeans.BATCH_ROWS) -> Clusters:
+    """As :func:`fit_clusters`, moving the centres by small batches of users instead of by all of them."""
+    points = settle(scale(users, columns), "points")
+    start = kmeans.first_centres(points, columns, [k])
+    centres, costs = kmeans.in_batches(points, columns, start, batch_rows=batch_rows)
+    order_by = list(columns).index("total_spend") if "total_spend" in columns else 0
+    ordered = tuple(sorted((tuple(float(x) for x in c) for c in centres[k]), key=lambda c: (c[order_by], *c)))
+    labels = kmeans.labelled(points, columns, ordered).select("user_id", "cluster")
+    return Clusters(labels, costs[k], ordered)
+
+
 def elbow(users: DataFrame, most: int = 10, columns: Sequence[str] = FEATURE_COLUMNS) -> DataFrame:
-    """Cost of 2 to ``most`` clusters and the suggested number.
+    """Cost of 2 to ``most`` clusters and the suggested number; all numbers are fitted in the same passes.
 
     Suggested is the number after which the drop in cost flattens most: the
     largest ratio of the change of the drop to the drop itself.
     """
-    points = _vectors(scale(users, columns), columns).persist()
-    try:
-        sizes = list(range(2, most + 1))
-        costs = [
-            KMeans(k=k, seed=SEED, featuresCol="features").fit(points).summary.trainingCost for k in sizes
-        ]
-    finally:
-        points.unpersist()
+    points = settle(scale(users, columns), "points")
+    sizes = list(range(2, most + 1))
+    centres, fitted = kmeans.full(points, columns, kmeans.first_centres(points, columns, sizes))
+    fitted = kmeans.never_dearer(points, columns, centres, fitted)
+    costs = [fitted[k] for k in sizes]
     best = suggested_size(sizes, costs)
     rows = [(k, float(c), k == best) for k, c in zip(sizes, costs)]
     return users.sparkSession.createDataFrame(rows, "k int, inertia double, is_suggested boolean")

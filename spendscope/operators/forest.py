@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from spendscope.functions import calendar as cal
 from spendscope.functions.text import HASH_SPAN, fast_hash
-from spendscope.operators.quantiles import linear_cells, quantiles, smallest
+from spendscope.operators.quantiles import linear_cells, one_row, quantiles, smallest
 from spendscope.session import settle
 
 TREES = 100
@@ -159,25 +159,45 @@ def with_forest_features(rows: DataFrame) -> DataFrame:
     return rows.withColumns({"hour": F.hour(t), "day_of_week": cal.day_of_week(t)})
 
 
+def standardised(rows: DataFrame, features: Sequence[str]) -> tuple[DataFrame, list[str]]:
+    """``rows`` with a copy of each feature shifted to mean 0 and divided by its population deviation, and their names."""
+    numbers = [F.col(f).cast("double") for f in features]
+    moments = rows.agg(
+        *[F.avg(c).alias(f"{f}_mean") for c, f in zip(numbers, features)],
+        *[F.stddev_pop(c).alias(f"{f}_std") for c, f in zip(numbers, features)],
+    )
+    names = [f"scaled_{f}" for f in features]
+    m = F.col("_moments")
+    scaled = [
+        (c - m[f"{f}_mean"]) / F.when(m[f"{f}_std"] == 0, 1.0).otherwise(m[f"{f}_std"]) for c, f in zip(numbers, features)
+    ]
+    return rows.withColumn("_moments", one_row(moments)).withColumns(dict(zip(names, scaled))).drop("_moments"), names
+
+
 def flag_isolated(
     rows: DataFrame,
     features: Sequence[str] = FEATURES,
     contamination: float = CONTAMINATION,
     trees: int = TREES,
     seed: int = 42,
+    scaled: bool = False,
 ) -> DataFrame:
     """``ml_score`` and ``is_ml_anomaly`` (0/1): score above the exact upper quantile.
 
     The quantile is taken over distinct feature values with their counts, so each
-    is scored once; their scores are settled because two passes read them.
+    is scored once; their scores are settled because two passes read them. ``scaled`` grows the trees
+    on standardised features: splits move along with the values, so scores stay what they are.
     """
     featured = with_forest_features(rows)
-    forest = fit_forest(featured, features, trees=trees, seed=seed)
-    seen = featured.groupBy(*features).agg(F.count(F.lit(1)).alias("_rows"))
+    names = list(features)
+    if scaled:
+        featured, names = standardised(featured, features)
+    forest = fit_forest(featured, names, trees=trees, seed=seed)
+    seen = featured.groupBy(*names).agg(F.count(F.lit(1)).alias("_rows"))
     scores = settle(seen.select(forest.score().alias("ml_score"), "_rows"), "scores")
     edge = quantiles(scores, "ml_score", {"edge": 1.0 - contamination}, weight="_rows").scalar()
     flag = F.coalesce((F.col("ml_score") > edge).cast("int"), F.lit(0))
-    added = [c for c in ("hour", "day_of_week") if c not in rows.columns]
+    added = [c for c in ("hour", "day_of_week", *names) if c not in rows.columns]
     return (
         featured.withColumn("ml_score", forest.score()).withColumn("is_ml_anomaly", flag).drop(*added)
     )

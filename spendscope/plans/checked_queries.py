@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from spendscope.operators import clustering as cl
-from spendscope.operators import forest, lookups, profiling, regression, risk, users
+from spendscope.operators import forest, kmeans, lookups, profiling, regression, risk, users
 from spendscope.operators.users import FEATURE_COLUMNS
 from spendscope.plans.registry import named
 from spendscope.plans.risk_queries import SCORED_SQL
@@ -18,7 +18,7 @@ from spendscope.sources import files
 from spendscope.sources.fixtures import card_month, dirty_month, merchant_lines, merchant_reference, with_views
 from spendscope.sources.schemas import TRANSACTION_COLUMNS
 
-_USERS_SQL = """
+USERS_SQL = """
 act as (select user_id, avg(n) as avg_daily_transactions, cast(count(*) as double) as active_days
   from (select user_id, cast(timestamp as date) as date, count(*) as n from t1 group by 1, 2) group by 1),
 feat as (select user_id, cast(count(transaction_id) as double) as transaction_count,
@@ -43,7 +43,7 @@ def _labelled(spark, folder):
 
 
 _PROFILE_SQL = f"""
-{_USERS_SQL.strip()},
+{USERS_SQL.strip()},
 prof as (select cluster, cast(count(*) as bigint) as size, {', '.join(f'avg({c}) as {c}' for c in FEATURE_COLUMNS)}
   from labelled group by cluster),
 tagged as (select cluster, size, {', '.join(f'round({c}, 6) + 0.0 as {c}' for c in FEATURE_COLUMNS)},
@@ -77,7 +77,7 @@ def cluster_profile_normalized_given(spark, folder):
     "cluster_distribution_given",
     with_views(
         "t1",
-        f"""with {_USERS_SQL} select cluster, feature, round(min(v), 6) as min_value, round(quantile_cont(v, 0.25), 6) as q1,
+        f"""with {USERS_SQL} select cluster, feature, round(min(v), 6) as min_value, round(quantile_cont(v, 0.25), 6) as q1,
         round(quantile_cont(v, 0.5), 6) as median_value, round(quantile_cont(v, 0.75), 6) as q3, round(max(v), 6) as max_value
         from (unpivot (select cluster, {', '.join(FEATURE_COLUMNS[:5])} from labelled) on {', '.join(FEATURE_COLUMNS[:5])}
               into name feature value v) group by cluster, feature""",
@@ -226,7 +226,7 @@ _TWO = ("transaction_count", "avg_transaction_amount")
     "ml_pca_two_columns",
     with_views(
         "t1",
-        f"""with {_USERS_SQL}, c as (select avg(transaction_count) as mx, avg(avg_transaction_amount) as my,
+        f"""with {USERS_SQL}, c as (select avg(transaction_count) as mx, avg(avg_transaction_amount) as my,
           var_samp(transaction_count) as a, var_samp(avg_transaction_amount) as d,
           covar_samp(transaction_count, avg_transaction_amount) as b from labelled),
         l as (select *, (a + d) / 2 + sqrt(((a - d) / 2) * ((a - d) / 2) + b * b) as top from c),
@@ -262,13 +262,47 @@ def ml_kmeans_facts(spark, folder):
     )
 
 
-@named("ml_elbow_facts", "select cast(k as int) as k, true as not_rising, true as one_suggested from range(2, 11) as r(k)")
+@named(
+    "ml_elbow_facts",
+    "select cast(k as int) as k, true as not_rising, true as rule_agrees from range(2, 11) as r(k)",
+)
 def ml_elbow_facts(spark, folder):
-    """More clusters do not cost more, and one number is suggested."""
-    found = cl.elbow(settle(users.user_features(users.model_rows(card_month(spark, folder))), "features")).collect()
-    costs = {r["k"]: r["inertia"] for r in found}
-    rows = [(k, k == 2 or costs[k] <= costs[k - 1], sum(r["is_suggested"] for r in found) == 1) for k in costs]
-    return spark.createDataFrame(rows, "k int, not_rising boolean, one_suggested boolean")
+    """More clusters do not cost more, and the number suggested is the one that the rule gives, said again in SQL."""
+    found = cl.elbow(settle(users.user_features(users.model_rows(card_month(spark, folder))), "features"))
+    return spark.sql(
+        """with dropped as (select *, inertia - lag(inertia) over (order by k) as into_k,
+                             lead(inertia) over (order by k) - inertia as after_k from {found}),
+             ratios as (select *, coalesce((after_k - into_k) / into_k, double('-infinity')) as flattens from dropped),
+             best as (select *, row_number() over (order by flattens desc nulls last, k) as place from ratios)
+           select k, coalesce(into_k <= 0, true) as not_rising, is_suggested = (place = 1) as rule_agrees from best""",
+        found=found,
+    )
+
+
+def _nearest(spark, folder, fit):
+    table = settle(users.user_features(users.model_rows(card_month(spark, folder))), "features")
+    found = fit(table)
+    points = cl.scale(table).join(found.users, "user_id")
+
+    def distance(centre):
+        return sum((F.pow(F.col(c) - float(x), F.lit(2.0)) for c, x in zip(FEATURE_COLUMNS, centre)), F.lit(0.0))
+
+    every = F.array(*[distance(c) for c in found.centres])
+    own = F.element_at(every, F.col("cluster") + 1)
+    return table, found, points.withColumn("is_nearest", own <= F.array_min(every) + 1e-9)
+
+
+@named(
+    "ml_minibatch_facts",
+    with_views("t1", "select distinct user_id, true as is_nearest, true as is_close from t1 where user_id is not null"),
+)
+def ml_minibatch_facts(spark, folder):
+    """Clusters by small batches cost at most 5 % more than by all rows from the same first centres."""
+    columns = list(FEATURE_COLUMNS)
+    table, found, points = _nearest(spark, folder, lambda t: cl.fit_in_batches(t, 4, batch_rows=100))
+    scaled = settle(cl.scale(table), "points")
+    _, costs = kmeans.full(scaled, columns, kmeans.first_centres(scaled, columns, [4]))
+    return points.select("user_id", "is_nearest", F.lit(found.cost <= 1.05 * costs[4]).alias("is_close"))
 
 
 @named(
@@ -290,6 +324,18 @@ def anomaly_isolation_forest_facts(spark, folder):
     )
 
 
+@named("anomaly_isolation_forest_scaled", with_views("t1", "select transaction_id, true as is_same, true as same_flag from t1"))
+def anomaly_isolation_forest_scaled(spark, folder):
+    """Trees on standardised features give the scores and flags of trees on plain ones."""
+    rows = card_month(spark, folder)
+    plain, scaled = (
+        forest.flag_isolated(rows, scaled=on).select("transaction_id", F.col("ml_score").alias(f"s{on:d}"), F.col("is_ml_anomaly").alias(f"f{on:d}"))
+        for on in (False, True)
+    )
+    both = plain.join(scaled, "transaction_id")
+    return both.select("transaction_id", (F.abs(F.col("s0") - F.col("s1")) < 1e-6).alias("is_same"), (F.col("f0") == F.col("f1")).alias("same_flag"))
+
+
 @named(
     "ml_median_filled",
     with_views(

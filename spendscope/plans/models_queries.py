@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from spendscope.operators import clustering as cl
 from spendscope.operators import forest, regression, risk, users
+from spendscope.plans.checked_queries import USERS_SQL
 from spendscope.plans.registry import named
 from spendscope.plans.shape import shaped
 from spendscope.session import settle
@@ -25,22 +26,15 @@ def _clustered(spark, folder):
     return cl.with_clusters(table, cl.fit_clusters(table, CLUSTERS))
 
 
-_SCALED = ("transaction_count", "avg_transaction_amount", "total_spend", "active_days")
-_SCALED_SQL = """with m as (select user_id, cast(count(transaction_id) as double) as transaction_count,
-    avg(amount) as avg_transaction_amount, sum(amount) as total_spend,
-    cast(count(distinct cast(timestamp as date)) as double) as active_days
-  from t1 where user_id is not null group by user_id)
-  select user_id, """ + ", ".join(
+_SCALED_SQL = f"with {USERS_SQL.strip()} select user_id, " + ", ".join(
     f"round(({c} - avg({c}) over ()) / coalesce(nullif(stddev_pop({c}) over (), 0), 1), 6) + 0.0 as {c}"
-    for c in _SCALED
-) + " from m"
+    for c in users.FEATURE_COLUMNS
+) + " from labelled"
 
 
 @named("ml_scaled_features", with_views("t1", _SCALED_SQL))
 def ml_scaled_features(spark, folder):
-    """Four of the scaled features; all of them go through the same expression."""
-    scaled = cl.scale(_user_table(spark, folder))
-    return shaped(scaled.select("user_id", *_SCALED))
+    return shaped(cl.scale(_user_table(spark, folder)))
 
 
 @named("ml_elbow")
@@ -168,7 +162,27 @@ def _test_predictions(features):
     return ridge.predict(features.where(F.col("is_test")))
 
 
-@named("ml_encoded_features")
+_ENCODED_NUMBERS = ("hour", "day_of_week", "day_of_month", "month", "year", "is_weekend", *regression.USER_NUMBERS)
+
+
+def _encoded_sql() -> str:
+    """Sizes and sums of the vectors from counts, means and deviations of the training rows."""
+    numbers, texts = _ENCODED_NUMBERS, regression.CATEGORIES
+    levels = ", ".join(f"list(distinct {c}) as {c}_levels" for c in texts)
+    moments = ", ".join(f"avg({c}) as {c}_mean, stddev_pop({c}) as {c}_std" for c in numbers)
+    hot = [f"case when len({c}_levels) > 1 and list_contains({c}_levels, {c}) then 1 else 0 end" for c in texts]
+    scaled = [f"case when {c}_std > 0 then ({c} - {c}_mean) / {c}_std else 0 end" for c in numbers]
+    wide = [f"case when len({c}_levels) > 1 then len({c}_levels) else 0 end" for c in texts]
+    wide += [f"case when {c}_std > 0 then 1 else 0 end" for c in numbers]
+    filled = hot + [f"case when {x} <> 0 then 1 else 0 end" for x in scaled]
+    features = _FEATURES_SQL.format(test=_HASH_SQL).replace("round(a, 6)", "a")
+    return f"""with {_STATS_SQL.format(source='t1')}, f as ({features}),
+      seen as (select {levels}, {moments} from f where not is_test)
+      select transaction_id, cast({' + '.join(wide)} as int) as feature_count, cast({' + '.join(filled)} as int) as filled_count,
+             round({' + '.join(hot + scaled)}, 6) + 0.0 as feature_sum from f, seen"""
+
+
+@named("ml_encoded_features", with_views("t1", _encoded_sql()))
 def ml_encoded_features(spark, folder):
     features = _features(spark, folder)
     encoder = regression.fit_encoder(features.where(~F.col("is_test")))
@@ -177,7 +191,7 @@ def ml_encoded_features(spark, folder):
         "transaction_id",
         F.size(vector).alias("feature_count"),
         F.size(F.filter(vector, lambda x: x != 0)).alias("filled_count"),
-        F.round(F.aggregate(vector, F.lit(0.0), lambda a, x: a + x), 6).alias("feature_sum"),
+        (F.round(F.aggregate(vector, F.lit(0.0), lambda a, x: a + x), 6) + F.lit(0.0)).alias("feature_sum"),
     )
 
 

@@ -151,6 +151,28 @@ def test_forest_with_disjoint_samples_and_missing_features(spark):
     assert scored.set_index("transaction_id")["s"]["5"] > scored["s"].quantile(0.9)
 
 
+def test_scores_are_those_of_a_plain_walk_through_the_trees(rows):
+    """Depth by depth for one row at a time, as the published method has it."""
+    featured = forest.with_forest_features(rows)
+    grown = forest.fit_forest(featured, trees=15, sample=64)
+    roots, feature, split, left, right, path, norm = grown.arrays.value
+    found = featured.select("amount", "hour", grown.score().alias("score")).limit(200).collect()
+    for r in found:
+        total = 0.0
+        for at in roots:
+            while feature[at] >= 0:
+                at = left[at] if float(r[int(feature[at])]) <= split[at] else right[at]
+            total += path[at]
+        assert r["score"] == pytest.approx(2 ** (-total / len(roots) / norm), rel=1e-12)
+
+
+def test_scaling_leaves_scores_as_they_are(rows):
+    plain, scaled = (
+        {r["transaction_id"]: r["ml_score"] for r in forest.flag_isolated(rows, trees=20, scaled=on).collect()} for on in (False, True)
+    )
+    assert plain.keys() == scaled.keys() and all(abs(scaled[k] - v) < 1e-9 for k, v in plain.items() if v is not None)
+
+
 def test_mean_path():
     assert forest.mean_path(1) == 0 and forest.mean_path(2) == 1
     np.testing.assert_allclose(forest.mean_path(256), 10.2448, atol=1e-3)
