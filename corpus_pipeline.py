@@ -43,7 +43,7 @@ STAGES = [
     ("mixing", mix_sources),
 ]
 
-ORACLE_SQL = None  # SQL can express neither the classifier nor the rolling boundaries; see tests/llm/test_pipeline.py
+ORACLE_SQL = None  # SQL can express neither the classifier nor the rolling boundaries; see tests/llm/test_llm_pipeline.py
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
