@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
+from spendscope.sources.commits import Commits
+
 KEYS = ["source", "lang", "version"]
 SUMS = ["n_docs", "n_tokens"]
 _STORED = StructType([StructField(k, StringType()) for k in KEYS] + [StructField(s, LongType()) for s in SUMS])
@@ -66,44 +68,41 @@ def revised(rows: DataFrame, before: Column, after: Column) -> DataFrame:
 class TokenRollup:
     """Totals by source, language and tokenizer version in a folder that all executors share.
 
-    Each batch of changes is summed per key and written to a folder of its own name. A batch that is
-    committed again - a retried job, a replayed stream - replaces that folder, so it counts once; a batch
-    that broke off has no success mark and is not read. Totals are the sums over the batches. Nulls in a
-    key are a group of their own; null counts count as nothing.
+    Each batch of changes is summed per key, written aside and published at once. A batch that is committed
+    again - a retried job, a replayed stream - changes nothing, whether it would now succeed or fail; a
+    batch that broke off is not published and may be tried again. Names of batches ascend. Totals are the sums over
+    the published batches, of which young ones are merged, so few files are read however many there were.
+
+    Nulls in a key are a group of their own; null counts count as nothing; repeated rows are repeated
+    changes; other columns are not read; no batches or empty ones give no totals.
     """
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
+        self.published = Commits(spark, self.folder)
 
-    def _path(self, name: str):
-        return self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+    def _stored(self, summed: DataFrame, path: str) -> dict:
+        summed.write.parquet(path)
+        return {"rows": self.spark.read.parquet(path).count()}
 
-    def _files(self):
-        return self._path(self.folder).getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+    def _summed(self, paths: list[str]) -> DataFrame:
+        if not paths:
+            return self.spark.createDataFrame([], _STORED)
+        stored = self.spark.read.schema(_STORED).parquet(*paths)
+        summed = stored.groupBy(*KEYS).agg(*[F.sum(c).alias(c) for c in SUMS])
+        return summed.where("n_docs != 0 or n_tokens != 0")
 
     def commit(self, batch: str, changes: DataFrame) -> None:
-        """Write one batch; the same name again replaces it. One row per key, so the files stay small."""
+        """Publish one batch; a name that is there already adds nothing. One row per key, so the files stay small."""
         summed = changes.groupBy(*KEYS).agg(*[F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c) for c in SUMS])
         changed = summed.where("n_docs != 0 or n_tokens != 0")
-        changed.write.mode("overwrite").parquet(f"{self.folder}/batch-{batch}")
+        self.published.put(batch, lambda path: self._stored(changed, path))
+        self.published.merge(lambda old, path: self._stored(self._summed([c.path for c in old]), path))
 
     def batches(self) -> list[str]:
-        """Names of the committed batches."""
-        files, top = self._files(), self._path(self.folder)
-        if not files.exists(top):
-            return []
-        names = [s.getPath().getName() for s in files.listStatus(top) if s.isDirectory()]
-        return sorted(
-            n.removeprefix("batch-")
-            for n in names
-            if n.startswith("batch-") and files.exists(self._path(f"{self.folder}/{n}/_SUCCESS"))
-        )
+        """Names of the published batches."""
+        return [name for commit in self.published.live() for name in commit.names]
 
     def totals(self) -> DataFrame:
         """``source, lang, version, n_docs, n_tokens``; keys whose documents are all gone have no row."""
-        names = self.batches()
-        if not names:
-            return self.spark.createDataFrame([], _STORED)
-        stored = self.spark.read.schema(_STORED).parquet(*[f"{self.folder}/batch-{n}" for n in names])
-        summed = stored.groupBy(*KEYS).agg(*[F.sum(c).alias(c) for c in SUMS])
-        return summed.where("n_docs != 0 or n_tokens != 0")
+        return self._summed([c.path for c in self.published.live()])
