@@ -211,13 +211,15 @@ def train(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS, sa
     """Fit on at most ``sample_docs`` labelled documents, those with the smallest digests of their ids.
 
     Only rows of ``learnable`` ids are used. Null labels are left out; a document that is labelled twice
-    takes its highest label. The texts stay in the tasks: each sends the features of at most
+    takes its highest label, and of several texts under one id the one with the smallest digest is learnt from. The texts stay in the tasks: each sends the features of at most
     ``sample_lines`` neighbouring lines per document. Labels, languages, sources and ids are no features.
     """
     marked = labels.where(F.col("quality").isNotNull() & learnable(F.col("doc_id"))).groupBy("doc_id").agg(F.max("quality").alias("quality"))
     order = F.xxhash64(F.lit("line field"), F.col("doc_id"))
     chosen = marked.withColumn("_order", order).orderBy("_order", "doc_id").limit(sample_docs)
-    texts = docs.select("doc_id", "text").where(F.col("text").isNotNull())
+    texts = docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(chosen, "doc_id")
+    one = F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text")
+    texts = texts.groupBy("doc_id", "_order", "quality").agg(one)
 
     def run(batches):
         for batch in batches:
@@ -234,8 +236,8 @@ def train(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS, sa
                                  features[low:high].astype(np.float32).tobytes(), size[low:high].tobytes()))
                 yield pd.DataFrame(rows, columns=["_order", "quality", "features", "size"])
 
-    sent = texts.join(chosen, "doc_id").mapInPandas(run, "_order bigint, quality int, features binary, size binary")
-    rows = sorted((tuple(r) for r in sent.limit(2 * sample_docs).collect()), key=lambda r: (r[0], bytes(r[2])))
+    sent = texts.mapInPandas(run, "_order bigint, quality int, features binary, size binary")
+    rows = sorted((tuple(r) for r in sent.collect()), key=lambda r: (r[0], bytes(r[2])))
     features = [np.frombuffer(r[2], dtype=np.float32).reshape(-1, WIDTH).astype(float) for r in rows]
     sizes = [np.frombuffer(r[3], dtype=np.int64) for r in rows]
     bounds = np.concatenate([[0], np.cumsum([len(s) for s in sizes])]).astype(np.int64)
