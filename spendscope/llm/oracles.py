@@ -109,8 +109,18 @@ with d as (
 ), turns as (
   select place, source_size, floor(target)::bigint as goal, row_number() over (partition by place order by slot) - 1 as turn
   from slots join b on point >= lo and point < hi
+), had as (
+  select place, count(*) as had from turns group by place
+), needs as (
+  select b.place, source_size, floor(target)::bigint as goal, coalesce(had, 0) as had,
+    floor(target)::bigint // source_size * ((source_size + 31) // 32) + (floor(target)::bigint % source_size + 31) // 32 as needed
+  from b left join had using (place) where source_size > 0
+), all_turns as (
+  select place, source_size, goal, turn from turns
+  union all
+  select place, source_size, goal, unnest(range(had, needed)) as turn from needs where needed > had
 ), blocks as (
-  select *, (source_size + 31) // 32 as rounds from turns
+  select *, (source_size + 31) // 32 as rounds from all_turns
 ), lengths as (
   select place, turn % rounds as block, goal - (turn // rounds * source_size + turn % rounds * 32) as remaining,
     least(32, source_size - turn % rounds * 32) as length from blocks
