@@ -37,16 +37,20 @@ class Commits:
         self.spark, self.folder = spark, folder.rstrip("/")
         self._hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
         self._files = self._path(self.folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        # What this object has seen published. Only one driver writes; readers take a new object for a new look.
+        self._known: dict[tuple[str, str], Commit] | None = None
 
     def _path(self, name: str):
         return self._hadoop.Path(name)
 
-    def _markers(self) -> list[tuple[str, str]]:
-        top = self._path(f"{self.folder}/published")
-        if not self._files.exists(top):
-            return []
-        names = [s.getPath().getName() for s in self._files.listStatus(top)]
-        return sorted(tuple(n.removesuffix(".json").split("..")) for n in names if n.endswith(".json"))
+    def _published(self) -> dict[tuple[str, str], Commit]:
+        if self._known is None:
+            top, names = self._path(f"{self.folder}/published"), []
+            if self._files.exists(top):
+                names = [s.getPath().getName() for s in self._files.listStatus(top)]
+            spans = sorted(tuple(n.removesuffix(".json").split("..")) for n in names if n.endswith(".json"))
+            self._known = {span: self._read(*span) for span in spans}
+        return self._known
 
     def _marker(self, first: str, last: str):
         return self._path(f"{self.folder}/published/{first}..{last}.json")
@@ -62,12 +66,15 @@ class Commits:
 
     def live(self) -> list[Commit]:
         """The commits that together hold every published batch once, in order."""
-        spans = self._markers()
-        whole = [s for s in spans if not any(o != s and o[0] <= s[0] and s[1] <= o[1] for o in spans)]
-        return [self._read(*span) for span in whole]
+        whole: list[Commit] = []
+        # by first name, wider spans first: what ends before the last one taken lies within it
+        for span in sorted(sorted(self._published(), key=lambda s: s[1], reverse=True), key=lambda s: s[0]):
+            if not whole or span[1] > whole[-1].last:
+                whole.append(self._published()[span])
+        return whole
 
     def holds(self, name: str) -> bool:
-        return any(name in self._read(first, last).names for first, last in self._markers() if first <= name <= last)
+        return any(name in c.names for (first, last), c in self._published().items() if first <= name <= last)
 
     def _publish(self, names: list[str], data: str, facts: dict) -> Commit:
         first, last = names[0], names[-1]
@@ -79,7 +86,9 @@ class Commits:
             stream.close()
         if not self._files.rename(aside, self._marker(first, last)):
             raise OSError(f"cannot publish {first}..{last} in {self.folder}")
-        return Commit(first, last, f"{self.folder}/{data}", facts, tuple(names))
+        commit = Commit(first, last, f"{self.folder}/{data}", facts, tuple(names))
+        self._published()[first, last] = commit
+        return commit
 
     def put(self, name: str, write: Callable[[str], dict]) -> Commit | None:
         """Have ``write`` fill a new folder and publish it with the facts that it returns; None if ``name`` is there.
@@ -88,7 +97,7 @@ class Commits:
         """
         if self.holds(name):
             return None
-        newest = max((last for _, last in self._markers()), default="")
+        newest = max((last for _, last in self._published()), default="")
         if name <= newest:
             raise ValueError(f"batch {name} comes after {newest}, which is published")
         data = f"data/batch={name}-{uuid.uuid4().hex}"
@@ -115,6 +124,7 @@ class Commits:
         merged = self._publish(names, data, write(old, f"{self.folder}/{data}"))
         for commit in old:
             self._files.delete(self._marker(commit.first, commit.last), False)
+            self._published().pop((commit.first, commit.last))
         return merged
 
     def sweep(self) -> int:
