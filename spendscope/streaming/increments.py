@@ -87,6 +87,9 @@ def ingest_once_per_id(rows: DataFrame, out: str, checkpoint: str, ids_a_bucket:
     table, index = Commits(spark, out), IdIndex(spark, index_part(out), ids_a_bucket)
 
     def add(batch: DataFrame, batch_id: int) -> None:
+        if batch.isEmpty():
+            return
+
         def write(path: str) -> dict:
             with scratch(spark):
                 fresh = settle(_in_file_order(batch), "fresh")
