@@ -45,3 +45,44 @@ def test_rows_are_read_twice_at_most(operator, spark, rows):
     after = records_read(spark)
     read = sum(n for stage, n in after.items() if stage not in before)
     assert N <= read <= 2.2 * N  # what was set aside in between is small here
+
+
+def _shuffled(spark, before, df):
+    """Records that stages write to shuffles while ``df`` is made."""
+    df.write.format("noop").mode("overwrite").save()
+    return sum(n for stage, n in stage_figures(spark, "shuffleWriteRecords").items() if stage not in before)
+
+
+def stage_figures(spark, figure):
+    sc = spark.sparkContext
+    sc._jsc.sc().listenerBus().waitUntilEmpty(10_000)
+    none = sc._gateway.new_array(sc._jvm.double, 0)
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, none, sc._jvm.java.util.ArrayList())
+    return {(s.stageId(), s.attemptId()): getattr(s, figure)() for s in map(stages.apply, range(stages.size()))}
+
+
+def test_user_features_move_each_row_once(spark, rows):
+    """Rows of users that one task can hold are not copied per column; counts of buckets and users come on top."""
+    many = rows.withColumn("user_id", F.concat(F.lit("u"), F.floor(F.col("transaction_id") / 4)))
+    many = many.withColumns({"merchant_id": F.col("transaction_id"), "device_type": F.col("location_country")})
+    before = stage_figures(spark, "shuffleWriteRecords")
+    moved = _shuffled(spark, before, users.user_features(users.model_rows(many)))
+    assert N <= moved <= 2 * N
+
+
+def test_users_of_many_rows_have_the_same_features(spark, rows):
+    """What partial sums give is what all rows of a user give."""
+    made = rows.withColumns({
+        "user_id": F.when(F.col("transaction_id") % 1000 == 1, None).otherwise(F.col("user_id")),
+        "merchant_id": F.concat(F.lit("m"), F.col("transaction_id") % 77),
+        "device_type": F.when(F.col("transaction_id") % 3 > 0, F.concat(F.lit("d"), F.col("transaction_id") % 4)),
+        "amount": F.when(F.col("transaction_id") % 13 > 0, F.col("amount")),
+        "timestamp": F.when(F.col("transaction_id") % 17 > 0, F.col("timestamp")),
+    })
+    # hot_share 4: only the user of a third of the rows; 1 with a row limit above: none
+    tables = [users.user_features(users.model_rows(made), "median", share) for share in (1, 4, 1_000_000)]
+    found = [{r["user_id"]: r.asDict() for r in t.collect()} for t in tables]
+    assert found[0].keys() == found[1].keys() == found[2].keys() and len(found[0]) == 41
+    for other in found[1:]:
+        for user, row in found[0].items():
+            assert {k: v if isinstance(v, str | None) else pytest.approx(v, rel=1e-9) for k, v in row.items()} == other[user]
