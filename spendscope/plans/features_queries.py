@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from spendscope.functions.money import amount_class_order
 from spendscope.operators import features, lookups
 from spendscope.plans.registry import named
+from spendscope.session import settle
 from spendscope.sources.fixtures import (
     card_month,
     dirty_month,
@@ -135,7 +136,9 @@ def feat_high_value_online(spark, folder):
     ),
 )
 def feat_high_value_p95(spark, folder):
-    rows = features.add_relative_high_value(merchant_lines(spark, folder))
+    """The joined lines are settled: the quantile reads them twice, the flags once more."""
+    lines = settle(merchant_lines(spark, folder).select(*_LINE, "amount"), "lines")
+    rows = features.add_relative_high_value(lines)
     return rows.select(*_LINE, F.round("amount", 4).alias("amount"), "high_value")
 
 

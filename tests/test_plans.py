@@ -53,3 +53,13 @@ def test_risk_totals_do_not_join_transactions(spark, folder):
     """Rows are counted per cell before user facts are joined."""
     plan = plan_of(risk.risk_cells(card_month(spark, folder)))
     assert "LeftAnti" not in plan and "transaction_id" not in plan
+
+
+def test_high_values_join_the_lines_once(spark, folder):
+    """The quantile and the flags read the settled lines."""
+    assert "Join" not in plan_of(catalogue()["feat_high_value_p95"].build(spark, folder))
+
+
+def test_the_forest_joins_the_lines_once(spark, folder):
+    """Sample, quantile and flags read the settled lines."""
+    assert "l_orderkey" not in plan_of(catalogue()["anomaly_isolation_forest_lines"].build(spark, folder))
