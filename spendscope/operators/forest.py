@@ -25,6 +25,7 @@ from spendscope.session import settle
 TREES = 100
 SAMPLE = 256
 CONTAMINATION = 0.01
+HELD_CELLS = 1 << 20  # whose scores a task remembers, 16 MB
 FEATURES = ("amount", "hour")
 
 _NODES = "tree int, node int, feature int, split double, left int, right int, path double"
@@ -94,22 +95,56 @@ class Forest:
     height: int
 
     def score(self) -> Column:
-        """Anomaly score between 0 and 1 of the feature columns; null when one is null."""
+        """Anomaly score between 0 and 1 of the feature columns; null when one is null.
+
+        A row meets the splits of a feature only by its rank among them, so rows of equal ranks score
+        alike: each task scores the cells that it meets once, and remembers up to ``HELD_CELLS`` of them.
+        """
         shared, height = self.arrays, self.height
 
         @F.pandas_udf("double")
         def isolate(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
             roots, feature, split, left, right, path, norm = shared.value
+            splits = [np.unique(split[feature == k]) for k in range(len(self.features))]
+            places = np.array([len(edges) + 1 for edges in splits])
+            packs = float(np.prod(places.astype(float))) < 2.0**62
+            rank = np.zeros(len(split), dtype=np.int32)  # of each split among those of its feature
+            for k, edges in enumerate(splits):
+                rank[feature == k] = np.searchsorted(edges, split[feature == k])
+            known, scored = np.zeros(0, dtype=np.int64), np.zeros(0)
+
+            def fresh(cells: np.ndarray) -> np.ndarray:
+                """Scores of rows of ranks; a value is at most a split if its rank is at most the split's."""
+                total = np.zeros(len(cells))
+                columns = np.ascontiguousarray(cells.T.astype(np.int32)).reshape(-1)
+                row = np.arange(len(cells))
+                for root in roots:
+                    at = np.full(len(cells), root)
+                    for _ in range(height):
+                        f = feature[at]
+                        lower = columns[np.maximum(f, 0) * len(cells) + row] <= rank[at]
+                        at = np.where(f < 0, at, np.where(lower, left[at], right[at]))
+                    total += path[at]
+                return np.exp2(-total / len(roots) / norm)
+
             for columns in batches:
                 x = np.column_stack([c.to_numpy(dtype="float64", na_value=np.nan) for c in columns])
-                at = np.repeat(roots[None, :], len(x), axis=0)
-                row = np.arange(len(x))[:, None]
-                for _ in range(height):
-                    f = feature[at]
-                    lower = x[row, np.maximum(f, 0)] <= split[at]
-                    at = np.where(f < 0, at, np.where(lower, left[at], right[at]))
-                scores = pd.Series(np.exp2(-path[at].mean(axis=1) / norm))
-                yield scores.mask(np.isnan(x).any(axis=1))
+                cells = np.column_stack([np.searchsorted(edges, x[:, k]) for k, edges in enumerate(splits)])
+                if not packs:
+                    scores = fresh(cells)
+                else:
+                    codes, first, back = np.unique(np.ravel_multi_index(cells.T, places), return_index=True, return_inverse=True)
+                    spot = np.searchsorted(known, codes)
+                    new = np.ones(len(codes), dtype=bool)
+                    inside = spot < len(known)
+                    new[inside] = known[spot[inside]] != codes[inside]
+                    found = np.empty(len(codes))
+                    found[~new] = scored[spot[~new]]
+                    found[new] = fresh(cells[first[new]])
+                    if len(known) + new.sum() <= HELD_CELLS:
+                        known, scored = np.insert(known, spot[new], codes[new]), np.insert(scored, spot[new], found[new])
+                    scores = found[back]
+                yield pd.Series(scores).mask(np.isnan(x).any(axis=1))
 
         return isolate(*[F.col(f).cast("double") for f in self.features])
 
@@ -184,11 +219,12 @@ def flag_isolated(
 ) -> DataFrame:
     """``ml_score`` and ``is_ml_anomaly`` (0/1): score above the exact upper quantile.
 
-    The quantile is taken over distinct feature values with their counts, so each
+    The rows are settled, as the sample, the quantile and the flags read them. The quantile is taken
+    over distinct feature values with their counts, so each
     is scored once; their scores are settled because two passes read them. ``scaled`` grows the trees
     on standardised features: splits move along with the values, so scores stay what they are.
     """
-    featured = with_forest_features(rows)
+    featured = with_forest_features(settle(rows, "forest-rows"))
     names = list(features)
     if scaled:
         featured, names = standardised(featured, features)

@@ -240,7 +240,8 @@ def anomaly_isolation_forest(spark, folder):
 @named("anomaly_isolation_forest_lines")
 def anomaly_isolation_forest_lines(spark, folder):
     """Large enough for disjoint samples; with the day of the week as a third feature."""
-    rows = forest.flag_isolated(merchant_lines(spark, folder), ("amount", "hour", "day_of_week"))
+    lines = merchant_lines(spark, folder).select("transaction_id", "amount", "timestamp")
+    rows = forest.flag_isolated(lines, ("amount", "hour", "day_of_week"))
     return shaped(rows.select("transaction_id", "amount", "ml_score", "is_ml_anomaly"), amount=4)
 
 

@@ -185,3 +185,26 @@ def test_forest_flag_adds_two_points(rows):
     assert ((more["risk_score"] - plain["risk_score"]) == 2).all()
     cells = risk.risk_distribution(risk.risk_cells(flagged)).toPandas().set_index("risk_score")["row_count"]
     assert cells.to_dict() == more["risk_score"].value_counts().to_dict()
+
+
+def test_scores_are_those_of_the_trees(spark):
+    """Scores by cells of ranks are what each row gets on its way down every tree, on splits and without a value too."""
+    i = F.col("id")
+    rows = spark.range(3000).select(
+        i.cast("string").alias("transaction_id"), F.pmod(F.xxhash64("id"), F.lit(97)).cast("double").alias("a"),
+        F.when(i % 50 > 0, F.sin("id")).alias("b"), (i % 7).cast("double").alias("c"),
+    )
+    grown = forest.fit_forest(rows, ("a", "b", "c"), trees=9, sample=64)
+    roots, feature, split, left, right, path, norm = grown.arrays.value
+    on_split = float(split[feature == 0][0])
+    rows = rows.withColumn("a", F.when(F.col("transaction_id") % 11 == 0, on_split).otherwise(F.col("a"))).repartition(3)
+    for row in rows.withColumn("s", grown.score()).collect():
+        if row["b"] is None:
+            assert row["s"] is None
+            continue
+        depths = []
+        for at in roots:
+            while feature[at] >= 0:
+                at = left[at] if row["abc"[int(feature[at])]] <= split[at] else right[at]
+            depths.append(path[at])
+        assert abs(row["s"] - 2 ** (-sum(depths) / len(roots) / norm)) < 1e-12
