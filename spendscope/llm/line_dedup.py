@@ -161,9 +161,12 @@ def without_repeats(docs: DataFrame) -> tuple[DataFrame, str]:
     id_, k1, k2 = spare(keyed, "_id", "_k1", "_k2")
     listed = settle(listed.toDF(id_, k1, k2, cuts), "cuts")
     same = F.col("doc_id").eqNullSafe(F.col(id_)) & (F.col(one) == F.col(k1)) & (F.col(two) == F.col(k2))
+    # The texts meet their cuts once: what is compared below and the result read the same files.
     held = keyed.join(listed, same, "left").drop(id_, k1, k2)
+    names = held.columns  # which files may not hold as they are, if they differ in case only
+    held = settle(held.toDF(*[f"_{k}" for k in range(len(names))]), "held").toDF(*names)
 
-    repeating = keyed.select("doc_id", "text", one, two).join(listed, same).drop(id_, k1, k2)
+    repeating = held.where(F.col(cuts).isNotNull())
     texts = repeating.select("doc_id", one, two, F.split("text", "\n").alias("_lines"), F.explode(cuts).alias("_c")).select(
         "_c.name", "_c.name2", "_c.at", F.expr("array_join(slice(_lines, _c.first + 1, _c.last - _c.first), '\n')").alias("_chunk"),
         "doc_id", F.col(one).alias("_t1"), F.col(two).alias("_t2"),

@@ -313,3 +313,12 @@ def test_counts_by_a_tokenizer_file(spark):
     docs = spark.createDataFrame([(1, "Hello there, world!", "en", "s"), (2, None, "en", "s")], "doc_id long, text string, lang string, source string")
     got = {r["doc_id"]: r["n_tokens"] for r in count_vocabulary(docs, path).collect()}
     assert got == {1: len(Tokenizer.from_file(path).encode("Hello there, world!").ids), 2: 0}
+
+
+def test_line_dedup_shuffles_the_texts_once(spark):
+    """What meets the cuts is settled: the result joins nothing again."""
+    passage = "\n".join(f"line {k} of a passage that stands in two texts of this table" for k in range(6))
+    docs = spark.createDataFrame([(k, f"text {k}\n{passage}\nend {k}") for k in range(2)], "doc_id bigint, text string")
+    given, result = line_dedup.without_repeats(docs)
+    assert "Join" not in given._jdf.queryExecution().executedPlan().toString()
+    assert [r["n"] > 0 for r in given.select("doc_id", given[result]["n_removed_lines"].alias("n")).orderBy("doc_id").collect()] == [False, True]
