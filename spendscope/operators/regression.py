@@ -31,6 +31,11 @@ def is_test(key: str = "transaction_id", percent: int = TEST_PERCENT):
     return F.pmod(stable_hash(F.col(key)), F.lit(100)) < percent
 
 
+def used(rows: DataFrame, target: str = "amount") -> DataFrame:
+    """The columns of ``rows`` that :func:`prediction_features` reads."""
+    return rows.select(present(rows, ["transaction_id", "user_id", "timestamp", target, *CATEGORIES, "cluster"]))
+
+
 def prediction_features(rows: DataFrame, target: str = "amount", leak_free: bool = False) -> DataFrame:
     """Features, target and split flag of every transaction with a target.
 
@@ -77,21 +82,25 @@ class Encoder:
 
 def _training_moments(training: DataFrame, numbers: Sequence[str]) -> dict[str, float]:
     """Means and population deviations after filling nulls with the exact median: a single row."""
-    gaps = training.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in numbers]).first()
+    def moments(rows: DataFrame, *more) -> dict[str, float]:
+        return rows.agg(
+            F.expr("count(1) as n"),
+            F.expr("stddev_pop(target) as target_std"),
+            *[F.expr(f"avg({c}) as {c}_mean") for c in numbers],
+            *[F.expr(f"stddev_pop({c}) as {c}_std") for c in numbers],
+            *more,
+        ).first().asDict()
+
     fill = {c: 0.0 for c in numbers}
-    holes = [c for c in numbers if gaps[c]]
+    marked = training.select("target", *numbers, *[F.col(c).isNull().alias(f"{c}_gap") for c in numbers])
+    found = moments(marked.fillna(fill), *[F.count_if(f"{c}_gap").alias(f"{c}_gaps") for c in numbers])
+    holes = [c for c in numbers if found[f"{c}_gaps"]]
     if holes:
         long = training.select(holes).unpivot([], holes, "feature", "v")
         for row in quantiles(long, "v", {"m": 0.5}, ["feature"], few_groups=True).collect():
             fill[row["feature"]] = row["m"]
-    filled = training.fillna(fill)
-    moments = filled.agg(
-        F.expr("count(1) as n"),
-        F.expr("stddev_pop(target) as target_std"),
-        *[F.expr(f"avg({c}) as {c}_mean") for c in numbers],
-        *[F.expr(f"stddev_pop({c}) as {c}_std") for c in numbers],
-    ).first()
-    return {**moments.asDict(), **{f"{c}_fill": v for c, v in fill.items()}}
+        found = moments(training.fillna(fill))
+    return {**found, **{f"{c}_fill": v for c, v in fill.items()}}
 
 
 def fit_encoder(training: DataFrame) -> Encoder:

@@ -203,7 +203,8 @@ def ml_ridge_predict(spark, folder):
 @named("ml_ridge_predict_lines")
 def ml_ridge_predict_lines(spark, folder):
     """On a table without currency: the model takes the columns there are."""
-    features = settle(regression.prediction_features(merchant_lines(spark, folder)), "prediction")
+    lines = settle(regression.used(merchant_lines(spark, folder)), "lines")  # read for the users and for the features
+    features = settle(regression.prediction_features(lines), "prediction")
     return shaped(_test_predictions(features))
 
 

@@ -3,6 +3,7 @@
 import pytest
 
 from spendscope.operators import cleaning, dedup, features, profiling, risk
+from spendscope.plans import models_queries
 from spendscope.plans.registry import catalogue
 from spendscope.sources.fixtures import card_month, dirty_month, merchant_lines, table
 
@@ -63,3 +64,11 @@ def test_high_values_join_the_lines_once(spark, folder):
 def test_the_forest_joins_the_lines_once(spark, folder):
     """Sample, quantile and flags read the settled lines."""
     assert "l_orderkey" not in plan_of(catalogue()["anomaly_isolation_forest_lines"].build(spark, folder))
+
+
+def test_ridge_joins_the_lines_once(spark, folder, monkeypatch):
+    """The lines are settled before the user facts read them twice."""
+    seen, plain = [], models_queries.regression.prediction_features
+    monkeypatch.setattr(models_queries.regression, "prediction_features", lambda rows: seen.append(rows) or plain(rows))
+    catalogue()["ml_ridge_predict_lines"].build(spark, folder)
+    assert len(seen) == 1 and "Join" not in plan_of(seen[0])
