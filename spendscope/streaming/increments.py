@@ -6,7 +6,6 @@ Every stream here takes what has arrived since its last run and stops
 
 from __future__ import annotations
 
-import datetime as dt
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,7 +18,7 @@ from spendscope.operators import sketches
 from spendscope.operators.aggregates import keyed, with_date
 from spendscope.operators.dedup import keep_first, unseen
 from spendscope.session import scratch, settle
-from spendscope.sources.commits import Commits
+from spendscope.sources.commits import Commit, Commits
 from spendscope.sources.id_index import IDS_A_BUCKET, IdIndex
 from spendscope.sources.schemas import RAW_TRANSACTIONS
 
@@ -127,9 +126,6 @@ def ingest_once_within(rows: DataFrame, out: str, checkpoint: str, lateness: str
     spark = rows.sparkSession
     table, late = Commits(spark, out), 0
     span = F.expr(f"interval {lateness}")
-    start = F.lit("2000-01-01").cast("timestamp_ntz")
-    # Months vary by three days; batches that are only nearly reached are read as well, and filtered.
-    reach = spark.range(1).select((start + span).alias("end")).first()["end"] - dt.datetime(2000, 1, 1) + dt.timedelta(days=4)
 
     def add(batch: DataFrame, batch_id: int) -> None:
         nonlocal late
@@ -141,8 +137,7 @@ def ingest_once_within(rows: DataFrame, out: str, checkpoint: str, lateness: str
         def write(path: str) -> dict:
             in_time = _in_file_order(batch.where(time > mark) if newest else batch)
             if newest:
-                near = (dt.datetime.fromisoformat(newest) - 2 * reach).isoformat(sep=" ")
-                reached = [f"{c.path}/late=false" for c in before if c.facts["newest"] > near and c.facts["kept"]]
+                reached = [f"{c.path}/late=false" for c in _within_reach(spark, before, newest, lateness)]
                 if reached:
                     known = spark.read.schema("transaction_id string, timestamp timestamp_ntz").parquet(*reached)
                     in_time = unseen(in_time, known.where(time > mark - span), "transaction_id")
@@ -165,6 +160,14 @@ def ingest_once_within(rows: DataFrame, out: str, checkpoint: str, lateness: str
     return late
 
 
+def _within_reach(spark: SparkSession, before: list[Commit], newest: str, lateness: str) -> list[Commit]:
+    """The batches that may hold a row in the table above the watermark less ``lateness``: no more are opened."""
+    span = F.expr(f"interval {lateness}")
+    edge = (F.lit(newest).cast("timestamp_ntz") - span - span).cast("string")
+    (near,) = spark.range(1).select(edge).first()
+    return [c for c in before if c.facts["newest"] > near and c.facts["kept"]]
+
+
 def once_within(spark: SparkSession, out: str) -> DataFrame:
     """The table of :func:`ingest_once_within` without its late rows."""
     return _flagged(spark, out, late=False)

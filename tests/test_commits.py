@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from spendscope.session import fresh_path, scratch, settle
-from spendscope.sources.commits import Commits
+from spendscope.sources.commits import Commit, Commits
 from spendscope.sources.id_index import IdIndex
 from spendscope.streaming import increments
 from test_files import deliver, line
@@ -166,3 +166,11 @@ def test_daily_figures_of_many_batches(spark, tmp_path):
     assert len(Commits(spark, out).live()) <= 12
     figures = {str(r["date"]): r["transaction_count"] for r in increments.latest_daily(spark, out).collect()}
     assert sum(figures.values()) == 50 and figures["2024-01-01"] == 6
+
+
+def test_only_batches_in_reach_are_opened(spark):
+    """A batch whose newest row is not above the watermark less the lateness holds no repeat in time."""
+    days = [Commit(f"{d:02d}", f"{d:02d}", "", {"newest": f"2024-03-{d:02d} 06:00:00", "kept": d % 7}, ()) for d in range(1, 31)]
+    reached = increments._within_reach(spark, days, "2024-03-30 06:00:00", "2 days")
+    assert [c.first for c in reached] == ["27", "29", "30"]  # 28 kept no row, 26 is just out of reach
+    assert len(increments._within_reach(spark, days, "2024-03-30 06:00:00", "1 month")) == 26
