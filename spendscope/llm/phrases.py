@@ -21,9 +21,15 @@ TOP = 2000  # phrases reported per language
 SHARD_BYTES = 4 << 20  # text under one index; only the last text of a shard may pass it
 STEP_BYTES = 1 << 20  # bytes of words hashed at once
 HELD_KEYS = 1 << 22  # of several shards that a task sums before they leave it
+HELD_PHRASES = 1 << 20  # likewise of phrases, which are several numbers each
+LIKELY_WORDS = 3  # phrases of up to so many words are sifted by narrow keys before they are counted
+RUN_BITS, WORDS_OF_A_RUN = 12, 19  # keys leave by 2**12 ranges at least, more where 2**19 words a range would be passed
+PHRASE_RUN_BITS, WORDS_OF_A_PHRASE_RUN = 6, 21  # likewise the fewer phrases that are counted exactly
+RUNS = "range bigint, width int, size int, words binary, counts binary"
 BATCH_ROWS = 1 << 16  # phrases that leave a task at once
 SIEVE_BITS = 26  # the largest bitmap that is sent to the shards has 2**26 places, 8 MB
-KEY_BITS, WORD_KEY_BITS, NAME_BITS = 62, 40, 63
+PROBES = 3  # places of a key in it
+KEY_BITS, NAME_BITS = 62, 63
 UNKNOWN = "und"
 
 # What ends a piece, and what separates words within one.
@@ -98,15 +104,16 @@ def transform(ids: np.ndarray, depth: int) -> np.ndarray:
     return ids[np.argsort(rank, kind="stable") - 1]
 
 
-def packed(ids: np.ndarray) -> bytes:
-    """Small numbers as four compressed planes of bytes; the upper ones are nearly all zero."""
-    planes = ids.astype("<u4").view(np.uint8).reshape(-1, 4).T
+def packed(ids: np.ndarray, kind: str = "<u4") -> bytes:
+    """Small numbers as compressed planes of bytes; the upper ones are nearly all zero."""
+    planes = ids.astype(kind).view(np.uint8).reshape(len(ids), -1).T
     return pa.Codec("zstd").compress(np.ascontiguousarray(planes).tobytes(), asbytes=True)
 
 
-def unpacked(planes: bytes, size: int) -> np.ndarray:
-    data = pa.Codec("zstd").decompress(planes, decompressed_size=4 * size, asbytes=True)
-    return np.ascontiguousarray(np.frombuffer(data, dtype=np.uint8).reshape(4, size).T).view("<u4").reshape(-1)
+def unpacked(planes: bytes, size: int, kind: str = "<u4") -> np.ndarray:
+    width = np.dtype(kind).itemsize
+    data = pa.Codec("zstd").decompress(planes, decompressed_size=width * size, asbytes=True)
+    return np.ascontiguousarray(np.frombuffer(data, dtype=np.uint8).reshape(width, size).T).view(kind).reshape(-1)
 
 
 @dataclass
@@ -201,48 +208,153 @@ def _said(docs: DataFrame) -> DataFrame:
     return docs.where(F.col("text").isNotNull()).select("text", lang)
 
 
-def _counts_by_key(shards: Iterator[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
-    """Keys and their sums over shards of one task, in runs of ascending keys, as alike neighbours pack well in a shuffle."""
+def _sums_by_key(shards: Iterator[tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Ascending keys and their sums over shards of one task, ``HELD_KEYS`` or somewhat more at once."""
     held: list[tuple[np.ndarray, np.ndarray]] = []
 
-    def run() -> Iterator[pa.RecordBatch]:
+    def run() -> tuple[np.ndarray, np.ndarray]:
         keys, counts = (np.concatenate(c) for c in zip(*held))
         held.clear()
-        order = np.argsort(keys, kind="stable")
-        keys, counts = keys[order], counts[order]
-        begin = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-        sums = np.add.reduceat(counts, begin).astype(np.int32)
-        yield from _in_batches(pa.RecordBatch.from_arrays([pa.array(keys[begin]), pa.array(sums)], ["key", "n"]))
+        return _summed_keys(keys, counts)
 
     for keys, counts in shards:
         if len(keys):
             held.append((keys, counts))
         if sum(len(k) for k, _ in held) >= HELD_KEYS:
-            yield from run()
+            yield run()
     if held:
-        yield from run()
+        yield run()
 
 
-def _frequent_keys(counted: DataFrame, min_count: int) -> DataFrame:
-    """The keys whose counts, summed by the tasks already, come to ``min_count``. Keys are hashes, so none is hot."""
-    summed = counted.repartition("key").groupBy("key").agg(F.sum("n").alias("n"))
-    return summed.where(F.col("n") >= min_count).select("key")
+def _summed_keys(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.argsort(keys, kind="stable")
+    keys, counts = keys[order], counts[order]
+    begin = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    return keys[begin], np.add.reduceat(counts, begin)
 
 
-def likely_words(docs: DataFrame, min_count: int) -> DataFrame:
-    """``key``s under which words stand ``min_count`` times or more together; all frequent words are under these."""
+def _runs_of_keys(shards: Iterator[tuple[np.ndarray, np.ndarray]], low: int) -> Iterator[pa.RecordBatch]:
+    """A row per range of keys, told by the bits above the ``low`` ones: steps between its keys, and their sums, packed."""
+    for keys, counts in _sums_by_key(shards):
+        ranges = keys >> low
+        begin = np.flatnonzero(np.concatenate([[True], ranges[1:] != ranges[:-1]]))
+        steps = np.diff(keys, prepend=0)
+        steps[begin] = keys[begin] & ((1 << low) - 1)
+        ends = np.append(begin[1:], len(keys))
+        spans = [slice(b, e) for b, e in zip(begin, ends)]
+        columns = [pa.array(ranges[begin]), pa.array((ends - begin).astype(np.int32))]
+        columns += [pa.array([packed(steps[span]) for span in spans], pa.binary())]
+        columns += [pa.array([packed(counts[span], "<u8") for span in spans], pa.binary())]
+        yield from _in_batches(pa.RecordBatch.from_arrays(columns, ["range", "size", "steps", "counts"]))
+
+
+def _frequent_in_runs(runs: DataFrame, low: int, min_count: int) -> DataFrame:
+    """The keys whose sums over all runs come to ``min_count``. A range is a bounded share of the keys, which are hashes."""
+
+    def run(some: pa.Table) -> pa.Table:
+        sizes = some["size"].to_pylist()
+        above = some["range"][0].as_py() << low
+        keys = [above + np.cumsum(unpacked(s.as_py(), n), dtype=np.int64) for s, n in zip(some["steps"], sizes)]
+        counts = [unpacked(c.as_py(), n, "<u8").view(np.int64) for c, n in zip(some["counts"], sizes)]
+        summed, n = _summed_keys(np.concatenate(keys), np.concatenate(counts))
+        return pa.table([pa.array(summed[n >= min_count])], ["key"])
+
+    return runs.groupBy("range").applyInArrow(run, "key bigint")
+
+
+def _merged(words: np.ndarray, counts: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of words in this order, equal neighbours summed."""
+    words = words[order]
+    begin = np.flatnonzero(np.concatenate([[True], (words[1:] != words[:-1]).any(axis=1)]))
+    return words[begin], np.add.reduceat(counts[order], begin)
+
+
+def _sums_by_phrase(shards: Iterator[tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Phrases, a row of words each, and their sums over shards of one task, by length.
+
+    What the shards share is summed whenever ``HELD_PHRASES`` are held; all leave if more than half of that is left.
+    """
+    held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+    n = 0
+
+    def merge() -> int:
+        for width, parts in held.items():
+            words, counts = (np.concatenate(c) for c in zip(*parts))
+            held[width] = [_merged(words, counts, np.argsort(keys_of(words, KEY_BITS)))]
+        return sum(len(counts) for [(_, counts)] in held.values())
+
+    for words, counts in shards:
+        if len(counts):
+            held.setdefault(words.shape[1], []).append((words, counts))
+            n += len(counts)
+        if n >= HELD_PHRASES:
+            n = merge()
+            if n > HELD_PHRASES // 2:
+                yield from (part for [part] in held.values())
+                held.clear()
+                n = 0
+    merge()
+    yield from (part for [part] in held.values())
+
+
+def _runs_of_phrases(shards: Iterator[tuple[np.ndarray, np.ndarray]], range_of: Callable) -> Iterator[pa.RecordBatch]:
+    """A row per range and length, told by ``range_of`` rows of words: sorted phrases of a task and their sums, packed."""
+    for words, counts in _sums_by_phrase(shards):
+        ranges = range_of(words)
+        order = np.lexsort((words[:, 1], words[:, 0], ranges))  # alike neighbours pack well
+        ranges, words, counts = ranges[order], words[order], counts[order]
+        begin = np.flatnonzero(np.concatenate([[True], ranges[1:] != ranges[:-1]]))
+        ends = np.append(begin[1:], len(ranges))
+        heads = words[begin, 0]
+        words[1:, 0] -= words[:-1, 0].copy()
+        words[begin, 0] = heads
+        spans = [slice(b, e) for b, e in zip(begin, ends)]
+        columns = [pa.array(ranges[begin]), pa.array(np.full(len(begin), words.shape[1], dtype=np.int32))]
+        columns += [pa.array((ends - begin).astype(np.int32))]
+        columns += [pa.array([packed(words[span].T.reshape(-1), "<u8") for span in spans], pa.binary())]
+        columns += [pa.array([packed(counts[span], "<u8") for span in spans], pa.binary())]
+        yield from _in_batches(pa.RecordBatch.from_arrays(columns, ["range", "width", "size", "words", "counts"]))
+
+
+def _phrases_of_runs(some: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """The phrases of one range and length, a row of words each, sorted, and their sums over all runs."""
+    words, counts = [], []
+    for width, size, w, c in zip(*(some[name].to_pylist() for name in ("width", "size", "words", "counts"))):
+        rows = unpacked(w, width * size, "<u8").view(np.int64).reshape(width, size).T.copy()
+        rows[:, 0] = np.cumsum(rows[:, 0])
+        words.append(rows)
+        counts.append(unpacked(c, size, "<u8").view(np.int64))
+    words, counts = np.concatenate(words), np.concatenate(counts)
+    return _merged(words, counts, np.lexsort(words.T[::-1]))
+
+
+def word_counts(docs: DataFrame, min_count: int) -> DataFrame:
+    """Names that stand ``min_count`` times or more: ``name, f, shared``, the last of names that different words share.
+
+    Of w distinct words w * w / 2**64 pairs share a name: none below billions.
+    """
+    low = NAME_BITS - RUN_BITS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def counted():
             for texts, langs in _shards(batches):
                 found = tokens_of(texts, langs)
                 if found:
-                    names, counts = np.unique(found.names, return_counts=True)
-                    yield keys_of(names[:, None].view(np.int64), WORD_KEY_BITS), counts
+                    apart = found.second >> np.uint64(32)  # enough to tell words of one name apart
+                    each = np.stack([found.names, apart], axis=1).view(np.int64)
+                    yield _merged(each, np.ones(len(each), dtype=np.int64), np.argsort(found.names, kind="stable"))
+
+        return _runs_of_phrases(counted(), lambda words: words[:, 0] >> low)
 
-        return _counts_by_key(counted())
+    def summed(some: pa.Table) -> pa.Table:
+        words, counts = _phrases_of_runs(some)
+        begin = np.flatnonzero(np.concatenate([[True], words[1:, 0] != words[:-1, 0]]))
+        f, kinds = np.add.reduceat(counts, begin), np.diff(np.append(begin, len(words)))
+        keep = f >= min_count
+        return pa.table([words[begin, 0][keep], f[keep], (kinds > 1)[keep]], ["name", "f", "shared"])
 
-    return _frequent_keys(_said(docs).mapInArrow(run, "key bigint, n int"), min_count)
+    runs = _said(docs).mapInArrow(run, RUNS)
+    return runs.groupBy("range").applyInArrow(summed, "name bigint, f bigint, shared boolean")
 
 
 def build_index(docs: DataFrame, depth: int = MAX_WORDS, words=None) -> DataFrame:
@@ -346,33 +458,54 @@ def keys_of(names: np.ndarray, bits: int) -> np.ndarray:
     return (joined & np.uint64((1 << bits) - 1)).astype(np.int64)
 
 
+def _places(keys: np.ndarray, bits: int) -> Iterator[np.ndarray]:
+    """The ``PROBES`` places of each key among 2 to the power of ``bits``."""
+    spread = mixed(keys.view(np.uint64))
+    step = (spread >> np.uint64(32)) | np.uint64(1)
+    for _ in range(PROBES):
+        yield (spread & np.uint64((1 << bits) - 1)).astype(np.int64)
+        spread = spread + step
+
+
 class Sieve:
-    """A bitmap of phrases by their keys: all that were put in pass, and some others."""
+    """A bitmap of phrases by their keys of ``key_bits`` bits: all that were put in pass, and some others."""
 
-    def __init__(self, bits: int, filled: np.ndarray):
-        self.bits, self.filled = bits, filled
+    def __init__(self, key_bits: int, bits: int, filled: np.ndarray):
+        self.key_bits, self.bits, self.filled = key_bits, bits, filled
 
     def passes(self, names: np.ndarray) -> np.ndarray:
-        place = keys_of(names, self.bits)
-        return (self.filled[place >> 6] >> (place & 63).astype(np.uint64)) & np.uint64(1) == 1
+        out = np.ones(len(names), dtype=bool)
+        for place in _places(keys_of(names, self.key_bits), self.bits):
+            out &= (self.filled[place >> 6] >> (place & 63).astype(np.uint64)) & np.uint64(1) == 1
+        return out
 
 
-def sieve(keys: DataFrame, most_bits: int = SIEVE_BITS) -> Sieve:
-    """A sieve of the phrases with these ``key`` values.
+def sieve(keys: DataFrame, key_bits: int, most_bits: int = SIEVE_BITS) -> Sieve:
+    """A sieve of the phrases with these ``key`` values of ``key_bits`` bits, or of the words with these ``name`` values.
 
-    It has 16 to 32 places per key up to 2 to the power of ``most_bits``; beyond, more phrases pass that are not
-    frequent, and the sums across shards take them out.
+    It has 16 to 32 places per key up to 2 to the power of ``most_bits``, and lets 0.1 to 0.5 per cent of others
+    pass; beyond, more phrases pass that are not frequent, and the sums across shards take them out.
     """
     bits = min(most_bits, max(16, (16 * keys.count()).bit_length()))
-    place = F.col("key").bitwiseAND((1 << bits) - 1)
+    [column] = keys.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values = np.ascontiguousarray(batch[column].to_numpy(zero_copy_only=False))
+            some = values if column == "key" else keys_of(values[:, None], key_bits)
+            place = np.concatenate(list(_places(some, bits)))
+            sets = np.left_shift(np.uint64(1), (place & 63).astype(np.uint64)).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(place >> 6), pa.array(sets)], ["at", "set"])
+
     words = (
-        keys.groupBy(F.shiftright(place, 6).alias("at"))
-        .agg(F.bit_or(F.expr("shiftleft(1L, cast(key & 63 as int))")).alias("set"))
+        keys.mapInArrow(run, "at bigint, set bigint")
+        .groupBy("at")
+        .agg(F.bit_or("set").alias("set"))
         .toPandas()
     )
     filled = np.zeros(1 << (bits - 6), dtype=np.int64)
     filled[words["at"].to_numpy(dtype=np.int64)] = words["set"].to_numpy(dtype=np.int64)
-    return Sieve(bits, filled.view(np.uint64))
+    return Sieve(key_bits, bits, filled.view(np.uint64))
 
 
 def _shard_names(row: dict) -> list[np.ndarray]:
@@ -420,77 +553,69 @@ def _in_batches(whole: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     return (whole.slice(at, BATCH_ROWS) for at in range(0, whole.num_rows, BATCH_ROWS))
 
 
-def _likely_pairs(index: DataFrame, sieves: list, clashing: np.ndarray, bits: int, min_count: int) -> DataFrame:
-    """Keys of ``bits`` bits under which pairs of words stand ``min_count`` times or more together.
+def _unread(longest: int) -> list[str]:
+    return ["lang_words"] if longest > 2 else ["lang_words", "backward"]
+
+
+def _likely(index: DataFrame, sieves: list, clashing: np.ndarray, width: int, bits: int, low: int, min_count: int) -> DataFrame:
+    """Keys of ``bits`` bits under which phrases of ``width`` words stand ``min_count`` times or more together.
 
-    All frequent pairs are under these; a narrow key is all that is summed here, and exact counts follow.
+    All frequent ones are under these; a narrow key is all that is summed here, and exact counts follow.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shards = (_phrases(row, sieves, clashing, 2) for row in _rows(batches))
-        return _counts_by_key((keys_of(names[some.ids], bits), some.size) for found in shards for names, some in found)
+        shards = (list(_phrases(row, sieves, clashing, width))[-1] for row in _rows(batches))
+        return _runs_of_keys(((keys_of(names[some.ids], bits), some.size) for names, some in shards), low)
 
-    return _frequent_keys(index.drop("lang_words", "backward").mapInArrow(run, "key bigint, n int"), min_count)
+    runs = index.drop(*_unread(width)).mapInArrow(run, "range bigint, size int, steps binary, counts binary")
+    return _frequent_in_runs(runs, low, min_count)
 
 
-def _summed(index: DataFrame, sieves: list, clashing: np.ndarray, longest: int, bits: int, min_count: int) -> DataFrame:
-    """Exact counts of at least ``min_count`` of all phrases of two words or more, as columns ``_1, _2, ..., f``.
+def _summed(index: DataFrame, sieves: list, clashing: np.ndarray, longest: int, ranges: int, min_count: int) -> DataFrame:
+    """Exact counts of at least ``min_count`` of all phrases of two words or more, as ``names, f``.
 
-    Those longer than the sieves reach are grown from what the shard has. Words go by so many ``bits`` of their names.
+    Those longer than the sieves reach are grown from what the shard has. Phrases meet by 2 to the power of ``ranges``
+    ranges of their hashes, so none is hot.
     """
-    columns = [f"_{k + 1}" for k in range(longest)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for row in _rows(batches):
-            for names, some in _phrases(row, sieves, clashing, longest):
-                words = (names & ((1 << bits) - 1))[some.ids]
-                order = np.lexsort((words[:, 1], words[:, 0]))  # alike neighbours pack well
-                spelled = [pa.array(c) for c in words[order].T]
-                spelled += [pa.nulls(len(order), pa.int64())] * (longest - len(spelled))
-                yield from _in_batches(pa.RecordBatch.from_arrays([*spelled, pa.array(some.size[order].astype(np.int64))], [*columns, "n"]))
+        shards = (found for row in _rows(batches) for found in _phrases(row, sieves, clashing, longest))
+        named = ((names[some.ids], some.size.astype(np.int64)) for names, some in shards)
+        return _runs_of_phrases(named, lambda words: keys_of(words, ranges))
 
-    unread = ["lang_words"] if longest > 2 else ["lang_words", "backward"]
-    found = index.drop(*unread).mapInArrow(run, ", ".join(f"{c} bigint" for c in [*columns, "n"]))
-    return found.groupBy(*columns).agg(F.sum("n").alias("f")).where(F.col("f") >= min_count)
+    def summed(some: pa.Table) -> pa.Table:
+        words, counts = _phrases_of_runs(some)
+        words, counts = words[counts >= min_count], counts[counts >= min_count]
+        ends = np.arange(len(words) + 1, dtype=np.int32) * words.shape[1]
+        return pa.table([pa.ListArray.from_arrays(ends, words.reshape(-1)), pa.array(counts)], ["names", "f"])
 
+    runs = index.drop(*_unread(longest)).mapInArrow(run, RUNS)
+    return runs.groupBy("range", "width").applyInArrow(summed, "names array<bigint>, f bigint")
 
-def _words(index: DataFrame, min_count: int) -> tuple[DataFrame, np.ndarray]:
-    """Frequent words as ``_1, f``, and the hashes that different words share.
 
-    Of w distinct words w * w / 2**64 pairs share a name: none below billions. Words of such names go by their
-    second name everywhere.
-    """
+def _second_words(index: DataFrame, clashing: np.ndarray, min_count: int) -> DataFrame:
+    """Frequent words that share their name with others, by their second names, as ``name, f``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for row in _rows(batches):
-            names, second = _shard_names(row)
-            apart = (second >> 31).astype(np.int32)  # enough to tell words of one name apart
-            yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(apart), row["counts"].values], ["_1", "second", "n"])
-
-    def run_second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _rows(batches):
             names, second = _shard_names(row)
             at = pa.array(np.flatnonzero(np.isin(names, clashing)))
-            yield pa.RecordBatch.from_arrays([pa.array(second).take(at), row["counts"].values.take(at)], ["_1", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(second).take(at), row["counts"].values.take(at)], ["name", "n"])
 
-    each = index.select("langs", "word_langs", "words", "counts").mapInArrow(run, "_1 bigint, second int, n int")
-    summed = each.groupBy("_1").agg(F.sum("n").alias("f"), F.min("second").alias("low"), F.max("second").alias("high"))
-    frequent = settle(summed.where((F.col("f") >= min_count) | (F.col("low") != F.col("high"))), "words")
-    clashing = [r[0] for r in frequent.where("low != high").select("_1").collect()]
-    words = frequent.where("low = high").select("_1", "f")
-    if clashing:
-        again = index.select("langs", "word_langs", "words", "counts").mapInArrow(run_second, "_1 bigint, n int")
-        words = words.unionByName(again.groupBy("_1").agg(F.sum("n").alias("f")).where(F.col("f") >= min_count))
-    return words, np.array(clashing, dtype=np.int64)
+    each = index.select("langs", "word_langs", "words", "counts").mapInArrow(run, "name bigint, n int")
+    return each.groupBy("name").agg(F.sum("n").alias("f")).where(F.col("f") >= min_count)
 
 
 def _spelled(index: DataFrame, words, clashing: np.ndarray) -> DataFrame:
-    """``name, lang, word`` of the words that pass the sieve ``words``."""
+    """``name, lang, word`` of the words that pass the sieve ``words``; few leave a task twice."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        told = np.zeros(0, dtype=np.int64)
         for row in _rows(batches):
             names = _own_names(row, clashing)
-            at = pa.array(np.flatnonzero(words.value.passes(names[:, None])))
+            fresh = words.value.passes(names[:, None]) & ~np.isin(names, told)
+            told = np.union1d(told if len(told) < HELD_PHRASES else told[:0], names[fresh])
+            at = pa.array(np.flatnonzero(fresh))
             langs = row["langs"].values.take(row["word_langs"].values.take(at))
             found = [pa.array(names).take(at), langs, row["words"].values.take(at)]
             yield pa.RecordBatch.from_arrays(found, ["name", "lang", "word"])
@@ -502,50 +627,38 @@ def _spelled(index: DataFrame, words, clashing: np.ndarray) -> DataFrame:
 def phrase_counts(docs: DataFrame, min_count: int = MIN_COUNT, max_words: int = MAX_WORDS):
     """Counts of all phrases of up to ``max_words`` words that stand ``min_count`` times or more in a language.
 
-    Returns three tables: ``names array<bigint>, f``; the spelling of the words, ``name, lang, word``; and the
-    number of words per language, ``lang, n``. Every language of ``docs (lang, text)`` is counted by itself; a
-    null language is ``und``, a null text has no words. Repeated rows count as often as they stand.
+    Returns three tables: ``names array<bigint>, f``; the spelling of the words of the longer phrases, ``name, lang,
+    word``; and the number of words per language, ``lang, n``. Every language of ``docs (lang, text)`` is counted by
+    itself; a null language is ``und``, a null text has no words. Repeated rows count as often as they stand.
     """
     spark = docs.sparkSession
-    likely = spark.sparkContext.broadcast(sieve(settle(likely_words(docs, min_count), "likely")))
-    index = settle(build_index(docs, max(2, max_words), likely), "phrase-index")
+    words = settle(word_counts(docs, min_count), "words")
+    sieves = [spark.sparkContext.broadcast(sieve(words.select("name"), KEY_BITS))]
+    index = settle(build_index(docs, max(2, max_words), sieves[0]), "phrase-index")
     spoken = index.select(F.explode(F.arrays_zip("langs", "lang_words")).alias("s"))
     totals = settle(spoken.groupBy(F.col("s.langs").alias("lang")).agg(F.sum("s.lang_words").alias("n")), "totals")
-    words, clashing = _words(index, min_count)
-    sieves = [spark.sparkContext.broadcast(sieve(_keys(words)))]
-    spelled = settle(_spelled(index, sieves[0], clashing), "spelled")
-    short = _bits_of_names(spelled)
-    cut = (1 << short) - 1
-    spelled = spelled.withColumn("name", F.col("name").bitwiseAND(cut))
-    counts = words.select(F.array(F.col("_1").bitwiseAND(cut)).alias("names"), "f")
+    clashing = np.array([r[0] for r in words.where("shared").select("name").collect()], dtype=np.int64)
+    words = words.where("not shared").select("name", "f")
+    if len(clashing):  # words of such names go by their second name from here on
+        words = settle(words.unionByName(_second_words(index, clashing, min_count)), "words-apart")
+        sieves = [spark.sparkContext.broadcast(sieve(words.select("name"), KEY_BITS))]
+    counts = words.select(F.array("name").alias("names"), "f")
     if max_words >= 2:
         # Some 32 times as many keys as there are words in all, so few pairs share one.
         n = totals.agg(F.sum("n")).first()[0] or 0
         bits = min(KEY_BITS, max(32, n.bit_length() + 5))
-        pairs = settle(_likely_pairs(index, sieves, clashing, bits, min_count), "pairs")
-        sieves.append(spark.sparkContext.broadcast(sieve(pairs)))
-        longer = _summed(index, sieves, clashing, max_words, short, min_count)
-        names = F.array_compact(F.array(*[f"_{k + 1}" for k in range(max_words)])).alias("names")
-        counts = counts.unionByName(longer.select(names, "f"))
-    return settle(counts, "phrases"), spelled, totals
-
-
-def _bits_of_names(spelled: DataFrame) -> int:
-    """How many bits tell all these names apart."""
-    n = spelled.count()
-    bits = min(NAME_BITS, 2 * n.bit_length() + 4)
-    while bits < NAME_BITS and spelled.select(F.col("name").bitwiseAND((1 << bits) - 1)).distinct().count() < n:
-        bits = min(NAME_BITS, bits + 8)
-    return bits
-
-
-def _keys(words: DataFrame) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            names = batch["_1"].to_numpy(zero_copy_only=False)[:, None]
-            yield pa.RecordBatch.from_arrays([pa.array(keys_of(names, KEY_BITS))], ["key"])
-
-    return words.select("_1").mapInArrow(run, "key bigint")
+        low = bits - max(RUN_BITS, (n >> WORDS_OF_A_RUN).bit_length())
+        for width in range(2, min(max_words, LIKELY_WORDS) + 1):
+            some = settle(_likely(index, sieves, clashing, width, bits, low, min_count), f"likely-{width}")
+            sieves.append(spark.sparkContext.broadcast(sieve(some, bits)))
+        ranges = max(PHRASE_RUN_BITS, (n >> WORDS_OF_A_PHRASE_RUN).bit_length())
+        counts = counts.unionByName(_summed(index, sieves, clashing, max_words, ranges, min_count))
+    counts = settle(counts, "phrases")
+    inside = counts.where(F.size("names") >= 2).select(F.explode("names").alias("name")).distinct()
+    needed = settle(inside, "phrase-words")
+    found = _spelled(index, spark.sparkContext.broadcast(sieve(needed, KEY_BITS)), clashing)
+    spelled = settle(found.join(needed, "name", "left_semi"), "spelled")
+    return counts, spelled, totals
 
 
 def collocations(docs: DataFrame, min_count: int = MIN_COUNT, max_words: int = MAX_WORDS, top: int = TOP) -> DataFrame:

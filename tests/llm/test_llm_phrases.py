@@ -98,3 +98,71 @@ def test_words_of_one_hash_stay_apart():
         assert phrases._own_names(row, np.array([7], dtype=np.int64)).tolist() == [5, 70, 9]
     finally:
         phrases._shard_names = first
+
+
+def test_each_task_emits_frequent_phrases_once(spark, monkeypatch):
+    """Shards of one task share its rows, and phrases of frequent pairs that are not frequent themselves leave none."""
+    kinds, texts = 30, 24
+    said = np.random.default_rng(5).integers(0, kinds, (texts, 50_000))
+    words = np.array([f"word{k:02d}" + "x" * 14 for k in range(kinds)])
+    docs = spark.createDataFrame([("en", " ".join(words[ids])) for ids in said], "lang string, text string").coalesce(1)
+    made, make = [], type(docs).mapInArrow
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda *a, **k: made.append(make(*a, **k)) or made[-1])
+    counts, spelled, _ = phrases.phrase_counts(docs, 200, 5)
+    spelling = {r["name"]: r["word"] for r in spelled.collect()}
+    found = {tuple(spelling[name] for name in r["names"]): r["f"] for r in counts.collect()}
+    pairs, n = np.unique(said[:, :-1] * kinds + said[:, 1:], return_counts=True)
+    single, m = np.unique(said, return_counts=True)
+    expected = {(words[p // kinds], words[p % kinds]): c for p, c in zip(pairs, n)} | {(words[w],): c for w, c in zip(single, m)}
+    assert n.min() >= 200 and found == expected  # a phrase of three words stands some 44 times
+    exact = [df for df in made if df.columns in (["_1", "_2", "_3", "_4", "_5", "n"], ["range", "width", "size", "words", "counts"])][-1]
+    emitted = exact.agg(F.sum("size") if "size" in exact.columns else F.count("*")).first()[0]
+    assert len(pairs) <= emitted <= 1.02 * len(pairs)
+
+
+@pytest.mark.parametrize("low", [20, 27])
+def test_packed_runs_sum_as_plain_keys(spark, low):
+    some = np.random.default_rng(7).integers(0, 1 << 32, 5000)
+    keys = np.concatenate([some, some[:3000], [0, 0, (1 << 32) - 1], some[:50]])
+    sums = collections.Counter(keys.tolist())
+    docs = spark.range(4).repartition(3)
+
+    def run(batches):
+        mine = sum(batch.num_rows for batch in batches)
+        if mine:
+            yield from phrases._runs_of_keys(iter([(keys, np.full(len(keys), mine))]), low)
+
+    runs = docs.mapInArrow(run, "range bigint, size int, steps binary, counts binary")
+    found = sorted(r["key"] for r in phrases._frequent_in_runs(runs, low, 8).collect())
+    assert found == sorted(k for k, c in sums.items() if 4 * c >= 8)
+
+
+def test_sieve_keeps_all_that_went_in(spark):
+    names = phrases.mixed(np.arange(40_000, dtype=np.uint64)).view(np.int64) >> 1
+    keys = phrases.keys_of(names[:4000, None], 40)
+    sifted = phrases.sieve(spark.createDataFrame([(int(k),) for k in keys], "key bigint"), 40)
+    assert sifted.passes(names[:4000, None]).all()
+    assert sifted.passes(names[4000:, None]).mean() < 0.01
+
+
+def test_words_that_share_a_name_are_told(spark):
+    """Names are counted over all tasks, and a name of two different words is marked."""
+    docs = spark.createDataFrame([("en", "one two two three three three")] * 12, "lang string, text string").repartition(4)
+    found = {r["name"]: (r["f"], r["shared"]) for r in phrases.word_counts(docs, 24).collect()}
+    t = phrases.tokens_of([b"one two three"], ["en"])
+    assert found == {int(t.names[1]): (24, False), int(t.names[2]): (36, False)}
+    words = np.array([[5, 1], [5, 2], [5, 1], [9, 3]], dtype=np.int64)
+    runs = list(phrases._runs_of_phrases(iter([(words, np.arange(1, 5))] * 2), lambda w: w[:, 0] >> 3))
+    both = [phrases._phrases_of_runs(phrases.pa.Table.from_batches(runs).slice(k, 1)) for k in range(2)]
+    assert [(w.tolist(), n.tolist()) for w, n in both] == [([[5, 1], [5, 2]], [8, 4]), ([[9, 3]], [8])]
+
+
+def test_shared_names_go_by_the_second(spark, monkeypatch):
+    """Words whose names are listed as shared are counted by their second names, with the same result."""
+    lines = ["in the old mill by the river", "by the by the by the by", "x"]
+    docs = spark.createDataFrame([("en", lines[k % 3]) for k in range(60)], "lang string, text string")
+    given = [(r["lang"], r["text"]) for r in docs.collect()]
+    counts, the = phrases.word_counts, int(phrases.tokens_of([b"the"], ["en"]).names[0])
+    mark = lambda *a: counts(*a).withColumn("shared", F.col("name") == the)
+    monkeypatch.setattr(phrases, "word_counts", mark)
+    assert sorted(map(tuple, phrases.collocations(docs, 5).collect())) == plain(given, 5, 5, 2000)
