@@ -164,3 +164,12 @@ def test_tiny_sources_beside_a_huge_one(spark):
     rows = [(k, "w " * size, f"s{k:02}") for k, size in enumerate((10, 20, 33, 65, 100, 200))] + [(99, "w " * 300_000, "t")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
     assert all(0 <= r["target"] - r["taken"] < 1 for r in mixing.mix(docs).collect())
+
+
+@pytest.mark.parametrize("words", [10**8, 3 * 10**8, 7 * 10**8, 10**10])
+def test_targets_of_very_many_words(spark, words):
+    """Of totals below a third of 2^31, below 2^31 and above it."""
+    sizes = spark.createDataFrame([("a", words), ("b", words), ("c", words), ("d", 5), (None, 0)], "source string, source_size long")
+    left = 3 * words + 5 - 15  # what d, at three times its size, leaves
+    wanted = {"a": left / 6, "b": 2 * left / 6, "c": 3 * left / 6, "d": 15.0, None: 0.0}
+    assert {r["source"]: r["target"] for r in mixing.targets(sizes).collect()} == wanted
