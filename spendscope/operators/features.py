@@ -9,6 +9,7 @@ from spendscope.functions import calendar as cal
 from spendscope.functions.money import amount_class
 from spendscope.operators.hotkeys import ROWS, attach_by_key
 from spendscope.operators.quantiles import one_row, quantiles
+from spendscope.session import settle
 
 HIGH_VALUE = 1000.0
 
@@ -59,8 +60,8 @@ def add_high_value(rows: DataFrame, threshold: float = HIGH_VALUE) -> DataFrame:
 
 
 def add_relative_high_value(rows: DataFrame, p: float = 0.95) -> DataFrame:
-    """``high_value``: above the exact ``p`` quantile of all amounts."""
-    threshold = one_row(quantiles(rows, "amount", {"edge": p}))["edge"]
+    """``high_value``: above the exact ``p`` quantile of all amounts; the quantile is settled, so it is found once."""
+    threshold = one_row(settle(quantiles(rows, "amount", {"edge": p}), "edge"))["edge"]
     return rows.withColumn("high_value", F.col("amount") > threshold)
 
 
